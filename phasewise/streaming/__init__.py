@@ -1,0 +1 @@
+"""No streaming operator: the work rebuilt here reads whole tables only."""
