@@ -83,24 +83,38 @@ def norm_pdf(x: Column) -> Column:
     return F.exp(F.lit(-0.5) * x * x) / F.lit(math.sqrt(2 * math.pi))
 
 
-def norm_cdf(x: Column) -> Column:
-    """Normal distribution function, error below 1e-13.
+# Cody's rational approximations of the error function (three ranges).
+CODY = {
+    "a": (3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3,
+          1.85777706184603153e-1),
+    "b": (2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+    "c": (5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+          8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3,
+          2.15311535474403846e-8),
+    "d": (1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+          3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+    "p": (3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2,
+          6.58749161529837803e-4, 1.63153871373020978e-2),
+    "q": (2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2,
+          2.33520497626869185e-3),
+}
 
-    Near zero the Maclaurin-type series sum x^(2k+1)/(2k+1)!! is used, in the tails the
-    continued fraction of Mills' ratio (both textbook expansions).
-    """
-    z = F.abs(x)
-    z2 = z * z
-    series = F.lit(1.0)
-    for k in range(45, 0, -1):
-        series = F.lit(1.0) + z2 / F.lit(2.0 * k + 1.0) * series
-    centre = F.lit(0.5) - z * series * norm_pdf(z)
-    frac = z
-    for k in range(40, 0, -1):
-        frac = z + F.lit(float(k)) / frac
-    tail = norm_pdf(z) / frac
-    upper = F.when(z < 3.0, centre).otherwise(tail)
-    return F.when(x >= 0, F.lit(1.0) - upper).otherwise(upper)
+
+def _ratio(num, den, r):
+    """num[-1] leads the numerator, 1 leads the denominator."""
+    return _poly((*reversed(num[:-1]), num[-1]), r) / _poly((*reversed(den), 1.0), r)
+
+
+def norm_cdf(x: Column) -> Column:
+    """Normal distribution function to about 1e-15 (through erf / erfc)."""
+    z = x * F.lit(math.sqrt(0.5))
+    y = F.abs(z)
+    small = z * _ratio(CODY["a"], CODY["b"], z * z)
+    mid = F.exp(-y * y) * _ratio(CODY["c"], CODY["d"], y)
+    inv = F.lit(1.0) / (y * y)
+    far = F.exp(-y * y) / y * (F.lit(1.0 / math.sqrt(math.pi)) - inv * _ratio(CODY["p"], CODY["q"], inv))
+    tail = F.lit(0.5) * F.when(y <= 4.0, mid).otherwise(far)
+    return F.when(y <= 0.46875, F.lit(0.5) * (F.lit(1.0) + small)).when(z > 0, F.lit(1.0) - tail).otherwise(tail)
 
 
 # Wichura's AS 241 rational approximation of the normal quantile (PPND16).

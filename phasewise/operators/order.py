@@ -64,7 +64,9 @@ def order_stats(
         )
         state = _narrow(state, t, "_grid")
     keep = [*by] + [f"_{p}{t}" for t, _ in targets for p in ("r", "lo", "hi", "in")]
-    state, fits = settle(state.select(*keep))
+    state, fits = settle(state.select(*keep, "_n"))
+    narrowed = bool(state.where(F.col("_n") > EXACT_ROWS).limit(1).toArrow().num_rows)
+    state = state.drop("_n")
 
     while True:
         widest = F.greatest(*[F.col(f"_in{t}") for t, _ in targets], F.lit(0))
@@ -85,6 +87,20 @@ def order_stats(
             nxt = _narrow(nxt, t, f"_g{t}")
         state, fits = settle(nxt.select(*keep))
 
+    pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_r{t}").alias("rank")) for t, _ in targets])
+    visible = [b for b in by if b != _ALL]
+    if not narrowed:
+        # Small groups: one count per value serves every rank.
+        counts = data.groupBy(*by, "_v").agg(F.count("*").alias("tied"))
+        w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_through", F.sum("tied").over(w))
+        ranks = state.select(*by, pairs.alias("_pairs"))
+        below = F.col("_through") - F.col("tied")
+        hit = F.filter("_pairs", lambda e: (e["rank"] > below) & (e["rank"] <= F.col("_through")))
+        return counts.join(F.broadcast(ranks) if fits else ranks, by, "inner").select(
+            *visible, F.explode(hit).alias("_h"), F.col("_v").alias("value"), below.alias("below"), "tied"
+        ).select(*visible, "_h.target", "_h.rank", "value", "below", "tied")
+
     # Exact counts: everything under a bracket is one group, inside it one group per value.
     joined = data.join(F.broadcast(state) if fits else state, by, "inner")
     marks = F.array(*[
@@ -99,16 +115,14 @@ def order_stats(
     )
     w = Window.partitionBy(*by, "target").orderBy(F.col("value").asc_nulls_first())
     through = F.sum("tied").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranks = state.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(t).alias("target"), F.col(f"_r{t}").alias("rank")) for t, _ in targets
-    ])).alias("w")).select(*by, "w.target", "w.rank")
+    ranks = state.select(*by, F.explode(pairs).alias("w")).select(*by, "w.target", "w.rank")
     out = (
         counts.withColumn("through", through)
         .join(F.broadcast(ranks) if fits else ranks, [*by, "target"], "inner")
         .withColumn("below", F.col("through") - F.col("tied"))
         .where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("through")) & F.col("value").isNotNull())
     )
-    return out.select(*[b for b in by if b != _ALL], "target", "rank", "value", "below", "tied")
+    return out.select(*visible, "target", "rank", "value", "below", "tied")
 
 
 def _narrow(state: DataFrame, t: int, grid: str) -> DataFrame:
