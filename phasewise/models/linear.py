@@ -101,12 +101,19 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def gram(frame: DataFrame, p: int, by: Sequence[str], curve: Column, resid: Column) -> DataFrame:
+def product_sums(p: int, factor: str) -> Column:
+    """Array of the p(p+1)/2 sums of factor * xi * xj."""
+    return F.expr("array(" + ", ".join(f"sum({factor} * x{i} * x{j})" for i, j in _pairs(p)) + ")")
+
+
+def score_sums(p: int, factor: str) -> Column:
+    return F.expr("array(" + ", ".join(f"sum({factor} * x{i})" for i in range(p)) + ")")
+
+
+def gram(frame: DataFrame, p: int, by: Sequence[str], curve: str, resid: str) -> DataFrame:
     """Per group: sums of curve*x*x', resid*x and a few scalars."""
-    aggs = [F.sum(curve * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in _pairs(p)]
-    score = [F.sum(resid * F.col(f"x{i}")) for i in range(p)]
     return frame.groupBy(*by).agg(
-        F.array(*aggs).alias("A"), F.array(*score).alias("g"),
+        product_sums(p, curve).alias("A"), score_sums(p, resid).alias("g"),
         F.count("*").alias("n"), F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_y")).alias("wy"),
         F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("wyy"),
     )
@@ -160,7 +167,7 @@ def fit_lm(df: DataFrame, y: str, terms, weight: str | None = None, by: Sequence
     terms = as_terms(terms, intercept)
     p = len(terms)
     frame = model_frame(df, y, terms, weight, by)
-    sums = gram(frame, p, by, F.col("_w"), F.col("_w") * F.col("_y"))
+    sums = gram(frame, p, by, "_w", "_w * _y")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         a, g = unpack(stack_column(pdf["A"]).reshape(len(pdf), -1), p), stack_column(pdf["g"]).reshape(len(pdf), p)
@@ -202,7 +209,7 @@ def fit_glm(
         nan = np.full(len(pdf), np.nan)
         return _rows(pdf, by, beta, z, z, nan, nan, nan, np.zeros(len(pdf), bool), nan)
 
-    table, small, _ = per_row_numpy(gram(frame, 0, by, F.lit(1.0), F.lit(0.0)), start, schema)
+    table, small, _ = per_row_numpy(gram(frame, 1, by, "1D", "0D"), start, schema)
     fit = Fit("glm", family, terms, by, table, small, y, weight)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -224,13 +231,11 @@ def fit_glm(
         d = fit.attach(frame)
         mu = mean_of(family, eta(xs))
         d = d.withColumn("_mu", mu)
-        v = variance_of(family, F.col("_mu"))
-        resid = F.col("_y") - F.col("_mu")
+        d = d.withColumns({"_v": F.col("_w") * variance_of(family, F.col("_mu")), "_e": F.col("_w") * (F.col("_y") - F.col("_mu"))})
         sums = d.groupBy(*by).agg(
-            F.array(*[F.sum(F.col("_w") * v * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in _pairs(p)]).alias("A"),
-            F.array(*[F.sum(F.col("_w") * resid * F.col(f"x{i}")) for i in range(p)]).alias("g"),
+            product_sums(p, "_v").alias("A"), score_sums(p, "_e").alias("g"),
             F.count("*").alias("n"), F.first("_beta").alias("b"),
-            F.sum(F.col("_w") * resid * resid / F.greatest(v, F.lit(1e-300))).alias("pearson"),
+            F.sum(F.expr("_e * _e / greatest(_v, 1e-300D)")).alias("pearson"),
         )
         table, small, local = per_row_numpy(sums, step, schema)
         fit = Fit("glm", family, terms, by, table, small, y, weight)
@@ -261,9 +266,9 @@ def dfbeta(fit: Fit, df: DataFrame, which: Sequence[str] | None = None, prefix:
     mu = mean_of(fit.family, eta(fit.terms))
     d = d.withColumn("_mu", mu)
     w = F.col(fit.weight).cast("double") if fit.weight else F.lit(1.0)
-    m = [sum((F.col("_bread")[i * p + j] * F.col("_x")[j] for j in range(1, p)), F.col("_bread")[i * p] * F.col("_x")[0]) for i in range(p)]
-    d = d.withColumn("_mx", F.array(*m))
-    h = sum((F.col("_mx")[i] * F.col("_x")[i] for i in range(1, p)), F.col("_mx")[0] * F.col("_x")[0])
+    rows = [" + ".join(f"_bread[{i * p + j}] * _x[{j}]" for j in range(p)) for i in range(p)]
+    d = d.withColumn("_mx", F.expr("array(" + ", ".join(rows) + ")"))
+    h = F.expr(" + ".join(f"_mx[{i}] * _x[{i}]" for i in range(p)))
     pull = w * (F.col(fit.y).cast("double") - F.col("_mu")) / (1 - w * variance_of(fit.family, F.col("_mu")) * h)
     d = d.withColumn("_pull", pull)
     out = {f"{prefix}{n}": F.col("_pull") * F.col("_mx")[fit.names.index(n)] for n in which}
@@ -317,14 +322,12 @@ def sandwich(fit: Fit, scores: DataFrame, strata: str | None) -> Fit:
     z = scores.withColumn("_h", F.col(strata) if strata else F.lit(0))
     per = z.groupBy(*keys).agg(
         F.count("*").alias("_nh"),
-        *[F.sum(f"z{i}").alias(f"s{i}") for i in range(p)],
-        *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}_{j}") for i, j in _pairs(p)],
+        *[F.expr(f"sum(z{i}) AS s{i}") for i in range(p)],
+        *[F.expr(f"sum(z{i} * z{j}) AS q{i}_{j}") for i, j in _pairs(p)],
     )
-    nh = F.col("_nh")
-    meat = per.groupBy(*by).agg(F.array(*[
-        F.sum(F.when(nh > 1, nh / (nh - 1) * (F.col(f"q{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / nh)).otherwise(0.0))
-        for i, j in _pairs(p)
-    ]).alias("_meat"))
+    meat = per.groupBy(*by).agg(F.expr("array(" + ", ".join(
+        f"sum(CASE WHEN _nh > 1 THEN _nh / (_nh - 1) * (q{i}_{j} - s{i} * s{j} / _nh) ELSE 0D END)" for i, j in _pairs(p)
+    ) + ")").alias("_meat"))
     joined = fit.table.join(meat, by, "inner") if by else fit.table.join(F.broadcast(meat))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -54,23 +54,15 @@ def order_stats(
         F.percentile_approx("_v", grid, _ACCURACY).alias("_grid"),
     )
     state = first.join(wants, by, "inner")
-    for t, name in targets:
-        state = (
-            state.withColumn(f"_r{t}", F.col(name).cast("bigint"))
-            .withColumn(f"_lo{t}", F.col("_min"))
-            .withColumn(f"_hi{t}", F.col("_max"))
-            .withColumn(f"_q{t}", F.col(f"_r{t}"))
-            .withColumn(f"_in{t}", F.col("_n"))
-        )
-        state = _narrow(state, t, "_grid")
-    keep = [*by] + [f"_{p}{t}" for t, _ in targets for p in ("r", "lo", "hi", "in")]
-    state, fits = settle(state.select(*keep, "_n"))
-    narrowed = bool(state.where(F.col("_n") > EXACT_ROWS).limit(1).toArrow().num_rows)
+    start = [F.expr(f"cast({name} as bigint) AS {c}{t}") for t, name in targets for c in ("_r", "_q")]
+    start += [F.expr(f"{src} AS {c}{t}") for t, _ in targets for src, c in (("_min", "_lo"), ("_max", "_hi"), ("_n", "_in"), ("_grid", "_g"))]
+    state, fits = settle(_narrow(state.select(*by, "_n", *start), len(targets), [*by, "_n"]))
+    narrowed = bool(state.where(f"_n > {EXACT_ROWS}").limit(1).toArrow().num_rows)
     state = state.drop("_n")
 
     while True:
-        widest = F.greatest(*[F.col(f"_in{t}") for t, _ in targets], F.lit(0))
-        if not state.where(widest > EXACT_ROWS).limit(1).toArrow().num_rows:
+        open_brackets = " OR ".join(f"_in{t} > {EXACT_ROWS}" for t, _ in targets)
+        if not state.where(open_brackets).limit(1).toArrow().num_rows:
             break
         joined = data.join(F.broadcast(state) if fits else state, by, "inner")
         aggs = []
@@ -82,12 +74,9 @@ def order_stats(
                 F.count(F.when(inside, 1)).alias(f"_in{t}"),
                 F.percentile_approx(F.when(inside, F.col("_v")), grid, _ACCURACY).alias(f"_g{t}"),
             ] + [F.first(f"_{p}{t}").alias(f"_{p}{t}") for p in ("r", "lo", "hi")]
-        nxt = joined.groupBy(*by).agg(*aggs)
-        for t, _ in targets:
-            nxt = _narrow(nxt, t, f"_g{t}")
-        state, fits = settle(nxt.select(*keep))
+        state, fits = settle(_narrow(joined.groupBy(*by).agg(*aggs), len(targets), by))
 
-    pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_r{t}").alias("rank")) for t, _ in targets])
+    pairs = F.expr("array(" + ", ".join(f"named_struct('target', {t}, 'rank', _r{t})" for t, _ in targets) + ")")
     visible = [b for b in by if b != _ALL]
     if not narrowed:
         # Small groups: one count per value serves every rank.
@@ -125,49 +114,40 @@ def order_stats(
     return out.select(*visible, "target", "rank", "value", "below", "tied")
 
 
-def _narrow(state: DataFrame, t: int, grid: str) -> DataFrame:
-    """Move bracket ``t`` to the grid cells around its rank, one cell of slack each side.
+def _narrow(state: DataFrame, n_targets: int, keep: Sequence[str]) -> DataFrame:
+    """Move each bracket to the grid cells around its rank, one cell of slack each side.
 
     ``_q`` is the wanted rank among the ``_in`` rows strictly inside the bracket; the grid is
     a sketch of those rows. Its error (1/4096) is a sixteenth of a cell, so the slack always
     covers it, and rows strictly inside the new bracket are at most 4.5 cells. Rows tied with
     an end of the bracket do not count: they stay one group however many they are.
     """
-    q, n_in = F.col(f"_q{t}"), F.col(f"_in{t}")
-    lo, hi = F.col(f"_lo{t}"), F.col(f"_hi{t}")
-    share = (q - 1) / F.greatest(n_in - 1, F.lit(1))
-    cell = F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * _GRID).cast("int")
-    wide = (n_in > EXACT_ROWS) & (lo < hi)
-    grid_lo = F.when(cell <= 1, lo).otherwise(F.element_at(F.col(grid), F.greatest(cell, F.lit(1))))
-    grid_hi = F.when(cell >= _GRID - 2, hi).otherwise(
-        F.element_at(F.col(grid), F.least(cell + 3, F.lit(_GRID + 1)))
-    )
-    new_lo = F.when(wide & (q > n_in), hi).when(wide & (q > 0), grid_lo).otherwise(lo)
-    new_hi = F.when(wide & (q <= 0), lo).when(wide & (q <= n_in), grid_hi).otherwise(hi)
-    return (
-        state.withColumn("_nlo", new_lo)
-        .withColumn("_nhi", new_hi)
-        .withColumn(
-            f"_in{t}",
-            F.when(F.col("_nlo") == F.col("_nhi"), F.lit(0).cast("bigint"))
-            .when(wide, (n_in * F.lit(4.5 / _GRID)).cast("bigint"))
-            .otherwise(n_in),
-        )
-        .withColumn(f"_lo{t}", F.col("_nlo"))
-        .withColumn(f"_hi{t}", F.col("_nhi"))
-        .drop("_nlo", "_nhi")
-    )
+    cut_lo, cut_hi, moved = [], [], []
+    for t in range(n_targets):
+        wide = f"(_in{t} > {EXACT_ROWS} AND _lo{t} < _hi{t})"
+        cell = f"cast(floor(greatest(least((_q{t} - 1) / greatest(_in{t} - 1, 1), 1D), 0D) * {_GRID}) as int)"
+        cut_lo.append(F.expr(f"""CASE WHEN {wide} AND _q{t} > _in{t} THEN _hi{t}
+            WHEN {wide} AND _q{t} > 0 AND {cell} > 1 THEN element_at(_g{t}, greatest({cell}, 1)) ELSE _lo{t} END AS _nlo{t}"""))
+        cut_hi.append(F.expr(f"""CASE WHEN {wide} AND _q{t} <= 0 THEN _lo{t}
+            WHEN {wide} AND _q{t} <= _in{t} AND {cell} < {_GRID - 2} THEN element_at(_g{t}, least({cell} + 3, {_GRID + 1}))
+            ELSE _hi{t} END AS _nhi{t}"""))
+        cut_hi.append(F.expr(f"CASE WHEN {wide} THEN cast(_in{t} * {4.5 / _GRID}D as bigint) ELSE _in{t} END AS _nin{t}"))
+        moved += [
+            F.expr(f"CASE WHEN _nlo{t} = _nhi{t} THEN 0L ELSE _nin{t} END AS _in{t}"),
+            F.expr(f"_nlo{t} AS _lo{t}"), F.expr(f"_nhi{t} AS _hi{t}"), f"_r{t}",
+        ]
+    return state.select("*", *cut_lo, *cut_hi).select(*keep, *moved)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Quantiles with linear interpolation at (n-1)p; NULLs skipped. Returns ``by``, ``prob``, ``value``."""
     probs = [float(p) for p in probs]
     n = F.count(value)
-    cols = []
-    for i, p in enumerate(probs):
-        h = (n - 1) * F.lit(p)
-        cols += [(F.floor(h) + 1).cast("bigint").alias(f"a{i}"), (F.ceil(h) + 1).cast("bigint").alias(f"b{i}")]
-    wants = df.groupBy(*by).agg(n.alias("_total"), *cols)
+    cols = [
+        F.expr(f"cast({fn}((_total - 1) * {p!r}D) as bigint) + 1 AS {c}{i}")
+        for i, p in enumerate(probs) for fn, c in (("floor", "a"), ("ceil", "b"))
+    ]
+    wants = df.groupBy(*by).agg(n.alias("_total")).select(*by, *cols)
     names = [f"{s}{i}" for i in range(len(probs)) for s in "ab"]
     stats = order_stats(df, value, wants, names, by)
     total = df.groupBy(*by).agg(n.alias("_total"))

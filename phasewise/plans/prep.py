@@ -566,5 +566,6 @@ def bmi_hazard_ratio(spark, d):
 
 @query("normal_functions", f"""WITH {C} SELECT row_id, {srnd('exp(-0.5::DOUBLE*(y-7)*(y-7))/sqrt(2*pi())', 9)} AS pdf, {srnd('y-7', 7)} AS round_trip FROM cohort""")
 def normal_functions(spark, d):
-    z = F.col("y") - 7
-    return fx.cohort(spark, d).select("row_id", rnd(scalar.norm_pdf(z), 9).alias("pdf"), rnd(scalar.norm_ppf(scalar.norm_cdf(z)), 7).alias("round_trip"))
+    # Each step is its own column: nested expressions would repeat their input many times.
+    f = fx.cohort(spark, d).withColumn("z", F.col("y") - 7).withColumn("p", scalar.norm_cdf(F.col("z")))
+    return f.select("row_id", rnd(scalar.norm_pdf(F.col("z")), 9).alias("pdf"), rnd(scalar.norm_ppf(F.col("p")), 7).alias("round_trip"))
