@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from phasewise.plans import prep, sampling  # noqa: F401
+from phasewise.plans import modelling, prep, sampling  # noqa: F401
 from phasewise.plans.registry import QUERIES, SQL  # noqa: F401
