@@ -7,6 +7,8 @@ from statistics import NormalDist
 
 import numpy as np
 
+from phasewise.functions.scalar import AS241, CODY
+
 _NORMAL = NormalDist()
 
 
@@ -85,3 +87,41 @@ def two_sided_p(stat: np.ndarray, df: np.ndarray | None = None) -> np.ndarray:
     if df is None:
         return np.array([math.erfc(abs(s) / math.sqrt(2.0)) for s in stat])
     return np.array([2.0 * t_cdf(-abs(s), d) for s, d in zip(stat, df)])
+
+
+def _horner(coefs, r):
+    out = np.full_like(r, coefs[-1])
+    for c in reversed(coefs[:-1]):
+        out = out * r + c
+    return out
+
+
+def normal_cdf_array(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function for Arrow batches (same ranges as the Column version)."""
+    z = np.asarray(x, dtype=float) * math.sqrt(0.5)
+    y = np.abs(z)
+
+    def ratio(num, den, r):
+        return _horner((*reversed(num[:-1]), num[-1]), r) / _horner((*reversed(den), 1.0), r)
+
+    with np.errstate(all="ignore"):
+        centre = 0.5 * (1.0 + z * ratio(CODY["a"], CODY["b"], z * z))
+        mid = np.exp(-y * y) * ratio(CODY["c"], CODY["d"], y)
+        inv = 1.0 / (y * y)
+        far = np.exp(-y * y) / y * (1.0 / math.sqrt(math.pi) - inv * ratio(CODY["p"], CODY["q"], inv))
+        tail = 0.5 * np.where(y <= 4.0, mid, far)
+    return np.where(y <= 0.46875, centre, np.where(z > 0, 1.0 - tail, tail))
+
+
+def normal_ppf_array(p: np.ndarray) -> np.ndarray:
+    """Normal quantile for Arrow batches."""
+    p = np.asarray(p, dtype=float)
+    q = p - 0.5
+    with np.errstate(all="ignore"):
+        r = 0.180625 - q * q
+        mid = q * _horner(AS241["a"], r) / _horner(AS241["b"], r)
+        t = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+        near = _horner(AS241["c"], t - 1.6) / _horner(AS241["d"], t - 1.6)
+        far = _horner(AS241["e"], t - 5.0) / _horner(AS241["f"], t - 5.0)
+        side = np.where(t <= 5.0, near, far) * np.sign(q)
+    return np.where(np.abs(q) <= 0.425, mid, side)

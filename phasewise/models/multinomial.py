@@ -65,7 +65,7 @@ def fit_multinomial(df: DataFrame, y: str, levels: Sequence, terms, weight: str
     betas = {g: np.zeros(dim) for g in groups}
     schema = T.StructType([frame.schema[c] for c in gcols] + [T.StructField("i", T.IntegerType()), T.StructField("v", T.DoubleType())])
     sc = df.sparkSession.sparkContext
-    inv = {}
+    inv, likelihood = {}, {}
     for _ in range(MAX_STEPS):
         shared = sc.broadcast(betas)
 
@@ -85,7 +85,8 @@ def fit_multinomial(df: DataFrame, y: str, levels: Sequence, terms, weight: str
                     for c in range(m):
                         at = slice(c * p, (c + 1) * p)
                         cross[at, at] += (x * (wt * pr[:, c])[:, None]).T @ x
-                    v = np.concatenate([grad, cross.ravel()])
+                    logp = np.log(np.maximum((s / s.sum(axis=1, keepdims=True))[np.arange(len(g)), k], 1e-300))
+                    v = np.concatenate([grad, cross.ravel(), [wt @ logp]])
                     acc[key] = acc.get(key, 0.0) + v
             for key, v in acc.items():
                 out = pd.DataFrame({c: [q] * len(v) for c, q in zip(gcols, key)})
@@ -97,12 +98,16 @@ def fit_multinomial(df: DataFrame, y: str, levels: Sequence, terms, weight: str
         for key, g in sums.groupby(gcols, sort=False):
             key = key if isinstance(key, tuple) else (key,)
             v = g.sort_values("i")["v"].to_numpy()
-            hinv, _ = safe_inverse(v[dim:].reshape(1, dim, dim))
+            hinv, _ = safe_inverse(v[dim:-1].reshape(1, dim, dim))
             step = hinv[0] @ v[:dim]
             step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
             betas = {**betas, key: betas[key] + step}
             inv[key] = hinv[0]
-            worst = max(worst, float(np.abs(step).max()))
+            # Under separation coefficients run off while the likelihood has settled.
+            gain = abs(v[-1] - likelihood.get(key, -np.inf))
+            likelihood[key] = v[-1]
+            if gain > 1e-10 * abs(v[-1]):
+                worst = max(worst, float(np.abs(step).max()))
         if worst < TOLERANCE:
             break
     frame.unpersist()
