@@ -1,0 +1,181 @@
+"""Normal regression corrected for outcome-dependent selection in bins of the outcome.
+
+Validated rows were chosen with probability ``alloc[j]`` when the outcome fell in bin j, so the
+likelihood of a validated row is f(y|x) pi(y) / integral of f pi.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from phasewise.functions.keyed import normal, uniform
+from phasewise.functions.tails import normal_cdf_array, normal_ppf_array
+from phasewise.imputation.draws import RIDGE, rng_for
+from phasewise.models import linear
+from phasewise.models.linear import as_terms
+from phasewise.models.partial import sum_vectors
+
+MAX_STEPS = 100
+TOLERANCE = 1e-10
+
+
+def _phi(z):
+    return np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+
+
+@dataclass
+class SiwlFit:
+    terms: dict[str, Column]
+    beta: np.ndarray
+    log_sigma: float
+    cov: np.ndarray
+    splits: tuple[float, ...]
+    alloc: tuple[float, ...]
+    rss: float
+    n: int
+
+    @property
+    def sigma(self) -> float:
+        return math.exp(self.log_sigma)
+
+
+def likelihood_sums(x, y, beta, log_sigma, splits, alloc):
+    """Log-likelihood, gradient and curvature in (beta, log sigma), with the residual sum of squares."""
+    p = x.shape[1]
+    s = math.exp(log_sigma)
+    mu = x @ beta
+    r = (y - mu) / s
+    jumps = np.asarray(alloc[:-1]) - np.asarray(alloc[1:])
+    z = (np.asarray(splits)[None, :] - mu[:, None]) / s
+    f, cdf = _phi(z), normal_cdf_array(z)
+    d = alloc[-1] + cdf @ jumps
+    d_mu, d_s = -(f @ jumps) / s, -(f * z) @ jumps
+    d_mm = -(f * z) @ jumps / s ** 2
+    d_ms = (f * (1 - z * z)) @ jumps / s
+    d_ss = (z * f * (1 - z * z)) @ jumps
+    ll = (-0.5 * r * r - log_sigma - 0.5 * math.log(2 * math.pi) - np.log(d)).sum()
+    g_mu, g_s = r / s - d_mu / d, r * r - 1 - d_s / d
+    h_mm = -1 / s ** 2 - d_mm / d + (d_mu / d) ** 2
+    h_ms = -2 * r / s - d_ms / d + d_mu * d_s / d ** 2
+    h_ss = -2 * r * r - d_ss / d + (d_s / d) ** 2
+    hess = np.zeros((p + 1, p + 1))
+    hess[:p, :p] = (x * h_mm[:, None]).T @ x
+    hess[:p, p] = hess[p, :p] = x.T @ h_ms
+    hess[p, p] = h_ss.sum()
+    return np.concatenate([[ll], x.T @ g_mu, [g_s.sum()], hess.ravel(), [((y - mu) ** 2).sum(), len(y)]])
+
+
+def fit_siwl(df: DataFrame, y: str, terms: Mapping[str, Column] | Sequence[str], splits: Sequence[float], alloc: Sequence[float]) -> SiwlFit:
+    """Newton with a likelihood check; every step is one pass of partial sums over validated rows."""
+    terms = as_terms(terms)
+    p = len(terms)
+    xs = [f"x{i}" for i in range(p)]
+    frame = df.select(F.lit(0).alias("_all"), F.col(y).cast("double").alias("_y"), *[c.alias(x) for x, c in zip(xs, terms.values())]).dropna().persist()
+    first = linear.fit_lm(df, y, terms, intercept=False).table.first()
+    theta = np.concatenate([np.array(first["beta"]), [0.5 * math.log(max(first["rss"] / first["n"], 1e-12))]])
+    splits, alloc = tuple(float(v) for v in splits), tuple(float(v) for v in alloc)
+
+    def total(theta):
+        def batch(_, g):
+            return likelihood_sums(g[xs].to_numpy(float), g["_y"].to_numpy(float), theta[:p], theta[p], splits, alloc)
+
+        return sum_vectors(frame, ["_all"], batch)[(0,)]
+
+    v = total(theta)
+    for _ in range(MAX_STEPS):
+        grad, hess = v[1:p + 2], v[p + 2:-2].reshape(p + 1, p + 1)
+        vals, vecs = np.linalg.eigh(-(hess + hess.T) / 2)
+        step = vecs @ ((vecs.T @ grad) / np.maximum(np.abs(vals), 1e-8 * np.abs(vals).max()))
+        scale = 1.0
+        while scale > 1e-6:
+            new = total(theta + scale * step)
+            if new[0] >= v[0] - 1e-12 * abs(v[0]):
+                break
+            scale /= 2
+        theta, gain, v = theta + scale * step, new[0] - v[0], new
+        if np.abs(scale * step).max() < TOLERANCE or 0 <= gain < 1e-13 * abs(v[0]):
+            break
+    frame.unpersist()
+    hess = -v[p + 2:-2].reshape(p + 1, p + 1)
+    cov = np.linalg.pinv(hess + RIDGE * np.diag(np.diag(hess)))
+    return SiwlFit(terms, theta[:p], float(theta[p]), cov[:p, :p], splits, alloc, float(v[-2]), int(v[-1]))
+
+
+def _parameter_draw(fit: SiwlFit, seed, tag: str, imp: int) -> tuple[np.ndarray, float]:
+    rng = rng_for(seed, tag, imp)
+    vals, vecs = np.linalg.eigh((fit.cov + fit.cov.T) / 2)
+    beta = fit.beta + (vecs * np.sqrt(np.maximum(vals, 0))) @ rng.standard_normal(len(fit.beta))
+    return beta, math.sqrt(fit.rss / rng.chisquare(max(fit.n - len(fit.beta), 1)))
+
+
+def _bins(mu, sigma, splits):
+    z = (np.asarray(splits)[None, :] - mu[:, None]) / sigma
+    cdf = np.hstack([np.zeros((len(mu), 1)), normal_cdf_array(z), np.ones((len(mu), 1))])
+    return z, cdf
+
+
+def _unselected_mean(mu, sigma, splits, alloc):
+    """Mean of y among rows not selected: truncated-normal pieces weighted by 1 - alloc."""
+    z, cdf = _bins(mu, sigma, splits)
+    f = np.hstack([np.zeros((len(mu), 1)), _phi(z), np.zeros((len(mu), 1))])
+    keep = 1 - np.asarray(alloc)
+    prob = np.diff(cdf, axis=1)
+    piece = mu[:, None] * prob - sigma * np.diff(f, axis=1)
+    return (piece @ keep) / (prob @ keep)
+
+
+def _unselected_draw(mu, u1, u2, sigma, splits, alloc):
+    """Exact draw from f(y)(1 - pi(y)): choose the bin, then invert the distribution inside it.
+
+    This is the law that accept-reject with (1 - pi(y)) / max(1 - pi) converges to, without attempts.
+    """
+    _, cdf = _bins(mu, sigma, splits)
+    mass = np.diff(cdf, axis=1) * (1 - np.asarray(alloc))
+    cum = np.cumsum(mass, axis=1) / mass.sum(axis=1, keepdims=True)
+    j = np.minimum((cum <= u1[:, None]).sum(axis=1), len(alloc) - 1)
+    rows = np.arange(len(mu))
+    lo, hi = cdf[rows, j], cdf[rows, j + 1]
+    return mu + sigma * normal_ppf_array(np.clip(lo + u2 * (hi - lo), 1e-300, 1 - 1e-16))
+
+
+def draw_siwl(df: DataFrame, fit: SiwlFit, target: str, missing: str, key: str, seed, tag: str, m: int, by: str = "sampling") -> DataFrame:
+    """Fill rows flagged ``missing`` on a stacked table.
+
+    ``sampling`` draws from the law of unselected rows; ``integration`` takes its mean plus noise.
+    """
+    params = {i: _parameter_draw(fit, seed, f"{tag}|{target}", i) for i in range(1, m + 1)}
+    lookup = F.create_map(*[v for i, (b, _) in params.items() for v in (F.lit(i), F.array(*[F.lit(float(q)) for q in b]))])
+    d = df.withColumn("_beta", F.element_at(lookup, F.col("imp_id"))).withColumn("_mu", linear.eta(fit.terms))
+    sigma, splits, alloc = fit.sigma, fit.splits, fit.alloc
+
+    if by == "integration":
+        @F.pandas_udf("double")
+        def mean(mu: pd.Series) -> pd.Series:
+            return pd.Series(_unselected_mean(mu.to_numpy(float), sigma, splits, alloc))
+
+        sds = F.element_at(F.create_map(*[F.lit(v) for i, (_, s) in params.items() for v in (i, float(s))]), F.col("imp_id"))
+        value = mean("_mu") + sds * normal(seed, f"{tag}|{target}|e", "imp_id", key)
+    else:
+        @F.pandas_udf("double")
+        def drawn(mu: pd.Series, u1: pd.Series, u2: pd.Series) -> pd.Series:
+            return pd.Series(_unselected_draw(mu.to_numpy(float), u1.to_numpy(float), u2.to_numpy(float), sigma, splits, alloc))
+
+        value = drawn("_mu", uniform(seed, f"{tag}|{target}|bin", "imp_id", key), uniform(seed, f"{tag}|{target}|in", "imp_id", key))
+    return d.withColumn("_new", value).withColumn(target, F.when(F.col(missing), F.col("_new")).otherwise(F.col(target))).drop("_beta", "_mu", "_new")
+
+
+def impute_siwl(df: DataFrame, target: str, terms, splits, alloc, key: str, m: int, seed, by: str = "sampling") -> DataFrame:
+    """Fit on validated rows and fill the rest, m times."""
+    from phasewise.imputation.draws import stack_copies
+
+    fit = fit_siwl(df.where(F.col(target).isNotNull()), target, terms, splits, alloc)
+    flag = f"_miss_{target}"
+    d = stack_copies(df.withColumn(flag, F.col(target).isNull()), m)
+    return draw_siwl(d, fit, target, flag, key, seed, "siwl", m, by).drop(flag)

@@ -269,7 +269,9 @@ def dfbeta(fit: Fit, df: DataFrame, which: Sequence[str] | None = None, prefix:
     rows = [" + ".join(f"_bread[{i * p + j}] * _x[{j}]" for j in range(p)) for i in range(p)]
     d = d.withColumn("_mx", F.expr("array(" + ", ".join(rows) + ")"))
     h = F.expr(" + ".join(f"_mx[{i}] * _x[{i}]" for i in range(p)))
-    pull = w * (F.col(fit.y).cast("double") - F.col("_mu")) / (1 - w * variance_of(fit.family, F.col("_mu")) * h)
+    # A row that determines a coefficient alone has leverage 1: its influence is undefined.
+    rest = F.nullif(1 - w * variance_of(fit.family, F.col("_mu")) * h, F.lit(0.0))
+    pull = w * (F.col(fit.y).cast("double") - F.col("_mu")) / rest
     d = d.withColumn("_pull", pull)
     out = {f"{prefix}{n}": F.col("_pull") * F.col("_mx")[fit.names.index(n)] for n in which}
     return d.withColumns(out).drop("_beta", "_bread", "_x", "_mu", "_mx", "_pull")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phasewise.models.linear import as_terms, safe_inverse
+from phasewise.models.partial import sum_vectors
 from phasewise.session import join_small, local_frame
 
 MAX_STEPS = 40
@@ -63,41 +64,29 @@ def fit_multinomial(df: DataFrame, y: str, levels: Sequence, terms, weight: str
     frame = src.select(*gcols, codes.alias("_k"), w.alias("_w"), *[c.alias(x) for x, c in zip(xs, terms.values())]).dropna().persist()
     groups = [tuple(r) for r in frame.select(*gcols).distinct().collect()]
     betas = {g: np.zeros(dim) for g in groups}
-    schema = T.StructType([frame.schema[c] for c in gcols] + [T.StructField("i", T.IntegerType()), T.StructField("v", T.DoubleType())])
     sc = df.sparkSession.sparkContext
     inv, likelihood = {}, {}
     for _ in range(MAX_STEPS):
         shared = sc.broadcast(betas)
 
-        def partial(batches):
-            betas, acc = shared.value, {}
-            for pdf in batches:
-                for key, g in pdf.groupby(gcols, sort=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    x, wt, k = g[xs].to_numpy(float), g["_w"].to_numpy(float), g["_k"].to_numpy()
-                    s = np.column_stack([np.zeros(len(g)), x @ betas[key].reshape(m, p).T])
-                    s = np.exp(s - s.max(axis=1, keepdims=True))
-                    pr = (s / s.sum(axis=1, keepdims=True))[:, 1:]
-                    hit = (k[:, None] == np.arange(1, m + 1)).astype(float)
-                    grad = (((hit - pr) * wt[:, None]).T @ x).ravel()
-                    z = (pr[:, :, None] * x[:, None, :]).reshape(len(g), dim)
-                    cross = -(z * wt[:, None]).T @ z
-                    for c in range(m):
-                        at = slice(c * p, (c + 1) * p)
-                        cross[at, at] += (x * (wt * pr[:, c])[:, None]).T @ x
-                    logp = np.log(np.maximum((s / s.sum(axis=1, keepdims=True))[np.arange(len(g)), k], 1e-300))
-                    v = np.concatenate([grad, cross.ravel(), [wt @ logp]])
-                    acc[key] = acc.get(key, 0.0) + v
-            for key, v in acc.items():
-                out = pd.DataFrame({c: [q] * len(v) for c, q in zip(gcols, key)})
-                out["i"], out["v"] = np.arange(len(v), dtype=np.int32), v
-                yield out
-
-        sums = frame.mapInPandas(partial, schema).groupBy(*gcols, "i").agg(F.sum("v").alias("v")).toPandas()
+        def partial(key, g):
+            x, wt, k = g[xs].to_numpy(float), g["_w"].to_numpy(float), g["_k"].to_numpy()
+            s = np.column_stack([np.zeros(len(g)), x @ shared.value[key].reshape(m, p).T])
+            s = np.exp(s - s.max(axis=1, keepdims=True))
+            s /= s.sum(axis=1, keepdims=True)
+            pr = s[:, 1:]
+            hit = (k[:, None] == np.arange(1, m + 1)).astype(float)
+            grad = (((hit - pr) * wt[:, None]).T @ x).ravel()
+            z = (pr[:, :, None] * x[:, None, :]).reshape(len(g), dim)
+            info = -(z * wt[:, None]).T @ z
+            for c in range(m):
+                at = slice(c * p, (c + 1) * p)
+                info[at, at] += (x * (wt * pr[:, c])[:, None]).T @ x
+            return np.concatenate([grad, info.ravel(), [wt @ np.log(np.maximum(s[np.arange(len(g)), k], 1e-300))]])
+
+        sums = sum_vectors(frame, gcols, partial)
         worst = 0.0
-        for key, g in sums.groupby(gcols, sort=False):
-            key = key if isinstance(key, tuple) else (key,)
-            v = g.sort_values("i")["v"].to_numpy()
+        for key, v in sums.items():
             hinv, _ = safe_inverse(v[dim:-1].reshape(1, dim, dim))
             step = hinv[0] @ v[:dim]
             step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
@@ -113,7 +102,7 @@ def fit_multinomial(df: DataFrame, y: str, levels: Sequence, terms, weight: str
     frame.unpersist()
     arr = T.ArrayType(T.DoubleType())
     out = pd.DataFrame([{**dict(zip(gcols, k)), "beta": b.tolist(), "cov": inv[k].ravel().tolist()} for k, b in betas.items()])
-    tschema = T.StructType([schema[c] for c in gcols] + [T.StructField("beta", arr), T.StructField("cov", arr)])
+    tschema = T.StructType([frame.schema[c] for c in gcols] + [T.StructField("beta", arr), T.StructField("cov", arr)])
     table = local_frame(df.sparkSession, out, tschema)
     return MultinomialFit(list(levels), terms, by, table.drop("_all"))
 

@@ -90,10 +90,17 @@ def unpivot_terms(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> Dat
     return df.unpivot(list(ids), list(cols), "term", "estimate")
 
 
+def safe_corr(a: str, b: str) -> str:
+    """SQL for Pearson correlation on pairwise complete rows; NULL when a side is constant."""
+    sa = f"stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END)"
+    sb = f"stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)"
+    return f"(covar_pop({a}, {b}) / nullif({sa} * {sb}, 0D))"
+
+
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation and share of differing values."""
     return df.agg(
-        F.corr(a, b).alias("correlation"), F.avg((F.col(a) != F.col(b)).cast("double")).alias("mismatch")
+        F.expr(safe_corr(f"`{a}`", f"`{b}`")).alias("correlation"), F.avg((F.col(a) != F.col(b)).cast("double")).alias("mismatch")
     )
 
 

@@ -26,7 +26,7 @@ def pool_rubin(est: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFr
     u, b = F.avg(F.col("se") * F.col("se")), F.coalesce(F.var_samp("estimate"), F.lit(0.0))
     pooled = est.groupBy(*by).agg(m.alias("m"), F.avg("estimate").alias("estimate"), u.alias("within"), b.alias("between"))
     pooled = pooled.withColumn("_extra", (1 + 1 / F.col("m")) * F.col("between")).withColumns({
-        "se": F.sqrt(F.col("within") + F.col("_extra")), "r": F.col("_extra") / F.col("within"),
+        "se": F.sqrt(F.col("within") + F.col("_extra")), "r": F.col("_extra") / F.nullif(F.col("within"), F.lit(0.0)),
     })
     pooled = pooled.withColumn("df", F.when(F.col("r") > 0, (F.col("m") - 1) * F.pow(1 + 1 / F.col("r"), 2)).otherwise(LARGE_T_DF))
     pooled = pooled.withColumn("fmi", (F.col("r") + 2 / (F.col("df") + 3)) / (F.col("r") + 1))
@@ -51,10 +51,14 @@ def standardized_mse(true: DataFrame, imp: DataFrame, roles: Roles, by: Sequence
     """Squared error of numeric validated columns over the true variance, averaged over columns."""
     cols = [b for _, b in roles.numeric_pairs]
     j = _joined(true, imp, roles, cols)
+
+    def _share(c):
+        return F.col(f"_m_{c}") / F.nullif(F.col(f"_v_{c}"), F.lit(0.0))
+
     var = F.var_samp if sd == "samp" else F.var_pop
     spread = true.agg(*[var(c).alias(f"_v_{c}") for c in cols])
     sums = j.groupBy(*by).agg(*[F.avg(F.pow(F.col(f"_i_{c}") - F.col(f"_t_{c}"), 2)).alias(f"_m_{c}") for c in cols])
-    total = sum((F.col(f"_m_{c}") / F.col(f"_v_{c}") for c in cols[1:]), F.col(f"_m_{cols[0]}") / F.col(f"_v_{cols[0]}"))
+    total = sum((_share(c) for c in cols[1:]), _share(cols[0]))
     return sums.join(F.broadcast(spread)).select(*by, (total / len(cols)).alias("mse"))
 
 
@@ -182,7 +186,7 @@ def bias_table(est: DataFrame, truth: DataFrame, by: Sequence[str] = ("method",
     d = join_small(est, truth, ["term"], "inner").withColumn("_d", F.col("estimate") - F.col("truth"))
     med = exact_quantiles(d, "_d", [0.5], by).select(*by, F.col("value").alias("median_diff"))
     out = d.groupBy(*by).agg(F.avg("estimate").alias("mean_estimate"), F.avg("_d").alias("bias"), F.first("truth").alias("_t"))
-    out = out.withColumns({"percent_bias": 100 * F.col("bias") / F.col("_t"), "relative_bias": F.col("bias") / F.abs(F.col("_t"))})
+    out = out.withColumns({"percent_bias": 100 * F.col("bias") / F.nullif(F.col("_t"), F.lit(0.0)), "relative_bias": F.col("bias") / F.nullif(F.abs(F.col("_t")), F.lit(0.0))})
     return out.join(med, list(by), "inner").drop("_t")
 
 
@@ -205,7 +209,7 @@ def density_table(sources: Mapping[str, DataFrame], column: str | Column, bins:
     """Histogram density of a column per source over the range of the ``base`` source."""
     col = F.col(column) if isinstance(column, str) else column
     lo, hi = sources[base].agg(F.min(col), F.max(col)).first()
-    width = (hi - lo) / bins
+    width = (hi - lo) / bins or 1.0
     out = None
     for name, df in sources.items():
         v = df.select(F.lit(name).alias("source"), col.cast("double").alias("_v")).where(F.col("_v").between(lo, hi))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable, Mapping, Sequence
+
+import numpy as np
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasewise.functions.keyed import uniform
+from phasewise.imputation import draws
+from phasewise.operators.columns import Roles
 from phasewise.operators.joins import pareto_front
+from phasewise.operators.resampling import fold_assign
+from phasewise.session import join_small, settle
 
 
 def rank_to_utopia(trials: DataFrame, m1: str, m2: str, key: str, k: int = 5) -> DataFrame:
@@ -20,3 +30,114 @@ def rank_to_utopia(trials: DataFrame, m1: str, m2: str, key: str, k: int = 5) ->
 
     a, b = scaled(m1, "_a0", "_a1"), scaled(m2, "_b0", "_b1")
     return d.withColumn("distance", F.sqrt(a * a + b * b)).drop("_a0", "_a1", "_b0", "_b1").orderBy("distance", key).limit(k)
+
+
+# Pruning share, warm-up and the score of a failed trial.
+PRUNE_SHARE = 0.75
+PRUNE_WARMUP = 10
+FAILED = 1e9
+
+
+def search_space(trials: DataFrame, key: str, grid: Mapping[str, tuple], seed) -> DataFrame:
+    """Random parameters per trial. ``grid[name]`` is one of
+
+    ("choice", [values]), ("int", lo, hi), ("float", lo, hi), ("log", lo, hi),
+    ("pow2", lo_exp, hi_exp), ("step", lo, hi, step).
+    """
+    out = {}
+    for name, (kind, *a) in grid.items():
+        u = uniform(seed, name, key)
+        if kind == "choice":
+            out[name] = F.element_at(F.array(*[F.lit(v) for v in a[0]]), (F.floor(u * len(a[0])) + 1).cast("int"))
+        elif kind == "int":
+            out[name] = (F.lit(a[0]) + F.floor(u * (a[1] - a[0] + 1))).cast("int")
+        elif kind == "float":
+            out[name] = F.lit(float(a[0])) + u * F.lit(float(a[1] - a[0]))
+        elif kind == "log":
+            lo, hi = math.log(a[0]), math.log(a[1])
+            out[name] = F.exp(F.lit(lo) + u * F.lit(hi - lo))
+        elif kind == "pow2":
+            out[name] = F.pow(F.lit(2.0), F.lit(a[0]) + F.floor(u * (a[1] - a[0] + 1))).cast("int")
+        elif kind == "step":
+            n = int(round((a[1] - a[0]) / a[2])) + 1
+            out[name] = F.lit(float(a[0])) + F.floor(u * n) * F.lit(float(a[2]))
+        else:
+            raise ValueError(kind)
+    return trials.select(key).withColumns(out)
+
+
+def masked_cv_score(
+    df: DataFrame, roles: Roles, imputer: Callable[[DataFrame], DataFrame], folds: int, m: int, seed,
+    trial: int = 0,
+) -> DataFrame:
+    """Score an imputer by masking validated columns of one fold at a time on complete rows.
+
+    All folds and imputations form one stacked table whose ``imp_id`` numbers (fold, imputation),
+    so the imputer runs once. Returns (trial, fold, mse, error) averaged over imputations.
+    """
+    complete = df.dropna(subset=[c for p in roles.pairs for c in p])
+    d = fold_assign(complete, roles.key, folds, seed)
+    truth = d.select(roles.key, "fold", *[F.col(c).alias(f"_t_{c}") for c in roles.phase2])
+    stacked = draws.stack_copies(d, folds * m).withColumn("_held", F.col("fold") == F.floor((F.col("imp_id") - 1) / m))
+    stacked = stacked.withColumns({c: F.when(~F.col("_held"), F.col(c)) for c in roles.phase2})
+    stacked = stacked.withColumns({f"_miss_{c}": F.col("_held") for c in roles.phase2})
+    num, cat = [b for _, b in roles.numeric_pairs], [b for _, b in roles.categorical_pairs]
+    try:
+        done = imputer(stacked).where("_held").select(roles.key, "imp_id", *roles.phase2)
+        j = done.join(truth, roles.key, "inner")
+        mse = [f"avg(pow(`{c}` - `_t_{c}`, 2)) / var_samp(`_t_{c}`)" for c in num]
+        err = [f"avg(cast(cast(`{c}` as string) != cast(`_t_{c}` as string) as double))" for c in cat]
+        per = j.groupBy("fold", "imp_id").agg(
+            F.expr("(" + " + ".join(mse or ["0D"]) + f") / {max(len(num), 1)}").alias("mse"),
+            F.expr("(" + " + ".join(err or ["0D"]) + f") / {max(len(cat), 1)}").alias("error"))
+        scores = per.groupBy("fold").agg(F.avg("mse").alias("mse"), F.avg("error").alias("error"))
+        scores = settle(scores)[0]
+    except (PySparkException, np.linalg.LinAlgError):  # a failed trial scores the worst value
+        scores = df.sparkSession.range(folds).select(F.col("id").alias("fold"), F.lit(FAILED).alias("mse"), F.lit(FAILED).alias("error"))
+    return scores.select(F.lit(trial).alias("trial"), F.col("fold").cast("bigint").alias("fold"), "mse", "error")
+
+
+def prune_trials(scores: DataFrame, trial: str, fold: str, m1: str, m2: str, n_trials: int) -> DataFrame:
+    """Flag trials whose two losses both exceed the 75th percentile of earlier trials at that fold."""
+    warm = max(PRUNE_WARMUP, n_trials // 4)
+    earlier = Window.partitionBy(fold).orderBy(trial).rowsBetween(Window.unboundedPreceding, -1)
+    high1, high2 = F.percentile(m1, F.lit(PRUNE_SHARE)).over(earlier), F.percentile(m2, F.lit(PRUNE_SHARE)).over(earlier)
+    seen = F.count("*").over(earlier)
+    return scores.withColumn("pruned", F.coalesce((seen >= warm) & (F.col(m1) > high1) & (F.col(m2) > high2), F.lit(False)))
+
+
+def choose_config(trials: DataFrame, m1: str, m2: str, params: Sequence[str], integers: Sequence[str] = ()) -> DataFrame:
+    """Per-parameter median over the Pareto front; integer parameters are rounded."""
+    front = pareto_front(trials, m1, m2)
+    med = front.agg(*[F.median(p).alias(p) for p in params])
+    return med.withColumns({p: F.round(p).cast("int") for p in integers}) if integers else med
+
+
+def coefficient_bias_score(est: DataFrame, truth: DataFrame, weights: Mapping[str, float] | None = None, by: Sequence[str] = ("trial",)) -> DataFrame:
+    """Weighted |coefficient - truth| / (|truth| + mean |truth|) per trial."""
+    scale = truth.agg(F.avg(F.abs(F.col("truth"))).alias("_scale"))
+    t = truth.join(F.broadcast(scale))
+    d = join_small(est, t, ["term"], "inner")
+    w = F.lit(1.0)
+    for term, v in (weights or {}).items():
+        w = F.when(F.col("term") == term, F.lit(float(v))).otherwise(w)
+    score = F.abs(F.col("estimate") - F.col("truth")) / (F.abs(F.col("truth")) + F.col("_scale"))
+    return d.withColumn("_w", w).groupBy(*by).agg((F.sum(F.col("_w") * score) / F.sum("_w")).alias("score"))
+
+
+def choose_rounds(df: DataFrame, target: str, features: Sequence[str], key: str, seed, folds: int = 5, repeats: int = 20, rounds: int = 100, **params) -> int:
+    """Boosting rounds with the lowest held-out loss: cross-validated, repeated, median taken."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    d = VectorAssembler(inputCols=list(features), outputCol="_features").transform(df.dropna(subset=[target, *features])).select(key, target, "_features")
+    best = []
+    for rep in range(repeats):
+        f = fold_assign(d, key, folds, f"{seed}-{rep}").persist()
+        losses = np.zeros(rounds)
+        for k in range(folds):
+            model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=rounds, seed=rep, **params).fit(f.where(F.col("fold") != k))
+            losses += np.array(model.evaluateEachIteration(f.where(F.col("fold") == k), "squared"))
+        f.unpersist()
+        best.append(int(np.argmin(losses)) + 1)
+    return int(np.median(best))
