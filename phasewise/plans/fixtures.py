@@ -17,10 +17,17 @@ COHORT_ROLES = Roles(
 )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in one small file is read by one task; deal it out. Larger tables have splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, 8) else df
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: true and error-prone columns, outcomes and survival times."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    o = spread(o, "o_orderkey")
     k = F.col("o_orderkey")
     x = F.log("o_totalprice")
     base = o.join(c, o.o_custkey == c.c_custkey, "inner").select(
