@@ -91,6 +91,38 @@ def impute_fixed(df: DataFrame, targets: Mapping[str, Target], key: str, m: int
     return d.drop(*flags)
 
 
+def default_targets(df: DataFrame, cols: Sequence[str], predictors: Mapping[str, Sequence[str]] | None = None, options: Mapping[str, Mapping] | None = None) -> dict[str, Target]:
+    """Targets for every column of ``cols`` with NULLs, method by type.
+
+    Numeric: donor matching. Two levels: logit. More levels: multinomial. Predictors default to
+    all other columns; text predictors enter as 0/1 columns. Level lists are small by nature.
+    """
+    text = [c for c in cols if df.schema[c].dataType.simpleString() == "string"]
+    counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
+    levels = {c: [r[0] for r in level_codes(df, c).orderBy("code").select(c).collect()] for c in text}
+
+    def terms(target):
+        out = {}
+        for c in (predictors or {}).get(target, [c for c in cols if c != target]):
+            if c in levels:
+                out.update({f"{c}_{v}": (F.col(c) == F.lit(v)).cast("double") for v in levels[c][1:]})
+            else:
+                out[c] = F.col(c)
+        return out
+
+    targets = {}
+    for c in cols:
+        if not counts[c]:
+            continue
+        if c in levels:
+            targets[c] = Target("multiclass", terms(c), levels[c])
+        else:
+            values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(3).collect()]
+            method = "binary" if set(values) == {0, 1} else "pmm"
+            targets[c] = Target(method, terms(c), None, (options or {}).get(c, {}))
+    return targets
+
+
 def select_predictors(df: DataFrame, cols: Sequence[str], mincor: float = MIN_CORRELATION, forced: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Predictor table (target, predictor, correlation, used).
 

@@ -44,8 +44,8 @@ def priority_counts(ns: np.ndarray, units: int, cap: np.ndarray | None = None) -
 
     def count(tau):
         q = ns / tau
-        j = np.floor((np.sqrt(1.0 + 4.0 * q * q) - 1.0) / 2.0)
-        j = np.where(value(np.maximum(j, 1)) < tau, j - 1, j)
+        j = np.maximum(np.floor((np.sqrt(1.0 + 4.0 * q * q) - 1.0) / 2.0), 1.0)
+        j = np.where((value(j) < tau) & (j > 1), j - 1, j)
         j = np.where(value(j + 1) >= tau, j + 1, j)
         return np.minimum(np.where(positive, np.maximum(j - 1, 0), 0), limit)
 
