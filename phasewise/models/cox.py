@@ -303,11 +303,12 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, weight: str | None = No
     return Fit("cox", "cox", data.terms, list(data.named_by), table.drop("_all"), True, time, weight, {"event": event})
 
 
-def score_residuals(df: DataFrame, time: str, event: str, terms, key: str, fit: Fit, weight: str | None = None, strata: str | None = None) -> DataFrame:
+def score_residuals(df: DataFrame, time: str, event: str, terms, key: str, fit: Fit, weight: str | None = None, strata: str | None = None,
+                    data: CoxData | None = None) -> DataFrame:
     """Row score residuals ``u0..up`` at the fitted coefficients (rows in the model frame)."""
     carry = [key] + ([strata] if strata and strata != key else [])
     by = fit.by
-    data = CoxData(df, time, event, terms, weight, by, carry)
+    data = data or CoxData(df, time, event, terms, weight, by, carry)
     p, lay = data.p, data.lay
     betas = {tuple(r[c] for c in by) if by else (0,): np.array(r["beta"]) for r in fit.table.collect()}
     edges, offsets = data.blocks(data.totals(betas))
@@ -392,7 +393,9 @@ def dfbeta_cox(fit: Fit, df: DataFrame, time: str, event: str, terms, key: str,
 
 def fit_survey_cox(df: DataFrame, time: str, event: str, terms, key: str, weight: str, strata: str | None = None, by: Sequence[str] = ()) -> Fit:
     """Design-weighted Cox fit with sandwich variance by strata."""
-    fit = fit_cox(df, time, event, terms, weight, by)
-    u = score_residuals(df, time, event, terms, key, fit, weight, strata)
+    carry = [key] + ([strata] if strata and strata != key else [])
+    data = CoxData(df, time, event, terms, weight, by, carry)  # partitioned once, used by both steps
+    fit = fit_cox(df, time, event, terms, weight, by, data)
+    u = score_residuals(df, time, event, terms, key, fit, weight, strata, data)
     z = u.select(*fit.by, *([strata] if strata else []), *[F.expr(f"_w * u{i} AS z{i}") for i in range(len(fit.terms))])
     return sandwich(fit, z, strata)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phasewise.models import cox, linear, multinomial
 from phasewise.models.linear import Fit, product_sums, score_sums, stack_column, unpack
-from phasewise.session import join_small
+from phasewise.session import cut, join_small
 
 RAKE_STEPS = 50
 RAKE_TOLERANCE = 1e-12
@@ -117,7 +117,8 @@ def raking_estimate(
         fit = cox.fit_cox(d, y_work[0], y_work[1], working)
         infl = cox.dfbeta_cox(fit, d, y_work[0], y_work[1], working, key, prefix="if_")
         names = [f"if_{n}" for n in fit.names]
-        d = d.join(infl, key, "inner")
+        # The influence columns cost two passes and a join: keep them, later steps scan them often.
+        d = cut(d.join(infl, key, "inner"))
     else:
         family = {"gauss": "gaussian", "bin": "binomial"}[kind]
         fit = linear.fit_glm(d, y_work, working, family)

@@ -22,7 +22,7 @@ def spine_join(spine: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFr
 def exclude_subjects(df: DataFrame, key: str, column: str) -> DataFrame:
     """Drop every row of a subject with one NULL in ``column``."""
     bad = df.where(F.col(column).isNull()).select(key).distinct()
-    return df.join(bad, key, "left_anti")
+    return join_small(df, bad, [key], "left_anti")
 
 
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str], drop_null: str | None = None) -> DataFrame:

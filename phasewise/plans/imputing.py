@@ -11,7 +11,7 @@ from phasewise.operators import calibration, designs, tuning
 from phasewise.operators import evaluation as ev
 from phasewise.operators.columns import Roles
 from phasewise.plans import fixtures as fx
-from phasewise.plans.modelling import long_terms, newton3, short
+from phasewise.plans.modelling import eliminate, long_terms, newton3, sandwich3, short
 from phasewise.plans.registry import query, rnd, srnd, table
 from phasewise.plans.sampling import cohort
 
@@ -81,27 +81,61 @@ def raking(spark, d, kind):
     working = {"x": F.col("x_true_impute"), "z": F.col("z_bal")}
     final = {"x": F.col("x_true"), "z": F.col("z_bal")}
     fit = calibration.raking_estimate(s, kind, "row_id", IMPUTERS, working, final, y, strata="z_seg")
-    return short(linear.coef_table(fit))
+    return linear.coef_table(fit)
 
 
-RAKE_GAUSS = f"""{S_SQL}, q0 AS MATERIALIZED (SELECT *, 1/avg(r) OVER (PARTITION BY z_seg) AS w FROM s), pv AS (SELECT * FROM q0 WHERE r = 1),
+def rake4_sql(src: str, aux: list[str], steps: int = 9) -> str:
+    """Newton for exponential-tilt weights on an intercept and ``aux``."""
+    n = len(aux) + 1
+    xs = ["1.0::DOUBLE", *aux]
+    out = [f"rt AS MATERIALIZED (SELECT {', '.join(f'sum({x}) AS t{i}' for i, x in enumerate(xs))} FROM {src})",
+           f"ri AS MATERIALIZED (SELECT w, {', '.join(f'{x} AS a{i}' for i, x in enumerate(xs))} FROM {src} WHERE r = 1)",
+           f"k0 AS (SELECT {', '.join(f'0.0::DOUBLE AS l{i}' for i in range(n))})"]
+    for k in range(1, steps + 1):
+        sums = [f"any_value(l{i}) AS l{i}" for i in range(n)] + [f"any_value(t{i})-sum(v*a{i}) AS g{i}" for i in range(n)]
+        sums += [f"sum(v*a{i}*a{j}) AS h{i}_{j}" for i in range(n) for j in range(i, n)]
+        inner = f"(SELECT {', '.join(sums)} FROM (SELECT *, w*exp({' + '.join(f'l{i}*a{i}' for i in range(n))}) AS v FROM ri, rt, k{k - 1}))"
+        out.append(f"k{k} AS MATERIALIZED (SELECT {', '.join(f'l{i}+x{i} AS l{i}' for i in range(n))} FROM ({eliminate(inner, n)}))")
+    return ",\n".join(out)
+
+
+def raking_sql(y: str, family: str, steps: int) -> str:
+    """Prediction model on validated rows, working model on everyone, its influence columns, raking, final fit."""
+    mu = "1/(1+exp(-(b0+b1*xi+b2*z_bal)))" if family == "binomial" else "b0+b1*xi+b2*z_bal"
+    var = "mu*(1-mu)" if family == "binomial" else "1.0::DOUBLE"
+    rows = [f"(i0{j} + i{min(1, j)}{max(1, j)}*xi + i{min(2, j)}{max(2, j)}*z_bal)" for j in range(3)]
+    lever = f"({rows[0]} + {rows[1]}*xi + {rows[2]}*z_bal)"
+    infl = ", ".join(f"{rows[j]}*({y}-mu)/(1-{var}*{lever})*1e4 AS f{j}" for j in range(3))
+    final_mu = "1/(1+exp(-(b0+b1*x_true+b2*z_bal)))" if family == "binomial" else "b0+b1*x_true+b2*z_bal"
+    return f"""WITH {S_SQL}, q0 AS MATERIALIZED (SELECT *, 1/avg(r) OVER (PARTITION BY z_seg) AS w FROM s), pv AS (SELECT * FROM q0 WHERE r = 1),
     {newton3('x_true', 'x_star', 'z_bal', 'gaussian', 'pv', 'w', steps=2, tag='a')},
-    q1 AS MATERIALIZED (SELECT q0.*, a2.b0+a2.b1*x_star+a2.b2*z_bal AS xi FROM q0, a2)"""
+    q1 AS MATERIALIZED (SELECT q0.*, a2.b0+a2.b1*x_star+a2.b2*z_bal AS xi FROM q0, a2),
+    {newton3(y, 'xi', 'z_bal', family, 'q1', steps=steps, tag='m')},
+    q2 AS MATERIALIZED (SELECT row_id, r, w, z_seg, x_true, z_bal, {y}, {infl} FROM (SELECT *, {mu} AS mu FROM q1, m{steps})),
+    {rake4_sql('q2', ['f0', 'f1', 'f2'])},
+    fin AS MATERIALIZED (SELECT q2.*, w*exp(l0+l1*f0+l2*f1+l3*f2) AS wc FROM q2, k9 WHERE r = 1),
+    {newton3(y, 'x_true', 'z_bal', family, 'fin', 'wc', steps=steps, tag='e')},
+    p AS (SELECT fin.*, {final_mu} AS mu FROM fin, e{steps}), {sandwich3(f'wc*({y}-mu)', 'p', f'e{steps}')}
+    {long_terms([('(Intercept)', 'b0', 'sqrt(v0)'), ('x', 'b1', 'sqrt(v1)'), ('z', 'b2', 'sqrt(v2)')], 'sv', 5)}"""
+
+
+def short5(df):
+    return df.select("term", rnd("estimate", 5).alias("estimate"), rnd("se", 5).alias("se"))
 
 
-@query("raking_estimate_gauss")
+@query("raking_estimate_gauss", raking_sql("y", "gaussian", 2))
 def raking_estimate_gauss(spark, d):
-    return raking(spark, d, "gauss")
+    return short5(raking(spark, d, "gauss"))
 
 
-@query("raking_estimate_bin")
+@query("raking_estimate_bin", raking_sql("yb", "binomial", 12))
 def raking_estimate_bin(spark, d):
-    return raking(spark, d, "bin")
+    return short5(raking(spark, d, "bin"))
 
 
 @query("raking_estimate_cox")
 def raking_estimate_cox(spark, d):
-    return raking(spark, d, "cox")
+    return short(raking(spark, d, "cox"))
 
 
 # ------------------------------------------------------------- imputation

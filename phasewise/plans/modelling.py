@@ -53,6 +53,43 @@ def cox2(time: str, event: str, x1: str, x2: str, src: str = "cohort", steps: in
     return ",\n".join(out)
 
 
+def eliminate(src: str, n: int) -> str:
+    """Solution x0..x(n-1) of the symmetric system h<i>_<j>, g<i> in the one-row table ``src``; other columns stay."""
+    sql = f"SELECT * FROM {src}"
+    for k in range(n):
+        parts = [f"h{i}_{j} - h{k}_{i}/h{k}_{k}*h{k}_{j} AS h{i}_{j}" for i in range(k + 1, n) for j in range(i, n)]
+        parts += [f"g{i} - h{k}_{i}/h{k}_{k}*g{k} AS g{i}" for i in range(k + 1, n)]
+        if parts:
+            sql = f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql})"
+    for k in range(n - 1, -1, -1):
+        rest = "".join(f" - h{k}_{j}*x{j}" for j in range(k + 1, n))
+        sql = f"SELECT *, (g{k}{rest})/h{k}_{k} AS x{k} FROM ({sql})"
+    return sql
+
+
+def multinomial_sql(y: str, levels: list[str], xs: list[str], src: str = "cohort", steps: int = 7, tag: str = "q") -> str:
+    """Newton for a multinomial logit; the first level is the reference."""
+    p, m = len(xs), len(levels) - 1
+    n = m * p
+    cols = ", ".join(f"{x}::DOUBLE AS v{i}" for i, x in enumerate(xs))
+    out = [f"{tag}d AS MATERIALIZED (SELECT {y} AS y, {cols} FROM {src})",
+           f"{tag}0 AS MATERIALIZED (SELECT {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(n))})"]
+    for k in range(1, steps + 1):
+        e = ", ".join("exp(" + " + ".join(f"b{c * p + i}*v{i}" for i in range(p)) + f") AS e{c}" for c in range(m))
+        pr = ", ".join(f"e{c}/tot AS p{c}" for c in range(m))
+        sums = [f"any_value(b{i}) AS b{i}" for i in range(n)]
+        sums += [f"sum(((y = '{levels[c + 1]}')::INTEGER - p{c})*v{i}) AS g{c * p + i}" for c in range(m) for i in range(p)]
+        for a in range(n):
+            for b in range(a, n):
+                ca, ia, cb, ib = a // p, a % p, b // p, b % p
+                v = f"p{ca}*(1-p{ca})" if ca == cb else f"-p{ca}*p{cb}"
+                sums.append(f"sum({v}*v{ia}*v{ib}) AS h{a}_{b}")
+        tot = "1.0::DOUBLE + " + " + ".join(f"e{c}" for c in range(m))
+        inner = f"(SELECT {', '.join(sums)} FROM (SELECT *, {pr} FROM (SELECT *, {tot} AS tot FROM (SELECT *, {e} FROM {tag}d, {tag}{k - 1}))))"
+        out.append(f"{tag}{k} AS MATERIALIZED (SELECT {', '.join(f'b{i}+x{i} AS b{i}' for i in range(n))} FROM ({eliminate(inner, n)}))")
+    return ",\n".join(out)
+
+
 def long_terms(spec: list[tuple[str, str, str]], src: str, digits: int = 6) -> str:
     """(term, estimate, se) rows from expressions over a one-row table."""
     return " UNION ALL ".join(f"SELECT '{t}' AS term, {srnd(e, digits)} AS estimate, {srnd(s, digits)} AS se FROM {src}" for t, e, s in spec)
@@ -107,12 +144,15 @@ def fit_poisson_pruned(spark, d):
     return short(linear.coef_table(fit))
 
 
-@query("fit_multinomial")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("fit_multinomial", f"""WITH {C}, {multinomial_sql('c_star', PRIORITIES, ['1', '(x_star - 12)', 'z_bal'])}
+    {' UNION ALL '.join(f"SELECT {i} AS pos, {srnd(f'b{i}', 5)} AS estimate FROM q7" for i in range(12))}""")
 def fit_multinomial(spark, d):
     f = fx.cohort(spark, d)
-    levels = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    fit = multinomial.fit_multinomial(f, "c_true", levels, {"x_star": F.col("x_star") - 12, "med": (F.col("c_star") == "3-MEDIUM").cast("double")})
-    return fit.table.select(F.posexplode("beta").alias("pos", "estimate")).select("pos", rnd("estimate").alias("estimate"))
+    fit = multinomial.fit_multinomial(f, "c_star", PRIORITIES, {"x_star": F.col("x_star") - 12, "z_bal": F.col("z_bal")})
+    return fit.table.select(F.posexplode("beta").alias("pos", "estimate")).select("pos", rnd("estimate", 5).alias("estimate"))
 
 
 @query("fit_binary_as_multinomial", f"WITH {C}, {newton3('yb', 'x_true', 'z_bal', 'binomial', steps=12)} SELECT 0 AS pos, {srnd('b0')} AS estimate FROM g12 UNION ALL SELECT 1, {srnd('b1')} FROM g12 UNION ALL SELECT 2, {srnd('b2')} FROM g12")
