@@ -18,7 +18,7 @@ from phasewise.functions.keyed import normal, uniform
 from phasewise.functions.scalar import expit
 from phasewise.models import linear, multinomial
 from phasewise.models.linear import Fit
-from phasewise.operators.joins import knn_donors
+from phasewise.operators.joins import nearest_donors
 from phasewise.operators.order import uniform_rank
 from phasewise.session import join_small, per_row_numpy
 
@@ -96,10 +96,9 @@ def match_donors(df: DataFrame, target: str, donor_pred: str, missing: str, key:
     by = ["imp_id"]
     donors = df.where(~F.col(missing)).select(*by, F.col(key).alias("_donor"), F.col(donor_pred).alias("_p"), F.col(target).alias("_dv"))
     recipients = df.where(F.col(missing)).select(*by, key, F.col(donor_pred).alias("_p"))
-    near = knn_donors(donors, recipients, "_donor", key, "_p", k, by)
-    size = donors.groupBy(*by).agg(F.least(F.count("*"), F.lit(k)).alias("_k"))
-    pick = F.floor(uniform(seed, f"{tag}|{target}|pick", "imp_id", key) * F.col("_k")) + 1
-    chosen = join_small(near, size, by, "inner").where(F.col("rank") == pick).select(*by, key, "_donor")
+    near = nearest_donors(donors, recipients, "_donor", key, "_p", k, by)
+    pick = F.floor(uniform(seed, f"{tag}|{target}|pick", "imp_id", key) * F.size("near")) + 1
+    chosen = near.select(*by, key, F.element_at("near", pick.cast("int"))["donor"].alias("_donor"))
     values = chosen.join(donors.select(*by, "_donor", "_dv"), [*by, "_donor"], "inner").select(*by, key, "_dv")
     out = df.join(values, [*by, key], "left")
     return out.withColumn(target, F.when(F.col(missing), F.col("_dv")).otherwise(F.col(target))).drop("_dv")

@@ -118,16 +118,17 @@ def pareto_front(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.join(front, [first, second], "left_semi")
 
 
-def knn_donors(
+def nearest_donors(
     donors: DataFrame, recipients: DataFrame, donor_key: str, recipient_key: str, pred: str, k: int,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """k donors nearest in predicted value per recipient; ties go to the smaller donor key.
+    """Per recipient an array ``near`` of the k donors nearest in predicted value.
 
-    Exact for any size: distinct donor predictions get ranks by a distributed prefix sum,
-    each distinct recipient prediction looks at k ranks below and k above. At most k donors
-    per distinct prediction can ever be chosen, so equal predictions stay bounded.
-    Returns ``by``, ``recipient_key``, ``donor_key``, ``distance``, ``rank``.
+    Entries are (distance, donor) in order; ties go to the smaller donor key. Exact for any
+    size: distinct donor predictions get ranks by a distributed prefix sum, and every gap
+    between ranks gets the k ranks below and above it. Only donors (the validated share) are
+    multiplied; recipients meet their gap once and sort at most 2k candidates in the row.
+    At most k donors per distinct prediction can ever be chosen, so equal ones stay bounded.
     """
     by = list(by)
     d = donors.select(*by, F.col(pred).alias("_p"), F.col(donor_key).alias("_d")).where(F.col("_p").isNotNull())
@@ -144,19 +145,25 @@ def knn_donors(
         .agg(F.first("_donors", ignorenulls=True).alias("_donors"), F.max("_isd").alias("_isd"), F.max("_isr").alias("_isr"))
     )
     ranked = running_sums(both, ["_p"], {"_pos": "_isd"}, by)
-    values = ranked.where(F.col("_isd") == 1).select(*by, F.col("_pos").alias("_at"), F.col("_p").alias("_dp"), "_donors")
-    asks = ranked.where(F.col("_isr") == 1).select(
-        *by, "_p", F.explode(F.sequence(F.col("_pos") - (k - 1), F.col("_pos") + k)).alias("_at")
-    )
-    near = Window.partitionBy(*by, "_p").orderBy("distance", donor_key)
-    picked = (
-        asks.join(values, [*by, "_at"], "inner")
-        .select(*by, "_p", F.abs(F.col("_dp") - F.col("_p")).alias("distance"), F.explode("_donors").alias(donor_key))
-        .withColumn("rank", F.row_number().over(near))
-        .where(F.col("rank") <= k)
-    )
-    return (
-        recipients.select(*by, recipient_key, F.col(pred).alias("_p"))
-        .join(picked, [*by, "_p"], "inner")
-        .select(*by, recipient_key, donor_key, "distance", "rank")
+    gaps = (
+        ranked.where(F.col("_isd") == 1)
+        .select(*by, F.struct(F.col("_p").alias("p"), F.col("_donors").alias("ds")).alias("_c"),
+                F.explode(F.sequence(F.col("_pos") - k, F.col("_pos") + (k - 1))).alias("_pos"))
+        .groupBy(*by, "_pos")
+        .agg(F.collect_list("_c").alias("_cands"))
     )
+    near = F.expr(f"""slice(array_sort(flatten(transform(_cands, c -> transform(c.ds,
+        d -> named_struct('distance', abs(c.p - _p), 'donor', d))))), 1, {k})""")
+    asks = ranked.where(F.col("_isr") == 1).select(*by, "_p", "_pos").join(gaps, [*by, "_pos"], "inner")
+    asks = asks.select(*by, "_p", near.alias("near"))
+    return recipients.select(*by, recipient_key, F.col(pred).alias("_p")).join(asks, [*by, "_p"], "inner").drop("_p")
+
+
+def knn_donors(
+    donors: DataFrame, recipients: DataFrame, donor_key: str, recipient_key: str, pred: str, k: int,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """The same as rows: ``by``, ``recipient_key``, ``donor_key``, ``distance``, ``rank``."""
+    near = nearest_donors(donors, recipients, donor_key, recipient_key, pred, k, by)
+    rows = near.select(*by, recipient_key, F.posexplode("near").alias("_i", "_n"))
+    return rows.select(*by, recipient_key, F.col("_n.donor").alias(donor_key), F.col("_n.distance").alias("distance"), (F.col("_i") + 1).alias("rank"))
