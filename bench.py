@@ -10,7 +10,7 @@ from phasewise.session import local_session
 HEADLINE = [
     "flagship_pooled_lm", "fit_lm_grouped", "fit_logistic", "fit_cox", "srs", "residual_sampling", "neyman_inf", "balanced",
     "window_nearest", "first_per_key", "spine_join", "knn_donors", "rake", "draw_pmm", "pool_rubin", "bias_table",
-    "quantiles", "ecdf_midrank", "transform_pipeline", "error_matrix", "bootstrap", "weighted_resample", "classify_by_rules",
+    "quantiles", "ecdf_midrank", "transform_stages_round_trip", "error_matrix", "bootstrap", "weighted_resample", "classify_by_rules",
 ]
 
 

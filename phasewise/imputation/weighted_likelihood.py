@@ -31,7 +31,7 @@ def _phi(z):
 
 
 @dataclass
-class SiwlFit:
+class WeightedLikelihoodFit:
     terms: dict[str, Column]
     beta: np.ndarray
     log_sigma: float
@@ -72,7 +72,7 @@ def likelihood_sums(x, y, beta, log_sigma, splits, alloc):
     return np.concatenate([[ll], x.T @ g_mu, [g_s.sum()], hess.ravel(), [((y - mu) ** 2).sum(), len(y)]])
 
 
-def fit_siwl(df: DataFrame, y: str, terms: Mapping[str, Column] | Sequence[str], splits: Sequence[float], alloc: Sequence[float]) -> SiwlFit:
+def fit_weighted_likelihood(df: DataFrame, y: str, terms: Mapping[str, Column] | Sequence[str], splits: Sequence[float], alloc: Sequence[float]) -> WeightedLikelihoodFit:
     """Newton with a likelihood check; every step is one pass of partial sums over validated rows."""
     terms = as_terms(terms)
     p = len(terms)
@@ -105,10 +105,10 @@ def fit_siwl(df: DataFrame, y: str, terms: Mapping[str, Column] | Sequence[str],
     frame.unpersist()
     hess = -v[p + 2:-2].reshape(p + 1, p + 1)
     cov = np.linalg.pinv(hess + RIDGE * np.diag(np.diag(hess)))
-    return SiwlFit(terms, theta[:p], float(theta[p]), cov[:p, :p], splits, alloc, float(v[-2]), int(v[-1]))
+    return WeightedLikelihoodFit(terms, theta[:p], float(theta[p]), cov[:p, :p], splits, alloc, float(v[-2]), int(v[-1]))
 
 
-def _parameter_draw(fit: SiwlFit, seed, tag: str, imp: int) -> tuple[np.ndarray, float]:
+def _parameter_draw(fit: WeightedLikelihoodFit, seed, tag: str, imp: int) -> tuple[np.ndarray, float]:
     rng = rng_for(seed, tag, imp)
     vals, vecs = np.linalg.eigh((fit.cov + fit.cov.T) / 2)
     beta = fit.beta + (vecs * np.sqrt(np.maximum(vals, 0))) @ rng.standard_normal(len(fit.beta))
@@ -145,7 +145,7 @@ def _unselected_draw(mu, u1, u2, sigma, splits, alloc):
     return mu + sigma * normal_ppf_array(np.clip(lo + u2 * (hi - lo), 1e-300, 1 - 1e-16))
 
 
-def draw_siwl(df: DataFrame, fit: SiwlFit, target: str, missing: str, key: str, seed, tag: str, m: int, by: str = "sampling") -> DataFrame:
+def draw_weighted_likelihood(df: DataFrame, fit: WeightedLikelihoodFit, target: str, missing: str, key: str, seed, tag: str, m: int, by: str = "sampling") -> DataFrame:
     """Fill rows flagged ``missing`` on a stacked table.
 
     ``sampling`` draws from the law of unselected rows; ``integration`` takes its mean plus noise.
@@ -171,11 +171,11 @@ def draw_siwl(df: DataFrame, fit: SiwlFit, target: str, missing: str, key: str,
     return d.withColumn("_new", value).withColumn(target, F.when(F.col(missing), F.col("_new")).otherwise(F.col(target))).drop("_beta", "_mu", "_new")
 
 
-def impute_siwl(df: DataFrame, target: str, terms, splits, alloc, key: str, m: int, seed, by: str = "sampling") -> DataFrame:
+def impute_weighted_likelihood(df: DataFrame, target: str, terms, splits, alloc, key: str, m: int, seed, by: str = "sampling") -> DataFrame:
     """Fit on validated rows and fill the rest, m times."""
     from phasewise.imputation.draws import stack_copies
 
-    fit = fit_siwl(df.where(F.col(target).isNotNull()), target, terms, splits, alloc)
+    fit = fit_weighted_likelihood(df.where(F.col(target).isNotNull()), target, terms, splits, alloc)
     flag = f"_miss_{target}"
     d = stack_copies(df.withColumn(flag, F.col(target).isNull()), m)
-    return draw_siwl(d, fit, target, flag, key, seed, "siwl", m, by).drop(flag)
+    return draw_weighted_likelihood(d, fit, target, flag, key, seed, "weighted_likelihood", m, by).drop(flag)

@@ -127,7 +127,8 @@ def nearest_donors(
     Entries are (distance, donor) in order; ties go to the smaller donor key. Exact for any
     size: distinct donor predictions get ranks by a distributed prefix sum, and every gap
     between ranks gets the k ranks below and above it. Only donors (the validated share) are
-    multiplied; recipients meet their gap once and sort at most 2k candidates in the row.
+    multiplied; recipients meet their gap once and sort at most 2k candidates in the row. A gap
+    with very many recipients is a skewed join key on one side only, which AQE splits.
     At most k donors per distinct prediction can ever be chosen, so equal ones stay bounded.
     """
     by = list(by)
@@ -135,16 +136,13 @@ def nearest_donors(
     top = Window.partitionBy(*by, "_p").orderBy("_d")
     d = d.withColumn("_rn", F.row_number().over(top)).where(F.col("_rn") <= k)
     d = d.groupBy(*by, "_p").agg(F.array_sort(F.collect_list("_d")).alias("_donors"))
-    r = recipients.select(*by, F.col(pred).alias("_p")).where(F.col("_p").isNotNull()).distinct()
-    # One row per distinct prediction: flag 1 where a donor has it.
-    both = (
-        d.select(*by, "_p", "_donors", F.lit(1).alias("_isd"), F.lit(0).alias("_isr"))
-        .unionByName(r.select(*by, "_p", F.lit(None).cast(d.schema["_donors"].dataType).alias("_donors"),
-                              F.lit(0).alias("_isd"), F.lit(1).alias("_isr")))
-        .groupBy(*by, "_p")
-        .agg(F.first("_donors", ignorenulls=True).alias("_donors"), F.max("_isd").alias("_isd"), F.max("_isr").alias("_isr"))
-    )
-    ranked = running_sums(both, ["_p"], {"_pos": "_isd"}, by)
+    # Donor predictions and recipients on one line; donors come first where both agree.
+    key_type = recipients.schema[recipient_key].dataType
+    line = d.select(*by, "_p", F.lit(0).alias("_kind"), F.lit(None).cast(key_type).alias("_id"), "_donors", F.lit(1).alias("_isd")).unionByName(
+        recipients.where(F.col(pred).isNotNull()).select(
+            *by, F.col(pred).alias("_p"), F.lit(1).alias("_kind"), F.col(recipient_key).alias("_id"),
+            F.lit(None).cast(d.schema["_donors"].dataType).alias("_donors"), F.lit(0).alias("_isd")))
+    ranked = running_sums(line, ["_p", "_kind", "_id"], {"_pos": "_isd"}, by)
     gaps = (
         ranked.where(F.col("_isd") == 1)
         .select(*by, F.struct(F.col("_p").alias("p"), F.col("_donors").alias("ds")).alias("_c"),
@@ -154,9 +152,8 @@ def nearest_donors(
     )
     near = F.expr(f"""slice(array_sort(flatten(transform(_cands, c -> transform(c.ds,
         d -> named_struct('distance', abs(c.p - _p), 'donor', d))))), 1, {k})""")
-    asks = ranked.where(F.col("_isr") == 1).select(*by, "_p", "_pos").join(gaps, [*by, "_pos"], "inner")
-    asks = asks.select(*by, "_p", near.alias("near"))
-    return recipients.select(*by, recipient_key, F.col(pred).alias("_p")).join(asks, [*by, "_p"], "inner").drop("_p")
+    asks = ranked.where(F.col("_kind") == 1).select(*by, F.col("_id").alias(recipient_key), "_p", "_pos")
+    return asks.join(gaps, [*by, "_pos"], "inner").select(*by, recipient_key, near.alias("near"))
 
 
 def knn_donors(

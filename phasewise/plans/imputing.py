@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phasewise.imputation import chained, draws, error_model, siwl
+from phasewise.imputation import chained, draws, error_model, weighted_likelihood
 from phasewise.imputation.chained import Target
 from phasewise.models import cox, linear
 from phasewise.operators import calibration, designs, tuning
@@ -232,22 +232,22 @@ def outcome_sample(spark, d):
     return f.withColumn("x_true", F.when(F.col("R") == 1, F.col("x_true")))
 
 
-@query("fit_siwl")
-def fit_siwl(spark, d):
-    fit = siwl.fit_siwl(outcome_sample(spark, d).where("R = 1"), "x_true", ["x_star"], SPLITS, ALLOC)
+@query("fit_weighted_likelihood")
+def fit_weighted_likelihood(spark, d):
+    fit = weighted_likelihood.fit_weighted_likelihood(outcome_sample(spark, d).where("R = 1"), "x_true", ["x_star"], SPLITS, ALLOC)
     rows = list(zip(fit.terms, fit.beta)) + [("log_sigma", fit.log_sigma)]
     return spark.createDataFrame([(t, float(v)) for t, v in rows], "term string, estimate double").select("term", rnd("estimate").alias("estimate"))
 
 
-@query("draw_siwl_sampling")
-def draw_siwl_sampling(spark, d):
-    out = siwl.impute_siwl(outcome_sample(spark, d), "x_true", ["x_star"], SPLITS, ALLOC, "row_id", 2, 18)
+@query("draw_weighted_likelihood_sampling")
+def draw_weighted_likelihood_sampling(spark, d):
+    out = weighted_likelihood.impute_weighted_likelihood(outcome_sample(spark, d), "x_true", ["x_star"], SPLITS, ALLOC, "row_id", 2, 18)
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 
-@query("draw_siwl_integration")
-def draw_siwl_integration(spark, d):
-    out = siwl.impute_siwl(outcome_sample(spark, d), "x_true", ["x_star"], SPLITS, ALLOC, "row_id", 2, 18, "integration")
+@query("draw_weighted_likelihood_integration")
+def draw_weighted_likelihood_integration(spark, d):
+    out = weighted_likelihood.impute_weighted_likelihood(outcome_sample(spark, d), "x_true", ["x_star"], SPLITS, ALLOC, "row_id", 2, 18, "integration")
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 

@@ -139,8 +139,8 @@ def mode_normal(spark, d):
     return tr.fit_mode_normal(f, NUM).transform(f).drop("c_true", "c_star", "z_seg")
 
 
-@query("transform_pipeline", f"WITH {B} SELECT row_id, {', '.join(srnd(c, 5) + ' AS ' + c for c in ('x_true', 'x_star', 'z_bal'))}, c_true, c_star, z_seg FROM b WHERE z_bal IS NOT NULL")
-def transform_pipeline(spark, d):
+@query("transform_stages_round_trip", f"WITH {B} SELECT row_id, {', '.join(srnd(c, 5) + ' AS ' + c for c in ('x_true', 'x_star', 'z_bal'))}, c_true, c_star, z_seg FROM b WHERE z_bal IS NOT NULL")
+def transform_stages_round_trip(spark, d):
     f = base(spark, d).where("z_bal IS NOT NULL")
     p = tr.Pipeline.fit(f, NUM, log=True, residual=True, numeric="zscore", categorical="bits")
     out = p.inverse(p.transform(f))

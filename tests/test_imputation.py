@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phasewise.functions.keyed import normal, uniform
-from phasewise.imputation import chained, draws, error_model, siwl
+from phasewise.imputation import chained, draws, error_model, weighted_likelihood
 from phasewise.imputation.chained import Target
 from phasewise.models import linear, multinomial
 from phasewise.operators import calibration, tuning
@@ -94,30 +94,30 @@ def selected(spark):
     return df.withColumn("R", (uniform(2, "R", "id") < p).cast("int"))
 
 
-def test_siwl_fit_and_draws(spark, selected):
+def test_weighted_likelihood_fit_and_draws(spark, selected):
     inside = selected.where("R = 1")
-    fit = siwl.fit_siwl(inside, "x", ["z"], SPLITS, ALLOC)
+    fit = weighted_likelihood.fit_weighted_likelihood(inside, "x", ["z"], SPLITS, ALLOC)
     assert fit.beta == pytest.approx([0.3, 0.8], abs=0.06) and fit.sigma == pytest.approx(0.6, abs=0.05)
     naive = linear.fit_lm(inside, "x", ["z"]).table.first()["beta"]
     assert abs(naive[1] - 0.8) > 2 * abs(fit.beta[1] - 0.8)
     # The gradient vanishes, and curvature agrees with differences of the gradient.
     pdf = inside.toPandas()
     xm, y = np.column_stack([np.ones(len(pdf)), pdf["z"]]), pdf["x"].to_numpy()
-    v = siwl.likelihood_sums(xm, y, fit.beta, fit.log_sigma, SPLITS, ALLOC)
+    v = weighted_likelihood.likelihood_sums(xm, y, fit.beta, fit.log_sigma, SPLITS, ALLOC)
     assert np.abs(v[1:4]).max() < 1e-4
     eps = 1e-5
-    num = (siwl.likelihood_sums(xm, y, fit.beta + [0, eps], fit.log_sigma, SPLITS, ALLOC)[1:4] - v[1:4]) / eps
+    num = (weighted_likelihood.likelihood_sums(xm, y, fit.beta + [0, eps], fit.log_sigma, SPLITS, ALLOC)[1:4] - v[1:4]) / eps
     assert v[4:-2].reshape(3, 3)[1] == pytest.approx(num, rel=1e-3)
     true_mean = selected.where("R = 0").agg(F.avg("x")).first()[0]
     for by in ("sampling", "integration"):
-        out = siwl.impute_siwl(masked(selected, "x"), "x", ["z"], SPLITS, ALLOC, "id", 3, 4, by)
+        out = weighted_likelihood.impute_weighted_likelihood(masked(selected, "x"), "x", ["z"], SPLITS, ALLOC, "id", 3, 4, by)
         assert keeps_observed(selected, out, "x")
         assert out.where("R = 0").agg(F.avg("x")).first()[0] == pytest.approx(true_mean, abs=0.05)
 
 
 def test_unselected_mean_matches_integration():
     mu, sigma = np.array([-0.4, 0.0, 1.3]), 0.6
-    got = siwl._unselected_mean(mu, sigma, SPLITS, ALLOC)
+    got = weighted_likelihood._unselected_mean(mu, sigma, SPLITS, ALLOC)
     grid = np.linspace(-8, 8, 400001)
     keep = 1 - np.where(grid <= SPLITS[0], ALLOC[0], np.where(grid <= SPLITS[1], ALLOC[1], ALLOC[2]))
     for m, g in zip(mu, got):
