@@ -99,7 +99,9 @@ def draw_per_stratum(df: DataFrame, stratum: str, quota: DataFrame, key: str, se
     q, _ = settle(quota.select(*keys, "size", F.least(F.col(n_col), F.col("size")).alias("_q")))
     d = df.withColumns({"_u": uniform(seed, "draw", *keys, key), "_k": _tie_key(df, key)})
     d = lowest(d, "_u", "_k", q.where("_q > 0"), "_q", keys)
-    d = join_small(d, q.select(*keys, (F.col("size") / F.when(F.col("_q") > 0, F.col("_q"))).alias("_w")), keys)
+    # A stratum without draws has no validated row; its size over zero is an infinite weight.
+    w = F.when(F.col("_q") > 0, F.col("size") / F.nullif(F.col("_q"), F.lit(0))).otherwise(F.lit(float("inf")))
+    d = join_small(d, q.select(*keys, w.alias("_w")), keys)
     return _finish(d, F.col("chosen"), F.col("_w"), ()).drop("chosen", "_u", "_k", "_w")
 
 
