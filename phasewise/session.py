@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Largest number of rows that may travel through the driver or be broadcast.
 # Tables above it take the shuffled path; the result is the same.
@@ -53,8 +57,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def local_frame(spark: SparkSession, pdf: pd.DataFrame, schema) -> DataFrame:
-    """DataFrame over a small pandas frame (statistics, never row data)."""
-    return spark.createDataFrame(pdf, schema=schema)
+    """DataFrame over a small pandas frame (statistics, never row data).
+
+    Goes through an Arrow table of the explicit schema, so numpy cells work whatever the session's
+    Arrow setting is, and NaN stays NaN (only None becomes NULL).
+    """
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    target = to_arrow_schema(kind)
+    columns = []
+    for field in target:
+        cells = [c.tolist() if isinstance(c, np.ndarray) else c for c in pdf[field.name].tolist()]
+        columns.append(pa.array(cells, type=field.type, from_pandas=False))
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=target), kind)
 
 
 def settle(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
