@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phasewise.llm import op01_jaccard
+from phasewise.llm import op01_jaccard, op02_exact, op04_mixing, op07_sharding
 from phasewise.llm.common import table
 
 
@@ -10,8 +10,24 @@ def op1_jaccard_join(spark, sf_dir):
     return op01_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_dedup(spark, sf_dir):
+    return op02_exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark, sf_dir):
+    found = op04_mixing.rates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sharding(spark, sf_dir):
+    return op07_sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
+    "op7_sharding": op7_sharding,
 }
 
 SQL = {
@@ -24,16 +40,46 @@ shingle AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
   FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (
   SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * both >= 90 * (x.n + y.n - both)),
+  WHERE 100 * common >= 90 * (x.n + y.n - common)),
 edge AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id AS u, doc_id AS v FROM sizes
   UNION SELECT reach.u, edge.v FROM reach JOIN edge ON edge.u = reach.v)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(r.c, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) r ON r.u = d.doc_id
+""",
+    "op2_exact_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS chars FROM documents),
+g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS keep_id FROM t GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
+""",
+    "op4_mixing": r"""
+WITH t AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS r FROM t GROUP BY source),
+w AS (SELECT *, [1, 2, 3][((r - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s),
+-- sources by how soon they reach three times their size; k of them stop
+o AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / weight, r) AS k FROM w),
+c AS (
+  SELECT k, source_size, weight,
+         (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS remaining,
+         (sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS of_weight
+  FROM o),
+f AS (SELECT k, remaining, of_weight FROM c WHERE (3 * source_size)::HUGEINT * of_weight >= weight::HUGEINT * remaining ORDER BY k LIMIT 1),
+x AS (
+  SELECT o.source, o.source_size,
+         CASE WHEN o.k < f.k THEN (3 * o.source_size)::DOUBLE ELSE (o.weight * f.remaining)::DOUBLE / f.of_weight END AS target
+  FROM o CROSS JOIN f),
+y AS (
+  SELECT t.doc_id, t.size, x.source_size, x.target,
+         CASE WHEN x.source_size > 0 THEN least(x.target / x.source_size, 3.0) ELSE 0 END::DOUBLE AS rate,
+         ('0x' || substr(md5('11|mix|' || coalesce(t.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
+  FROM t JOIN x ON t.source IS NOT DISTINCT FROM x.source)
+SELECT doc_id, size, source_size, target,
+       ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken
+FROM y
 """,
 }
