@@ -62,6 +62,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Gaps for matching that ignores punctuation: every ASCII byte but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -90,8 +92,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[off[0] : off[-1]], off - off[0]
 
 
-def _chunk_words(chunk: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    gap = _SPACE[chunk]
+def _chunk_words(chunk: np.ndarray, lower: bool, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gap = gaps[chunk]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
@@ -104,7 +106,7 @@ def _chunk_words(chunk: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray
     return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _STEP), starts
 
 
-def doc_words(column: pa.Array, lower: bool = True):
+def doc_words(column: pa.Array, lower: bool = True, gaps: np.ndarray = _SPACE):
     """Yield (row, 64-bit hashes of its words) for every row, with bounded memory.
 
     Rows are taken together up to CHUNK_BYTES; a longer row is cut between words.
@@ -115,31 +117,31 @@ def doc_words(column: pa.Array, lower: bool = True):
         last = int(max(row + 1, np.searchsorted(off, off[row] + CHUNK_BYTES, side="right") - 1))
         size = int(off[last] - off[row])
         if last == row + 1 and size > CHUNK_BYTES:
-            yield row, _long_row(body[off[row] : off[last]], lower)
+            yield row, _long_row(body[off[row] : off[last]], lower, gaps)
         else:
             # a space between rows, so that no word crosses rows
             here = off[row : last + 1] - off[row]
             joined = np.insert(body[off[row] : off[last]], here[1:-1], 32)
             bounds = here + np.arange(len(here))
-            words, starts = _chunk_words(joined, lower)
+            words, starts = _chunk_words(joined, lower, gaps)
             cuts = np.searchsorted(starts, bounds)
             for i in range(last - row):
                 yield row + i, words[cuts[i] : cuts[i + 1]]
         row = last
 
 
-def _long_row(body: np.ndarray, lower: bool) -> np.ndarray:
+def _long_row(body: np.ndarray, lower: bool, gaps: np.ndarray) -> np.ndarray:
     parts, at = [], 0
     while at < len(body):
         end = min(len(body), at + CHUNK_BYTES)
         if end < len(body):
-            gaps = np.flatnonzero(_SPACE[body[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
+            cut = np.flatnonzero(gaps[body[at:end]])
+            if len(cut):
+                end = at + int(cut[-1]) + 1
             else:  # one word longer than the chunk: up to its end
-                rest = np.flatnonzero(_SPACE[body[end:]])
+                rest = np.flatnonzero(gaps[body[end:]])
                 end = end + int(rest[0]) if len(rest) else len(body)
-        parts.append(_chunk_words(body[at:end], lower)[0])
+        parts.append(_chunk_words(body[at:end], lower, gaps)[0])
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phasewise.llm import op01_jaccard, op02_exact, op04_mixing, op07_sharding
+from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mixing, op05_language, op06_quality, op07_sharding
 from phasewise.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op2_exact_dedup(spark, sf_dir):
     return op02_exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return op03_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language(spark, sf_dir):
+    return op05_language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    return op06_quality.score(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     found = op04_mixing.rates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,7 +38,10 @@ def op7_sharding(spark, sf_dir):
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
 }
 
