@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mixing, op05_language, op06_quality, op07_sharding
+from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mixing, op05_language, op06_quality, op07_sharding, op09_substring
+from phasewise.llm import op10_html as op10_html_module
 from phasewise.llm.common import table
 
 
@@ -35,6 +36,14 @@ def op7_sharding(spark, sf_dir):
     return op07_sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return op09_substring.removals(table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark, sf_dir):
+    return op10_html_module.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -43,6 +52,8 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_html": op10_html,
 }
 
 SQL = {
