@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mixing, op05_language, op06_quality, op07_sharding, op09_substring
+from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mixing, op05_language, op06_quality, op07_sharding, op08_token_ids, op09_substring
 from phasewise.llm import op10_html as op10_html_module
 from phasewise.llm.common import table
 
@@ -36,6 +36,12 @@ def op7_sharding(spark, sf_dir):
     return op07_sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_token_ids(spark, sf_dir):
+    import public_tokenizers
+
+    return op08_token_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return op09_substring.removals(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_token_ids": op8_token_ids,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html": op10_html,
 }
