@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import components, join_checked, store
+from phasewise.llm.common import components, discard, join_checked, store
 
 # Members of a list that are compared in one task; longer lists are split into pairs of tiles.
 TILE = 4096
@@ -134,10 +134,12 @@ def link_components(postings: DataFrame, nodes: DataFrame, verified, num: int, d
     ``verified(pairs)`` keeps the (a, b) rows that link by the exact sets, and is given, by its
     ``prepare`` attribute, all handles that may be asked for.
     """
-    lists = store(
-        postings.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c")).where("a < b"),
-        "lists",
+    # lists of the same members say the same: one of them is enough (two 31-bit sums tell members apart)
+    member_sum = lambda salt: F.sum(F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(1 << 31)))
+    lists = postings.groupBy("key").agg(
+        F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c"), member_sum(1).alias("s1"), member_sum(2).alias("s2")
     )
+    lists = store(lists.where("a < b").groupBy("a", "b", "c", "s1", "s2").agg(F.min("key").alias("key")), "lists")
     two = lists.where("c = 2").select("a", "b").distinct()
     two = store(_possible(two, nodes, num, den), "pairs")
     keys = store(lists.where("c > 2").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")), "keys")
@@ -167,6 +169,7 @@ def link_components(postings: DataFrame, nodes: DataFrame, verified, num: int, d
         if not found.where("more").limit(1).count():
             break
         most *= GROWTH
+    discard(lists, member)
     return comp
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import components, doc_words, join_checked, list_array, mix, shingles, signed, store
+from phasewise.llm.common import components, discard, doc_words, join_checked, list_array, mix, shingles, signed, store
 from phasewise.llm.linkage import link_components, most_different, sketch
 
 RATIO = 1.4  # sizes of one class of heavy sets, largest to smallest
@@ -205,6 +205,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
     )
     # a doc_id with several texts joins their components
     out = store(out, "rows")
+    discard(sets, classes, labelled, named)
     split = store(
         out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b"), "split"
     )
