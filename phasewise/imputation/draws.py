@@ -142,9 +142,11 @@ def draw_multiclass(df: DataFrame, target: str, levels: Sequence, terms, missing
 
 
 def draw_tree(df: DataFrame, target: str, features: Sequence[str], missing: str, key: str, seed, tag: str, kind: str = "forest",
-              categorical: Sequence[str] | None = None, m: int = 5, k: int = DONORS, **params) -> DataFrame:
+              categorical: Sequence[str] | None = None, k: int = DONORS, **params) -> DataFrame:
     """Tree model per imputation on a bootstrap of observed rows; donors matched on its prediction.
 
+    Every ``imp_id`` of the table gets its fit.
+
     ``kind`` is ``forest`` or ``boosted``; text features are indexed. Numeric prediction is the
     regression value; for a categorical target it is the predicted class index.
     """
@@ -167,7 +169,7 @@ def draw_tree(df: DataFrame, target: str, features: Sequence[str], missing: str,
         label = "_label"
     d = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep").transform(d)
     out = None
-    for i in range(1, m + 1):
+    for i in sorted(r.imp_id for r in df.select("imp_id").distinct().collect()):  # one value per imputation
         part = d.where(F.col("imp_id") == i)
         observed = part.where(~F.col(missing)).withColumn("_times", _bootstrap_count(seed, tag, i, key))
         train = observed.where("_times > 0")
