@@ -18,8 +18,9 @@ from phasewise.functions.keyed import normal, uniform
 from phasewise.functions.scalar import expit
 from phasewise.models import linear, multinomial
 from phasewise.models.linear import Fit
-from phasewise.operators.joins import nearest_donors
+from phasewise.operators.joins import nearest_donors, number_runs
 from phasewise.operators.order import uniform_rank
+from phasewise.operators.resampling import bootstrap
 from phasewise.session import join_small, per_row_numpy
 
 # Ridge of the posterior draw and number of donors.
@@ -92,14 +93,25 @@ def draw_norm(df: DataFrame, target: str, terms: Mapping[str, Column] | Sequence
 
 
 def match_donors(df: DataFrame, target: str, donor_pred: str, missing: str, key: str, seed, tag: str, k: int = DONORS) -> DataFrame:
-    """Random one of the k donors nearest in ``donor_pred``; copies its observed value."""
+    """Random one of the k donors nearest in ``donor_pred``; copies its observed value.
+
+    Donors of one prediction are a run. The k nearest places are picked from first, then each
+    recipient draws its own donor inside the run, so tied donors all serve.
+    """
     by = ["imp_id"]
-    donors = df.where(~F.col(missing)).select(*by, F.col(key).alias("_donor"), F.col(donor_pred).alias("_p"), F.col(target).alias("_dv"))
+    donors = df.where(~F.col(missing)).where(F.col(donor_pred).isNotNull()).select(
+        *by, F.col(key).alias("_donor"), F.col(donor_pred).alias("_p"), F.col(target).alias("_dv"))
     recipients = df.where(F.col(missing)).select(*by, key, F.col(donor_pred).alias("_p"))
-    near = nearest_donors(donors, recipients, "_donor", key, "_p", k, by)
+    runs = donors.groupBy(*by, "_p").agg(F.count("*").alias("_size"))
+    slots = runs.withColumn("_slot", F.explode(F.sequence(F.lit(1), F.least("_size", F.lit(k)).cast("int"))))
+    slots = slots.select(*by, "_p", F.struct(F.col("_p").alias("p"), F.col("_slot").alias("slot"), F.col("_size").alias("size")).alias("_donor"))
+    near = nearest_donors(slots, recipients, "_donor", key, "_p", k, by)
     pick = F.floor(uniform(seed, f"{tag}|{target}|pick", "imp_id", key) * F.size("near")) + 1
-    chosen = near.select(*by, key, F.element_at("near", pick.cast("int"))["donor"].alias("_donor"))
-    values = chosen.join(donors.select(*by, "_donor", "_dv"), [*by, "_donor"], "inner").select(*by, key, "_dv")
+    run = F.element_at("near", pick.cast("int"))["donor"]
+    place = F.floor(uniform(seed, f"{tag}|{target}|tie", "imp_id", key) * run["size"]) + 1
+    chosen = near.select(*by, key, run["p"].alias("_p"), place.alias("_place"))
+    placed = number_runs(donors, [*by, "_p"], "_donor", F.floor(uniform(seed, f"{tag}|{target}|salt", "imp_id", "_donor") * 64), "_place")
+    values = chosen.join(placed.select(*by, "_p", "_place", "_dv"), [*by, "_p", "_place"], "inner").select(*by, key, "_dv")
     out = df.join(values, [*by, key], "left")
     return out.withColumn(target, F.when(F.col(missing), F.col("_dv")).otherwise(F.col(target))).drop("_dv")
 
@@ -148,8 +160,10 @@ def draw_tree(df: DataFrame, target: str, features: Sequence[str], missing: str,
     Every ``imp_id`` of the table gets its fit.
 
     ``kind`` is ``forest`` or ``boosted``; text features are indexed. Numeric prediction is the
-    regression value; for a categorical target it is the predicted class index.
+    regression value; for a categorical target it is the predicted class index. An ``m`` among the
+    parameters is accepted from older calls and says nothing: the table's imputations count.
     """
+    params.pop("m", None)
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -171,8 +185,9 @@ def draw_tree(df: DataFrame, target: str, features: Sequence[str], missing: str,
     out = None
     for i in sorted(r.imp_id for r in df.select("imp_id").distinct().collect()):  # one value per imputation
         part = d.where(F.col("imp_id") == i)
-        observed = part.where(~F.col(missing)).withColumn("_times", _bootstrap_count(seed, tag, i, key))
-        train = observed.where("_times > 0")
+        observed = part.where(~F.col(missing))
+        times = bootstrap(observed.select(key), key, 1, f"{seed}|{tag}|{i}").select(key, F.col("multiplicity").cast("double").alias("_times"))
+        train = observed.join(times, key)
         seed_i = int(hashlib.md5(f"{seed}|{tag}|{i}".encode()).hexdigest()[:7], 16)
         common = {"featuresCol": "_features", "labelCol": label, "weightCol": "_times", "seed": seed_i, **params}
         if kind == "boosted":
@@ -187,20 +202,6 @@ def draw_tree(df: DataFrame, target: str, features: Sequence[str], missing: str,
     return match_donors(out, target, "_pred", missing, key, seed, tag, k).drop("_pred")
 
 
-def _bootstrap_count(seed, tag: str, imp: int, key: str) -> Column:
-    """Poisson(1) multiplicity: the bootstrap of a large table, one keyed uniform per row."""
-    u = uniform(seed, f"{tag}|boot|{imp}", key)
-    cuts, p, acc = [], np.exp(-1.0), 0.0
-    for j in range(1, 13):
-        acc += p
-        cuts.append(float(acc))
-        p /= j
-    out = F.lit(0.0)
-    for c in cuts:
-        out = out + (u >= F.lit(c)).cast("double")
-    return out
-
-
 def random_start(df: DataFrame, targets: Sequence[str], key: str, seed) -> DataFrame:
     """Fill every missing value with a random observed one (start of the chains)."""
     d = df

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phasewise.models.linear import Fit, _pairs, as_terms, coef_schema, safe_inverse, sandwich, unpack
+from phasewise.models.linear import Fit, _pairs, as_terms, coef_schema, safe_inverse, sandwich, unpack, unsettled
 from phasewise.operators.order import range_parts
 from phasewise.session import join_small, local_frame
 
@@ -291,6 +291,8 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, weight: str | None = No
         betas = new
         if worst < TOLERANCE:
             break
+    else:
+        unsettled(f"cox fit of {time}", worst)
     counts = data.rows.groupBy(*data.by).agg(F.count("*").alias("n"), F.sum("_d").alias("events")).collect()
     sizes = {tuple(r[c] for c in data.by): (r["n"], r["events"]) for r in counts}
     out = pd.DataFrame([

@@ -7,6 +7,7 @@ size-checked broadcast. Row data never leaves the executors.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -25,6 +26,11 @@ MAX_STEPS = 30
 TOLERANCE = 1e-10
 
 
+def unsettled(what: str, worst: float) -> None:
+    """Warn that a fit ran out of steps; column ``moved`` tells which groups still moved."""
+    warnings.warn(f"{what} did not converge: largest step {worst:.3g}", RuntimeWarning, stacklevel=3)
+
+
 def as_terms(terms: Mapping[str, Column] | Sequence[str], intercept: bool = True) -> dict[str, Column]:
     """Model terms by name; plain column names are allowed."""
     out: dict[str, Column] = {INTERCEPT: F.lit(1.0)} if intercept else {}
@@ -242,6 +248,8 @@ def fit_glm(
         worst = local["moved"].max() if local is not None else table.agg(F.max("moved")).first()[0]
         if not worst > TOLERANCE:
             break
+    else:
+        unsettled(f"{family} fit of {y}", worst)
     frame.unpersist()
     return fit
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phasewise.models.linear import as_terms, safe_inverse
+from phasewise.models.linear import as_terms, safe_inverse, unsettled
 from phasewise.models.partial import sum_vectors
 from phasewise.session import join_small, local_frame
 
@@ -99,6 +99,8 @@ def fit_multinomial(df: DataFrame, y: str, levels: Sequence, terms, weight: str
                 worst = max(worst, float(np.abs(step).max()))
         if worst < TOLERANCE:
             break
+    else:
+        unsettled(f"multinomial fit of {y}", worst)
     frame.unpersist()
     arr = T.ArrayType(T.DoubleType())
     out = pd.DataFrame([{**dict(zip(gcols, k)), "beta": b.tolist(), "cov": inv[k].ravel().tolist()} for k, b in betas.items()])

@@ -15,6 +15,7 @@ from phasewise.session import cut, join_small
 
 RAKE_STEPS = 50
 RAKE_TOLERANCE = 1e-12
+RAKE_ACCEPTED = 1e-6
 
 
 def two_phase(df: DataFrame, strata: str | None = None, r: str = "R", by: Sequence[str] = ()) -> DataFrame:
@@ -95,6 +96,10 @@ def rake(df: DataFrame, aux: Sequence[str], w: str = "w", r: str = "R", by: Sequ
         worst = local["moved"].max() if local is not None else table.agg(F.max("moved")).first()[0]
         if worst < RAKE_TOLERANCE:
             break
+    else:
+        # rounding may stop short of the tolerance; totals that differ are no calibration
+        if not worst < RAKE_ACCEPTED:
+            raise ValueError(f"raking did not converge: totals differ by {worst:.3g} of the group size")
     inside.unpersist()
     tilt = F.exp(linear.eta(terms))
     return fit.attach(df).withColumn(name, F.when(F.col(r) == 1, F.col(w) * tilt)).drop("_beta")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasewise.operators.order import range_parts, running_sums
@@ -118,6 +118,21 @@ def pareto_front(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.join(front, [first, second], "left_semi")
 
 
+def number_runs(df: DataFrame, run: Sequence[str], key: str, salt: Column, name: str) -> DataFrame:
+    """Number the rows of equal ``run`` values from 1, in order of (salt, key).
+
+    Rows are numbered inside (run, salt) and moved up by the counts of smaller salts, so a run of
+    any length is spread over its salts (a few dozen).
+    """
+    run = list(run)
+    d = df.withColumn("_salt", salt)
+    counts = d.groupBy(*run, "_salt").agg(F.count("*").alias("_c"))
+    below = Window.partitionBy(*run).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*run, "_salt", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*run, "_salt").orderBy(key))
+    return d.withColumn("_rn", inside).join(offsets, [*run, "_salt"], "inner").withColumn(name, F.col("_o") + F.col("_rn")).drop("_salt", "_rn", "_o")
+
+
 def nearest_donors(
     donors: DataFrame, recipients: DataFrame, donor_key: str, recipient_key: str, pred: str, k: int,
     by: Sequence[str] = (),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.errors import PythonException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasewise.functions.keyed import uniform
 from phasewise.imputation import draws
@@ -92,18 +95,55 @@ def masked_cv_score(
             F.expr("(" + " + ".join(err or ["0D"]) + f") / {max(len(cat), 1)}").alias("error"))
         scores = per.groupBy("fold").agg(F.avg("mse").alias("mse"), F.avg("error").alias("error"))
         scores = settle(scores)[0]
-    except (PySparkException, np.linalg.LinAlgError):  # a failed trial scores the worst value
+    except (PythonException, np.linalg.LinAlgError) as e:
+        if "LinAlgError" not in f"{type(e).__name__} {e}":
+            raise  # a lost executor or a bug is no bad trial
+        # a numerical failure scores the worst value
         scores = df.sparkSession.range(folds).select(F.col("id").alias("fold"), F.lit(FAILED).alias("mse"), F.lit(FAILED).alias("error"))
     return scores.select(F.lit(trial).alias("trial"), F.col("fold").cast("bigint").alias("fold"), "mse", "error")
 
 
-def prune_trials(scores: DataFrame, trial: str, fold: str, m1: str, m2: str, n_trials: int) -> DataFrame:
-    """Flag trials whose two losses both exceed the 75th percentile of earlier trials at that fold."""
+def _above(seen: list[float], v: float) -> bool:
+    """Whether ``v``, a member of the sorted list, exceeds its interpolated PRUNE_SHARE percentile.
+
+    That holds exactly when more members lie below ``v`` than stand before the percentile's place.
+    """
+    return bool(seen) and bisect.bisect_left(seen, v) > math.floor(PRUNE_SHARE * (len(seen) - 1))
+
+
+def prune_trials(scores: DataFrame, trial: str, fold: str, m1: str, m2: str, n_trials: int, by: Sequence[str] = ()) -> DataFrame:
+    """Flag a trial at the fold where both its losses exceed the 75th percentile of that fold so far.
+
+    The history of a fold holds the trials that reached it, the current one included, and counts for
+    the warm-up of max(10, a quarter of ``n_trials``). A pruned trial reaches no later fold; nothing
+    is pruned at the last one. The rule is sequential, so one task walks the trials of one study
+    (``by``) with two sorted lists a fold; studies run side by side.
+    """
     warm = max(PRUNE_WARMUP, n_trials // 4)
-    earlier = Window.partitionBy(fold).orderBy(trial).rowsBetween(Window.unboundedPreceding, -1)
-    high1, high2 = F.percentile(m1, F.lit(PRUNE_SHARE)).over(earlier), F.percentile(m2, F.lit(PRUNE_SHARE)).over(earlier)
-    seen = F.count("*").over(earlier)
-    return scores.withColumn("pruned", F.coalesce((seen >= warm) & (F.col(m1) > high1) & (F.col(m2) > high2), F.lit(False)))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([fold, trial], ignore_index=True)
+        last, gone = pdf[fold].max(), set()
+        reached, pruned = [], []
+        for f, part in pdf.groupby(fold, sort=True):
+            first, second, n = [], [], 0
+            for t, a, b in zip(part[trial], part[m1], part[m2]):
+                here = t not in gone
+                hit = False
+                if here and f != last:
+                    n += 1
+                    for seen, v in ((first, a), (second, b)):
+                        if not pd.isna(v):
+                            bisect.insort(seen, v)
+                    hit = n >= warm and not pd.isna(a) and not pd.isna(b) and _above(first, a) and _above(second, b)
+                if hit:
+                    gone.add(t)
+                reached.append(here)
+                pruned.append(hit)
+        return pdf.assign(reached=reached, pruned=pruned)
+
+    fields = [*scores.schema.fields, T.StructField("reached", T.BooleanType()), T.StructField("pruned", T.BooleanType())]
+    return scores.where(F.col(fold).isNotNull()).groupBy(*by).applyInPandas(walk, T.StructType(fields))
 
 
 def choose_config(trials: DataFrame, m1: str, m2: str, params: Sequence[str], integers: Sequence[str] = ()) -> DataFrame:

@@ -179,9 +179,12 @@ def draw_norm(spark, d):
 
 @query("draw_pmm", f"""WITH {S_SQL}, don AS MATERIALIZED (SELECT row_id AS donor, x_star AS p, x_true AS v, row_number() OVER (ORDER BY x_star, row_id) AS rk FROM s WHERE r=1),
     al AS (SELECT row_id, x_star AS p, r, count(*) FILTER (WHERE r=1) OVER (ORDER BY x_star, row_id) AS pos FROM s),
-    cand AS (SELECT a.imp_id, a.row_id, d.v, d.donor, abs(d.p-a.p) AS dist FROM (SELECT imp_id, row_id, p, unnest(range(pos-9, pos+11)) AS rk FROM al, (SELECT unnest([1,2]) AS imp_id) WHERE r=0) a JOIN don d USING (rk)),
-    rn AS (SELECT *, row_number() OVER (PARTITION BY imp_id, row_id ORDER BY dist, donor) AS n FROM cand)
-    SELECT imp_id, row_id, {srnd('v')} AS x_true FROM rn WHERE n = floor({fx.skey(9, 'once|x_true|pick', 'imp_id', 'row_id')}*5)+1
+    cand AS (SELECT a.imp_id, a.row_id, d.p AS dp, d.donor, abs(d.p-a.p) AS dist FROM (SELECT imp_id, row_id, p, unnest(range(pos-9, pos+11)) AS rk FROM al, (SELECT unnest([1,2]) AS imp_id) WHERE r=0) a JOIN don d USING (rk)),
+    rn AS (SELECT *, row_number() OVER (PARTITION BY imp_id, row_id ORDER BY dist, dp, donor) AS n FROM cand),
+    ch AS (SELECT imp_id, row_id, dp, {fx.skey(9, 'once|x_true|tie', 'imp_id', 'row_id')} AS tie FROM rn WHERE n = floor({fx.skey(9, 'once|x_true|pick', 'imp_id', 'row_id')}*5)+1),
+    num AS (SELECT imp_id, p, v, count(*) OVER (PARTITION BY imp_id, p) AS size,
+      row_number() OVER (PARTITION BY imp_id, p ORDER BY floor({fx.skey(9, 'once|x_true|salt', 'imp_id', 'donor')}*64), donor) AS place FROM don, (SELECT unnest([1,2]) AS imp_id))
+    SELECT ch.imp_id, row_id, {srnd('v')} AS x_true FROM ch JOIN num ON num.imp_id = ch.imp_id AND p = dp AND place = floor(tie*size)+1
     UNION ALL SELECT imp_id, row_id, {srnd('x_true')} FROM s, (SELECT unnest([1,2]) AS imp_id) WHERE r=1""")
 def draw_pmm(spark, d):
     """Donor matching on a given prediction (the surrogate)."""
@@ -297,15 +300,24 @@ def masked_cv_score(spark, d):
     return out.select("trial", "fold", rnd("mse").alias("mse"), rnd("error").alias("error"))
 
 
-@query("prune_trials", f"""WITH s AS (SELECT l_suppkey AS trial, l_linenumber % 3 AS fold, avg(l_discount)*100 AS m1, avg(l_quantity) AS m2 FROM lineitem GROUP BY 1, 2),
-    k AS (SELECT *, count(*) OVER w AS seen, quantile_cont(m1, 0.75) OVER w AS h1, quantile_cont(m2, 0.75) OVER w AS h2 FROM s WINDOW w AS (PARTITION BY fold ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT trial, fold, coalesce(seen >= greatest(10, (SELECT count(DISTINCT l_suppkey) FROM lineitem)//4) AND m1 > h1 AND m2 > h2, false) AS pruned FROM k""")
+def _fold_sql(f: int) -> str:
+    """One fold of the pruning rule: trials no earlier fold pruned, the current one in its history."""
+    left = " ".join(f"AND NOT EXISTS (SELECT 1 FROM f{e} WHERE f{e}.trial = s.trial AND f{e}.pruned)" for e in range(f))
+    hit = "count(*) OVER w >= 12 AND m1 > quantile_cont(m1, 0.75) OVER w AND m2 > quantile_cont(m2, 0.75) OVER w" if f < 2 else "false"
+    return f"""f{f} AS MATERIALIZED (SELECT trial, fold, {hit} AS pruned FROM s WHERE fold = {f} {left}
+      WINDOW w AS (PARTITION BY study ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("prune_trials", f"""WITH s AS MATERIALIZED (SELECT l_suppkey // 50 AS study, l_suppkey AS trial, l_linenumber % 3 AS fold,
+      round(avg(l_discount)*100, 6) AS m1, round(avg(l_quantity), 6) AS m2 FROM lineitem GROUP BY ALL),
+    {_fold_sql(0)}, {_fold_sql(1)}, {_fold_sql(2)}, f AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2)
+    SELECT s.study, s.trial, s.fold, f.trial IS NOT NULL AS reached, coalesce(f.pruned, false) AS pruned FROM s LEFT JOIN f USING (trial, fold)""")
 def prune_trials(spark, d):
-    li = table(spark, d, "lineitem")
-    s = li.groupBy(F.col("l_suppkey").alias("trial"), (F.col("l_linenumber") % 3).alias("fold")).agg(
-        (F.avg("l_discount") * 100).alias("m1"), F.avg("l_quantity").alias("m2"))
-    n = li.select("l_suppkey").distinct().count()
-    return tuning.prune_trials(s, "trial", "fold", "m1", "m2", n).select("trial", "fold", "pruned")
+    """Suppliers as trials, fifty to a study."""
+    study = F.floor(F.col("l_suppkey") / 50).cast("bigint")
+    s = table(spark, d, "lineitem").groupBy(study.alias("study"), F.col("l_suppkey").alias("trial"), (F.col("l_linenumber") % 3).alias("fold")).agg(
+        F.round(F.avg("l_discount") * 100, 6).alias("m1"), F.round(F.avg("l_quantity"), 6).alias("m2"))
+    return tuning.prune_trials(s, "trial", "fold", "m1", "m2", 50, ["study"]).select("study", "trial", "fold", "reached", "pruned")
 
 
 @query("choose_config", f"""WITH {fx.TRIALS_SQL}, front AS (SELECT * FROM trials a WHERE NOT EXISTS (SELECT 1 FROM trials b

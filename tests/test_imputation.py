@@ -180,3 +180,43 @@ def test_pooling_identity():
 
     assert t_ppf(0.975, 1250) == pytest.approx(1.9619, abs=2e-4)
     assert math.isfinite(t_ppf(0.975, 1e12))
+
+
+def test_tied_predictions_use_every_donor(spark):
+    df = spark.range(0, 20000, 1, 4).withColumn("_miss", F.col("id") % 2 == 1).withColumn("p", F.lit(1.0)).withColumn("imp_id", F.lit(1))
+    df = df.withColumn("v", F.when(~F.col("_miss"), F.col("id")))
+    got = draws.match_donors(df, "v", "p", "_miss", "id", 1, "t").where("_miss")
+    row = got.agg(F.count("v").alias("n"), F.countDistinct("v").alias("donors"), F.min(F.col("v") % 2).alias("odd")).first()
+    # 10,000 draws from 10,000 tied donors meet about 1 - 1/e of them
+    assert row["n"] == 10000 and 6000 < row["donors"] < 6650
+
+
+def test_pruning_follows_the_sequential_rule(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, t, f, round(float(a), 1), round(float(b), 1)) for s in (0, 1) for t in range(60) for f in range(3) for a, b in [rng.random(2)]]
+    got = {(r["study"], r["trial"], r["fold"]): (r["reached"], r["pruned"])
+           for r in tuning.prune_trials(spark.createDataFrame(rows, "study int, trial int, fold int, a double, b double"), "trial", "fold", "a", "b", 48, ["study"]).collect()}
+    pruned = 0
+    for s in (0, 1):
+        loss = {(t, f): (a, b) for q, t, f, a, b in rows if q == s}
+        history = {f: ([], []) for f in range(3)}
+        for t in range(60):
+            alive = True
+            for f in range(3):
+                want = (alive, False)
+                if alive and f < 2:
+                    for h, v in zip(history[f], loss[t, f]):
+                        h.append(v)
+                    high = [v > np.percentile(h, 75) for h, v in zip(history[f], loss[t, f])]
+                    want = (True, bool(len(history[f][0]) >= 12 and all(high)))
+                    alive = not want[1]
+                    pruned += want[1]
+                assert got[s, t, f] == want, (s, t, f)
+    assert pruned > 3
+
+
+def test_raking_without_solution_raises(spark, cohort):
+    # every validated row has zero where the population mean is one: no weights reach the total
+    bad = calibration.two_phase(cohort).withColumn("aux", F.when(F.col("R") == 1, 0.0).otherwise(1.0))
+    with pytest.raises(ValueError, match="did not converge"):
+        calibration.rake(bad, ["aux"])
