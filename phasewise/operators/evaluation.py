@@ -228,12 +228,11 @@ def inject_error_continuous(df: DataFrame, column: str, name: str, key: str, see
     Covariates with more than three distinct values are centred.
     """
     z = dict(z or {})
-    many = {c: F.approx_count_distinct(c) > 3 for c in z}
-    stats = df.agg(F.avg(F.log(column)).alias("_m"), *[F.avg(c).alias(f"_z{i}") for i, c in enumerate(z)],
-                   *[m.alias(f"_k{i}") for i, m in enumerate(many.values())]).first()
+    many = {c: df.select(c).where(F.col(c).isNotNull()).distinct().limit(4).count() > 3 for c in z}
+    stats = df.agg(F.avg(F.log(column)).alias("_m"), *[F.avg(c).alias(f"_z{i}") for i, c in enumerate(z)]).first()
     lin = F.lit(float(intercept)) + F.lit(float(slope)) * (F.log(column) - F.lit(stats["_m"]))
     for i, (c, b) in enumerate(z.items()):
-        lin = lin + F.lit(float(b)) * (F.col(c) - F.lit(stats[f"_z{i}"] if stats[f"_k{i}"] else 0.0))
+        lin = lin + F.lit(float(b)) * (F.col(c) - F.lit(stats[f"_z{i}"] if many[c] else 0.0))
     return df.withColumn(name, F.exp(lin + F.lit(float(noise_var) ** 0.5) * normal(seed, name, key)))
 
 

@@ -323,14 +323,18 @@ def category_error(spark, d):
     return ev.category_error(*true_and_star(spark, d), fx.COHORT_ROLES).select(rnd("error").alias("error"))
 
 
-@query("energy_distance", f"""WITH e AS MATERIALIZED (SELECT label % 2 AS s, {', '.join(f'embedding[{i}]::DOUBLE AS v{i}' for i in range(1, 9))} FROM embeddings),
-    st AS (SELECT {', '.join(f'avg(v{i}) AS m{i}, stddev_samp(v{i}) AS s{i}' for i in range(1, 9))} FROM e),
-    z AS MATERIALIZED (SELECT s, {', '.join(f'(v{i}-m{i})/s{i} AS z{i}' for i in range(1, 9))} FROM e, st),
-    p AS (SELECT a.s AS s1, b.s AS s2, avg(sqrt({' + '.join(f'(a.z{i}-b.z{i})^2' for i in range(1, 9))})) AS d FROM z a, z b GROUP BY 1, 2)
+# Length of an embedding in the given table.
+DIMS = 64
+
+
+@query("energy_distance", f"""WITH e AS MATERIALIZED (SELECT label % 2 AS s, {', '.join(f'embedding[{i}]::DOUBLE AS v{i}' for i in range(1, DIMS + 1))} FROM embeddings),
+    st AS (SELECT {', '.join(f'avg(v{i}) AS m{i}, stddev_samp(v{i}) AS s{i}' for i in range(1, DIMS + 1))} FROM e),
+    z AS MATERIALIZED (SELECT s, {', '.join(f'(v{i}-m{i})/s{i} AS z{i}' for i in range(1, DIMS + 1))} FROM e, st),
+    p AS (SELECT a.s AS s1, b.s AS s2, avg(sqrt({' + '.join(f'(a.z{i}-b.z{i})^2' for i in range(1, DIMS + 1))})) AS d FROM z a, z b GROUP BY 1, 2)
     SELECT {srnd('greatest(2*max(d) FILTER (WHERE s1=0 AND s2=1) - max(d) FILTER (WHERE s1=0 AND s2=0) - max(d) FILTER (WHERE s1=1 AND s2=1), 0)')} AS energy FROM p""")
 def energy_distance(spark, d):
     e = table(spark, d, "embeddings")
-    cols = [f"v{i}" for i in range(1, 9)]
+    cols = [f"v{i}" for i in range(1, DIMS + 1)]
     v = e.select("label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
     return ev.energy_distance(v.where("label % 2 = 0"), v.where("label % 2 = 1"), cols).select(rnd("energy").alias("energy"))
 

@@ -359,12 +359,6 @@ def pareto_front(spark, d):
     return joins.pareto_front(fx.trials(spark, d).select("trial_number", "avg_mse", "avg_ed"), "avg_mse", "avg_ed")
 
 
-KNN_SQL = f"""{C}, don AS (SELECT row_id AS donor, x_star AS p FROM cohort WHERE yb = 1),
-    rec AS (SELECT row_id, x_star AS p FROM cohort WHERE yb = 0),
-    near AS (SELECT r.row_id, d.donor, d.dist FROM rec r, LATERAL (
-      SELECT donor, abs(don.p - r.p) AS dist FROM don ORDER BY dist, donor LIMIT 5) d)"""
-
-
 @query("knn_donors", f"""WITH {C}, don AS MATERIALIZED (SELECT row_id AS donor, x_star AS p, row_number() OVER (ORDER BY x_star, row_id) AS rk FROM cohort WHERE yb = 1),
     al AS (SELECT row_id, x_star AS p, count(*) FILTER (WHERE yb = 1) OVER (ORDER BY x_star, row_id) AS pos, yb FROM cohort),
     cand AS (SELECT a.row_id, d.donor, abs(d.p - a.p) AS dist FROM (SELECT row_id, p, unnest(range(pos - 9, pos + 11)) AS rk FROM al WHERE yb = 0) a JOIN don d USING (rk))
