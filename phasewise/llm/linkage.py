@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import components, discard, join_checked, store
+from phasewise.llm.common import components, discard, join_checked, small, store
 
 # Members of a list that are compared in one task; longer lists are split into pairs of tiles.
 TILE = 4096
@@ -91,7 +91,7 @@ def _list_task(num: int, den: int, most: int):
             h, n, comp = (table.column(c).to_numpy() for c in ("h", "n", "comp"))
             t = table.column("t").to_numpy()
             rows = table.column("sketch").to_pylist()
-            a, b, more = [], [], []
+            a, b, held_back = [], [], []
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
@@ -101,12 +101,15 @@ def _list_task(num: int, den: int, most: int):
                 if found is not None:
                     a.append(h[s:e][found[0]])
                     b.append(h[s:e][found[1]])
-                    more.append(np.full(len(found[0]), found[2]))
+                    if found[2]:
+                        held_back.append(key[:, s])
             if a:
-                a, b, more = np.concatenate(a), np.concatenate(b), np.concatenate(more)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"]
-                )
+                a, b = np.concatenate(a), np.concatenate(b)
+                pairs, lists = len(a), len(held_back)
+                none = pa.nulls(pairs, pa.int64())
+                at = [pa.concat_arrays([none, pa.array(k)]) for k in np.array(held_back, np.int64).reshape(lists, 3).T]
+                ends = [pa.concat_arrays([pa.array(x), pa.nulls(lists, pa.int64())]) for x in (np.minimum(a, b), np.maximum(a, b))]
+                yield pa.RecordBatch.from_arrays([*ends, *at], ["a", "b", "key", "i", "j"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -134,10 +137,11 @@ def link_components(postings: DataFrame, nodes: DataFrame, verified, num: int, d
     ``verified(pairs)`` keeps the (a, b) rows that link by the exact sets, and is given, by its
     ``prepare`` attribute, all handles that may be asked for.
     """
-    # lists of the same members say the same: one of them is enough (two 31-bit sums tell members apart)
-    member_sum = lambda salt: F.sum(F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(1 << 31)))
+    # lists of the same members say the same: one of them is enough (two 32-bit sums tell members apart)
+    # (sums of the halves of h, which repeat the bytes of a lone member and so compress away in the shuffle)
     lists = postings.groupBy("key").agg(
-        F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c"), member_sum(1).alias("s1"), member_sum(2).alias("s2")
+        F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c"),
+        F.sum(F.shiftright("h", 32)).alias("s1"), F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2"),
     )
     lists = store(lists.where("a < b").groupBy("a", "b", "c", "s1", "s2").agg(F.min("key").alias("key")), "lists")
     two = lists.where("c = 2").select("a", "b").distinct()
@@ -153,21 +157,25 @@ def link_components(postings: DataFrame, nodes: DataFrame, verified, num: int, d
     links = store(check(two), "links")
     most = FIRST
     comp = components(links)
+    unfinished = member
     while True:
-        labelled = member.join(comp.select(F.col("id").alias("h"), "component"), "h", "left")
+        labelled = unfinished.join(comp.select(F.col("id").alias("h"), "component"), "h", "left")
         labelled = labelled.withColumn("comp", F.coalesce("component", "h")).drop("component")
         found = store(
             labelled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_list_task(num, den, most), "a bigint, b bigint, more boolean")
-            .groupBy("a", "b").agg(F.max("more").alias("more")),
+            .mapInArrow(_list_task(num, den, most), "a bigint, b bigint, key bigint, i bigint, j bigint"),
             "found",
         )
         if found.isEmpty():
             break
-        links = store(links.unionByName(check(found.select("a", "b"))).distinct(), "links")
+        pairs = store(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+        links = store(links.unionByName(check(pairs)).distinct(), "links")
         comp = components(links)
-        if not found.where("more").limit(1).count():
+        # a list that held nothing back has had all its pairs of different components tested
+        held_back = store(found.where("key IS NOT NULL").select("key", "i", "j"), "heldback")
+        if held_back.isEmpty():
             break
+        unfinished = join_checked(member, held_back, ["key", "i", "j"], "left_semi", 24)
         most *= GROWTH
     discard(lists, member)
     return comp
@@ -190,3 +198,16 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(near, "a bigint, b bigint")
+
+
+def sides(pairs: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, ea) and (b, eb): the exact sets of the ends of ``pairs``, a stored table.
+
+    Sets that no pair asks for are left out before the shuffle where the ends fit a broadcast.
+    """
+    out = []
+    for end in ("a", "b"):
+        ends = store(pairs.select(F.col(end).alias("h")).distinct(), "ends")
+        some = elements.join(F.broadcast(ends), "h", "left_semi") if small(ends, 8) else elements
+        out.append(some.select(F.col("h").alias(end), F.col("elements").alias(f"e{end}")))
+    return out[0], out[1]

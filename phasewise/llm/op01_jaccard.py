@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.llm.common import components, discard, doc_words, join_checked, list_array, mix, shingles, signed, store
-from phasewise.llm.linkage import link_components, most_different, sketch
+from phasewise.llm.linkage import link_components, most_different, sides, sketch
 
 RATIO = 1.4  # sizes of one class of heavy sets, largest to smallest
 ENTRY = 16  # bytes of a posting
@@ -181,8 +181,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
         elements = store(rows.mapInArrow(_elements_task(words), "h bigint, elements array<bigint>"), "elements")
 
         def check(pairs: DataFrame) -> DataFrame:
-            one = elements.select(F.col("h").alias("a"), F.col("elements").alias("ea"))
-            two = elements.select(F.col("h").alias("b"), F.col("elements").alias("eb"))
+            one, two = sides(pairs, elements)
             shared = F.size(F.array_intersect("ea", "eb"))
             union = F.size("ea") + F.size("eb") - F.col("shared")
             return (

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.llm.common import doc_words, join_checked, list_array, mix, shingles, signed, store
-from phasewise.llm.linkage import link_components, sketch
+from phasewise.llm.linkage import link_components, sides, sketch
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 8, 10, 50
 RECALL, MOST_HASHES = 0.999, 80
@@ -125,8 +125,7 @@ def clusters(docs: DataFrame) -> DataFrame:
         elements = store(rows.mapInArrow(_elements_task, "h bigint, elements array<bigint>").dropDuplicates(["h"]), "elements")
 
         def check(pairs: DataFrame) -> DataFrame:
-            one = elements.select(F.col("h").alias("a"), F.col("elements").alias("ea"))
-            two = elements.select(F.col("h").alias("b"), F.col("elements").alias("eb"))
+            one, two = sides(pairs, elements)
             union = F.size("ea") + F.size("eb") - F.col("shared")
             return (
                 pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")))
