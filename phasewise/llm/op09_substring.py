@@ -1,4 +1,4 @@
-"""Substring dedup: paragraph MinHash banding.
+"""Substring dedup: paragraph MinHash banding, then every repeated run of RUN words.
 
 A paragraph is a line of a text. Paragraphs of at least MIN_WORDS words are sets of five-word shingles
 with a MinHash signature of BANDS x ROWS values; the bands are tuned so that a pair with the threshold
@@ -7,24 +7,35 @@ sequences are one class and never compared; classes that share a band are candid
 exact Jaccard, and components of verified links are clusters. The first paragraph of a cluster
 (smallest doc_id, then place) stays, the others are removals.
 
-Edge cases: null and empty texts and short paragraphs are left alone; a paragraph repeated inside one
-document is a removal too; rows that repeat (same doc_id) are copies at the same place, of which the
+Runs are read over the whole text, across line ends and whatever the length of its lines (``spans``).
+A run of RUN words that stood before (smaller doc_id, then place) is removed; runs that overlap or touch
+make one span, which is the exact repeat. Words of removed paragraphs count as gone, so what stays of a
+run is never a copy that went with its paragraph; nor does a run give way to one it overlaps. Equal runs
+have the same least hash of their GRAM-word grams, so only runs whose least hash occurs twice are compared.
+
+Edge cases: null and empty texts and texts of fewer than RUN words are left alone; a paragraph or run
+repeated inside one document is a removal too; rows that repeat (same doc_id) are copies at the same place, of which the
 one kept is kept in every such row; null doc_id: the row takes no part; other columns are ignored and
 pass through ``strip``.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import doc_words, join_checked, list_array, mix, shingles, signed, store
+from phasewise.llm.common import WORD, discard, doc_words, join_checked, list_array, mix, shingles, signed, store
 from phasewise.llm.linkage import link_components, sides, sketch
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 8, 10, 50
 RECALL, MOST_HASHES = 0.999, 80
+RUN, GRAM = 50, 20
+# Rows of the bitmap of documents that may hold a repeat, 64 bits each.
+BITMAP = 1 << 18
 
 
 def tuned(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -147,10 +158,143 @@ def removals(docs: DataFrame) -> DataFrame:
     return clusters(docs).where("doc_id <> keep_doc_id OR part <> keep_part").distinct()
 
 
+def _wide(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` items."""
+    step, size = np.uint64(0x9E3779B97F4A7C15), 1
+    while 2 * size <= n:
+        x = mix(x[:-size] * step + x[size:])
+        size *= 2
+    return mix(x[: len(x) - (n - size)] * step + x[n - size :]) if size < n else x
+
+
+def _least(words: np.ndarray) -> np.ndarray:
+    """Least gram hash of every run of RUN words."""
+    x, size, n = _wide(words, GRAM), 1, RUN - GRAM + 1
+    while 2 * size <= n:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (n - size)], x[n - size :])
+
+
+def _runs(texts: pa.Array, gone: list):
+    """(row, word hashes, places of the runs without a word of a removed paragraph) of the texts with a run."""
+    for row, words in doc_words(texts):
+        if len(words) < RUN:
+            continue
+        places = np.arange(len(words) - RUN + 1)
+        if gone[row]:
+            lines = [len(w) for _, w in doc_words(pa.array(texts[row].as_py().split("\n"), pa.string()))]
+            dead = np.repeat(np.isin(np.arange(len(lines)), gone[row]), lines)
+            before = np.concatenate([[0], np.cumsum(dead)])
+            places = places[before[RUN:] == before[:-RUN]]
+        if len(places):
+            yield row, words, places
+
+
+def _anchors_task(batches):
+    """The least hashes of a text and how many places each has at least, one or two."""
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        ids = batch.column(0).to_pylist()
+        for row, words, places in _runs(batch.column(1), batch.column(2).to_pylist()):
+            least = _least(words)[places]
+            first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(places) != 1)]))
+            # a stretch longer than one gram's reach has the gram at two places
+            times = -(-np.diff(np.append(first, len(least))) // (RUN - GRAM + 1))
+            kinds, which = np.unique(least[first], return_inverse=True)
+            out[0].append(signed(kinds))
+            out[1].append(np.full(len(kinds), ids[row], np.int64))
+            out[2].append(np.minimum(np.bincount(which, times), 2).astype(np.int32))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["least", "doc_id", "times"])
+
+
+def _windows_task(batches):
+    """Two hashes of every run whose least hash is repeated."""
+    for batch in batches:
+        ids, wanted = batch.column(0).to_pylist(), batch.column(3)
+        for row, words, places in _runs(batch.column(1), batch.column(2).to_pylist()):
+            places = places[np.isin(signed(_least(words))[places], wanted[row].values.to_numpy())]
+            lo = signed(_wide(words, RUN))[places]
+            hi = (_wide(mix(words ^ np.uint64(0xA0761D6478BD642F)), RUN) >> np.uint64(32)).astype(np.uint32).view(np.int32)[places]
+            for a in range(0, len(places), 65536):
+                cut = slice(a, a + 65536)
+                n = len(places[cut])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lo[cut]), pa.array(hi[cut]), pa.array(np.full(n, ids[row], np.int64)), pa.array(places[cut].astype(np.int32))], ["lo", "hi", "doc_id", "at"]
+                )
+
+
+def spans(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, first_word, n_words, keep_doc_id, keep_word): spans to remove beside the paragraphs ``lines``, with the first place of a span's first run."""
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    gone = store(lines.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("part").alias("gone")), "gone")
+    masked = lambda t: join_checked(t, gone, F.expr("doc_id = _id"), "left", 64).select("doc_id", "text", "gone")
+    anchors = store(masked(text).mapInArrow(_anchors_task, "least bigint, doc_id bigint, times int"), "anchors")
+    twice = store(anchors.groupBy("least").agg(F.sum("times").alias("n")).where("n > 1").select("least"), "twice")
+    need = store(join_checked(anchors, twice, "least", "inner", 8).groupBy("doc_id").agg(F.collect_set("least").alias("wanted")), "need")
+    discard(anchors, twice)
+    # texts without a repeated hash are left out before their shuffle, by a bitmap of bounded size
+    bit = F.xxhash64("doc_id")
+    cell, mask = F.pmod(F.shiftright(bit, 6), F.lit(BITMAP)), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 AS int))")
+    bitmap = need.groupBy(cell.alias("_cell")).agg(F.bit_or(mask).alias("_bits"))
+    some = text.join(F.broadcast(bitmap), cell == F.col("_cell")).where(F.col("_bits").bitwiseAND(mask) != 0).select("doc_id", "text")
+    windows = join_checked(masked(some), need, "doc_id", "inner", 256).select("doc_id", "text", "gone", "wanted")
+    windows = store(windows.mapInArrow(_windows_task, "lo bigint, hi int, doc_id bigint, at int"), "windows")
+    first = windows.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n")).where("n > 1")
+    first = store(first.select("lo", "hi", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.at").alias("keep_word")), "first")
+    later = join_checked(windows, first, ["lo", "hi"], "inner", 40).where(f"doc_id <> keep_doc_id OR at - keep_word >= {RUN}")
+    later = later.select("doc_id", "at", "keep_doc_id", "keep_word").distinct()
+    order = Window.partitionBy("doc_id").orderBy("at", "keep_doc_id", "keep_word")
+    fresh = F.coalesce((F.col("at") - F.lag("at").over(order) > RUN).cast("int"), F.lit(1))
+    numbered = later.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order))
+    found = numbered.groupBy("doc_id", "span").agg(F.min(F.struct("at", "keep_doc_id", "keep_word")).alias("f"), F.max("at").alias("last"))
+    return found.select(
+        "doc_id", F.col("f.at").alias("first_word"), (F.col("last") - F.col("f.at") + RUN).alias("n_words"),
+        F.col("f.keep_doc_id").alias("keep_doc_id"), F.col("f.keep_word").alias("keep_word"),
+    )
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """All removals: paragraphs (``part``, ``keep_part``) and spans over the whole text (``first_word``, ``keep_word``)."""
+    lines = store(removals(docs), "lines")
+    none = F.lit(None).cast("int")
+    one = lines.select("doc_id", "part", none.alias("first_word"), "n_words", "keep_doc_id", "keep_part", none.alias("keep_word"))
+    two = spans(docs, lines).select("doc_id", none.alias("part"), "first_word", "n_words", "keep_doc_id", none.alias("keep_part"), "keep_word")
+    return one.unionByName(two)
+
+
+def _cut(text: str | None, parts: list | None, cuts: list | None) -> str | None:
+    """A text without the lines ``parts`` and the word spans ``cuts``."""
+    if text is None or not (parts or cuts):
+        return text
+    gone, cuts = set(parts or ()), sorted((c[0], c[1]) for c in cuts or ())
+    places = [m.span() for m in re.finditer(WORD, text)] if cuts else []
+    holes = [(places[a][0], places[a + n - 1][1]) for a, n in cuts if a + n <= len(places)]
+    out, start, hole = [], 0, 0
+    for part, line in enumerate(text.split("\n")):
+        end = start + len(line)
+        while hole < len(holes) and holes[hole][1] <= start:
+            hole += 1
+        kept, at, k = [], start, hole
+        while k < len(holes) and holes[k][0] < end:
+            kept.append(text[at : max(at, holes[k][0])])
+            at = max(at, min(end, holes[k][1]))
+            k += 1
+        touched = k > hole
+        kept = "".join(kept) + text[at:end]
+        if part not in gone and not (touched and not kept.strip()):
+            out.append(kept)
+        start = end + 1
+    return "\n".join(out)
+
+
 def strip(docs: DataFrame) -> DataFrame:
     """``docs`` with the removals cut from their texts."""
-    gone = store(removals(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("part").alias("_parts")), "gone")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_parts"), i)), "\n")
-    joined = join_checked(docs, gone, F.expr("doc_id = _id"), "left", 64)
-    return joined.select(*[F.when(F.col("_parts").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    found = store(repeats(docs), "repeats")
+    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_set("part").alias("_parts"), F.collect_list(F.when(F.col("first_word").isNotNull(), F.struct("first_word", "n_words"))).alias("_cuts")
+    )
+    joined = join_checked(docs, store(gone, "gone"), F.expr("doc_id = _id"), "left", 64)
+    kept = F.udf(_cut, "string")(F.col("text").cast("string"), "_parts", "_cuts")
+    return joined.select(*[F.when(F.col("_id").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])

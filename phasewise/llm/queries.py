@@ -43,7 +43,7 @@ def op8_token_ids(spark, sf_dir):
 
 
 def op9_substring_dedup(spark, sf_dir):
-    return op09_substring.removals(table(spark, sf_dir, "documents"))
+    return op09_substring.repeats(table(spark, sf_dir, "documents"))
 
 
 def op10_html(spark, sf_dir):

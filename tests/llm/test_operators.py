@@ -356,6 +356,44 @@ def test_substring(spark, odd_docs, no_docs):
     assert op09_substring.removals(no_docs).count() == op09_substring.strip(no_docs).count() == 0
 
 
+def test_substring_runs_brute_force(spark):
+    """Over all 51-word runs of the texts, across lines: whatever is left of them stands at one place only."""
+    size, docs = 51, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    passage = "\n".join(" ".join(f"wort{i}von{j}" for i in range(17)) for j in range(4))
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, f"vor{i} {passage} nach{i}") for i in range(3)] + [(10**6 + 9, "ein wort\n" * 90)], docs.schema))
+    found = op09_substring.repeats(docs).collect()
+    lost = collections.defaultdict(set)
+    for r in found:
+        if r.part is None:
+            lost[r.doc_id].update(range(r.first_word, r.first_word + r.n_words))
+    lines, texts = {(r.doc_id, r.part) for r in found if r.part is not None}, {d: words(t) for d, t in docs.collect()}
+    by_line = collections.defaultdict(set)
+    for d, t in docs.collect():
+        at = 0
+        for part, line in enumerate((t or "").split("\n")):
+            n = len(words(line))
+            if (d, part) in lines:
+                by_line[d].update(range(at, at + n))
+            at += n
+    places = collections.defaultdict(list)
+    for d in sorted(texts):
+        for at in range(len(texts[d]) - size + 1):
+            if not by_line[d] & set(range(at, at + size)):
+                places[tuple(texts[d][at : at + size])].append((d, at))
+    want = collections.defaultdict(set)
+    for same in places.values():
+        for d, at in same[1:]:
+            if d != same[0][0] or at - same[0][1] >= size:
+                want[d].update(range(at, at + size))
+    assert want[10**6 + 1] and want[10**6 + 9] and all(want[d] <= lost[d] for d in want)
+    for r in found:
+        if r.part is None:
+            assert texts[r.doc_id][r.first_word : r.first_word + 50] == texts[r.keep_doc_id][r.keep_word : r.keep_word + 50]
+    assert [r.n_words for r in found if r.doc_id in (10**6 + 1, 10**6 + 2)] == [68, 68]
+    stripped = dict(rows_of(op09_substring.strip(docs.where("doc_id >= 1000000")), "doc_id", "text"))
+    assert stripped[10**6] == f"vor0 {passage} nach0" and stripped[10**6 + 1] == "vor1 \n nach1"
+
+
 def article(raw):
     body = raw.split("<article>", 1)[1].split("</article>")[0].split("<footer")[0]
     blocks = (" ".join(html.unescape(re.sub("</?b>", "", b).replace("<br>", " ")).split()) for b in re.split("</?(?:p|h1)>", body))
