@@ -6,11 +6,12 @@ of elements below it) and a content entropy (how varied is its text), both scale
 importance is the larger one. What looks and reads alike on every page is template. Branches whose
 importance is below LOW are removed from each page of the host.
 
-Entropy needs several pages, and varied menus or adverts look like content to it, so the tree starts
-with what the markup itself says: elements that are never content (NOISE tags, roles and class words)
-have importance 0, and ``article`` and ``main`` have 1 and are never removed themselves. If a page
-marks its content by such elements, only branches inside them count. A host with fewer than
-MIN_PAGES different pages is judged by markup alone.
+Entropy needs several pages, and varied menus or adverts look like content to it, so markup shifts the
+importance: class words of adverts and the like, page headers and forms lower that of their branches, as
+does standing outside ``article`` and ``main`` on a page whose plain text is mostly inside these; standing
+inside them makes up for it. Nodes on fewer than MIN_PAGES different pages have importance PLAIN before
+the shift. ``article`` and ``main`` are never removed themselves. Only elements that are never content
+(NOISE tags and roles, hidden ones) are dropped unseen.
 
 Edge cases: null html counts as empty and gives an empty text; null url: the host is empty, like any
 url without one; truncated pages are read as far as they go; pages that repeat count once in the tree
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from phasewise.llm.common import join_checked, store
 
 LOW, MIN_PAGES = 0.2, 8
+# Importance of a node on few pages, and shifts by class word, by form or doubtful role, outside and inside content elements.
+PLAIN, BY_WORD, BY_FORM, OUTSIDE, INSIDE = 0.4, -0.5, -0.75, -0.5, 0.5
 
 # Fixed values of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -41,10 +44,11 @@ BLOCK = {
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 # Elements that never hold content of a page.
 NOISE = {
-    "head", "title", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas",
-    "button", "select", "textarea", "input", "label", "menu", "dialog", "audio", "video", "map", "math",
+    "head", "title", "nav", "footer", "aside", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas",
+    "button", "select", "textarea", "input", "menu", "dialog", "audio", "video", "map", "math",
 }
-NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+NOISE_ROLES = {"navigation", "contentinfo", "search", "dialog", "alertdialog", "menu", "menubar"}
+FORMS, FORM_ROLES = {"form", "label"}, {"form", "banner", "complementary", "alert"}
 NOISE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
     "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav",
@@ -62,9 +66,18 @@ def _noise(tag: str, attrs: list) -> bool:
     a = dict(attrs)
     if "hidden" in a or (a.get("role") or "").lower() in NOISE_ROLES or (a.get("aria-hidden") or "").lower() == "true":
         return True
-    if tag in MAIN or tag in ("body", "html"):
-        return False
-    return any(w in NOISE_WORDS for k in ("class", "id") for w in re.split(r"[^a-z]+", (a.get(k) or "").lower()))
+    return False
+
+
+def _shift(tag: str, attrs: list) -> float:
+    """What the markup of one element takes from its importance."""
+    if tag in FIXED:
+        return 0.0
+    a = dict(attrs)
+    if tag in FORMS or (a.get("role") or "").lower() in FORM_ROLES:
+        return BY_FORM
+    word = any(w in NOISE_WORDS for k in ("class", "id") for w in re.split(r"[^a-z]+", (a.get(k) or "").lower()))
+    return BY_WORD if word or tag == "header" else 0.0
 
 
 class Page(HTMLParser):
@@ -72,26 +85,34 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple] = []  # (tag, path hash, in noise, in content element)
-        self.blocks: list[tuple] = []  # (text, style nodes above, in content element)
+        self.stack: list[tuple] = []  # (tag, path hash, in noise, in content element, shift of the branch, own shift)
+        self.blocks: list[tuple] = []  # (text, {style node above: its shift}, in content element, what joins it to the block before)
+        self.marked = False
+        self.inline, self.spaced = False, True
         self.buffer: list[str] = []
         self.below: dict[int, list[str]] = {}
 
-    def flush(self):
-        text = " ".join("".join(self.buffer).split())
+    def flush(self, inline: bool = False):
+        raw = "".join(self.buffer)
+        text = " ".join(raw.split())
         self.buffer.clear()
         if text and not (self.stack and self.stack[-1][2]):
             # style nodes that may be judged: those below the outermost content element, or below the body
-            inner = [s[1] for i, s in enumerate(self.stack) if s[0] not in FIXED and not (i + 1 < len(self.stack) and self.stack[i + 1][0] in MAIN)]
-            self.blocks.append((text, list(dict.fromkeys(inner)), bool(self.stack) and self.stack[-1][3]))
+            inner = [s for i, s in enumerate(self.stack) if s[0] not in FIXED and not (i + 1 < len(self.stack) and self.stack[i + 1][0] in MAIN)]
+            join = "\n" if not self.inline else " " if self.spaced or raw[0].isspace() else ""
+            self.blocks.append((text, {s[1]: s[4] for s in inner}, bool(self.stack) and self.stack[-1][3], join))
+            self.inline, self.spaced = True, raw[-1].isspace()
+        elif raw:
+            self.spaced = True
+        self.inline = self.inline and inline
 
     def handle_starttag(self, tag, attrs):
-        top = self.stack[-1] if self.stack else ("", 0, False, False)
-        noise = _noise(tag, attrs)
-        # a page header is noise; a heading group inside the content is not
-        noise = noise or (tag == "header" and not top[3])
+        top = self.stack[-1] if self.stack else ("", 0, False, False, 0.0, 0.0)
+        noise, shift = _noise(tag, attrs), _shift(tag, attrs)
         if tag in BLOCK or (noise and not top[2]):
             self.flush()
+        elif shift and tag not in VOID:
+            self.flush(inline=True)
         if tag in CLOSES_P:
             self._close_p()
         if tag == "li":
@@ -102,7 +123,7 @@ class Page(HTMLParser):
             self._close_open(("td", "th"), ("tr", "table"))
         elif tag == "tr":
             self._close_open(("tr",), ("table",))
-        top = self.stack[-1] if self.stack else ("", 0, False, False)
+        top = self.stack[-1] if self.stack else ("", 0, False, False, 0.0, 0.0)
         if tag == "br":
             self.buffer.append(" ")
         if tag in VOID:
@@ -110,7 +131,9 @@ class Page(HTMLParser):
         style = dict(attrs).get("class") or ""
         path = xxhash.xxh64_intdigest(f"{tag}.{style}", top[1])
         self.below.setdefault(top[1], []).append(tag)
-        self.stack.append((tag, path, top[2] or noise, top[3] or (tag in MAIN and not top[2])))
+        main = top[3] or (tag in MAIN and not top[2])
+        self.marked |= main
+        self.stack.append((tag, path, top[2] or noise, main, min(top[4], shift), shift))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -139,6 +162,8 @@ class Page(HTMLParser):
             if self.stack[at][0] == tag:
                 if tag in BLOCK or self.stack[at][2] != (at > 0 and self.stack[at - 1][2]):
                     self.flush()
+                elif any(s[5] for s in self.stack[at:]):
+                    self.flush(inline=True)
                 del self.stack[at:]
                 return
             if self.stack[at][0] in BLOCK and tag not in BLOCK:
@@ -156,11 +181,24 @@ def parse(html: str | None) -> Page:
     page.feed(html or "")
     page.close()
     page.flush()
-    if any(main for _, _, main in page.blocks):
-        page.blocks = [b for b in page.blocks if b[2]]
+    inside = sum(len(t) for t, _, main, _ in page.blocks if main)
+    plain = sum(len(t) for t, nodes, main, _ in page.blocks if not main and not any(nodes.values()))
+    # a teaser marked as an article does not make the rest of its page noise
+    page.marked = page.marked and inside >= plain
     return page
 
 
+def kept(page: Page, importance: dict[int, float]) -> str:
+    """The blocks no node of which is below LOW."""
+    out = []
+    for text, nodes, main, join in page.blocks:
+        place = INSIDE if main else OUTSIDE if page.marked else 0.0
+        least = min((importance.get(_signed(p), PLAIN) + min(0.0, shift + place) for p, shift in nodes.items()), default=PLAIN + min(0.0, place))
+        if least >= LOW:
+            out += [join if out else "", text]
+    return "".join(out)
+
+
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
@@ -177,7 +215,7 @@ def _nodes_task(batches):
             page = parse(html)
             whole = _signed(xxhash.xxh64_intdigest("\n".join(b[0] for b in page.blocks)))
             texts: dict[int, list[str]] = {}
-            for text, paths, _ in page.blocks:
+            for text, paths, _, _ in page.blocks:
                 for p in paths:
                     texts.setdefault(p, []).append(text)
             for tag_path, parts in texts.items():
@@ -208,20 +246,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html)."""
-    low = style_tree(pages).where(f"importance < {LOW} AND pages >= {MIN_PAGES}")
-    low = store(low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("low")), "low")
+    tree = style_tree(pages).where(f"pages >= {MIN_PAGES}")
+    tree = tree.groupBy(F.col("host").alias("_host")).agg(F.collect_list("node").alias("nodes"), F.collect_list(F.col("importance").cast("float")).alias("importance"))
+    tree = store(tree, "tree")
     rows = pages.select(
         F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.col("html").cast("string").alias("html"), host_of("url").alias("_host_of")
     )
-    rows = join_checked(rows, low, F.expr("_host_of = _host"), "left", 1024).select("page_id", "url", "html", "low")
+    rows = join_checked(rows, tree, F.expr("_host_of = _host"), "left", 1024).select("page_id", "url", "html", "nodes", "importance")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for html, low in zip(batch.column(2), batch.column(3).to_pylist()):
-                page, gone = parse(html.as_py()), set(low or ())
-                keep = [t for t, paths, _ in page.blocks if not (gone and any(_signed(p) in gone for p in paths))]
-                texts.append("\n".join(keep))
+            for html, nodes, importance in zip(batch.column(2), batch.column(3), batch.column(4)):
+                texts.append(kept(parse(html.as_py()), dict(zip(nodes.as_py() or (), importance.as_py() or ()))))
             text = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), text, pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]

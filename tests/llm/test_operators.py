@@ -427,3 +427,16 @@ def test_style_tree_removes_template(spark):
     got = dict(rows_of(op10_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id", "text"))
     assert all(got[i] == f"Story number {i} tells of {i}." for i in range(20))
     assert got[99].startswith("Welcome")  # one page tells nothing about its site
+
+
+def test_html_entropy_decides(spark):
+    """A teaser article leaves the body, class words inside an article drop nothing, entropy judges blocks of either kind."""
+    pages = {
+        "teaser": "<body><article><p>Teaser</p></article><div class=text><p>Story {0} tells of {0}, and on it goes with {0}.</p></div></body>",
+        "title": "<article><header class='entry-header'><h1>Title {0}</h1></header><p class='notice'>Note {0}</p><p class='social work'>Work {0} <span class=share>at</span> {0}.</p></article><p>out</p>",
+        "twice": "<article><p>Text {0}</p><div class=tool>Print this</div></article><p>By author {0}</p><div class=ad>Buy {0}</div>",
+    }
+    want = {"teaser": "Story {0} tells of {0}, and on it goes with {0}.", "title": "Title {0}\nNote {0}\nWork {0} {0}.", "twice": "Text {0}\nBy author {0}"}
+    rows = [(100 * k + i, f"https://{host}/{i}", page.format(i)) for k, (host, page) in enumerate(pages.items()) for i in range(20)]
+    got = dict(rows_of(op10_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id", "text"))
+    assert got == {100 * k + i: want[host].format(i) for k, host in enumerate(pages) for i in range(20)}
