@@ -9,8 +9,11 @@ rejected.
 
 Features are runs of character classes (hashed 4-grams of class codes) and binned measures of repetition.
 
-Edge cases: null and empty texts and texts of fewer than MIN_WORDS words give the rules too little: all
-abstain, the document is kept and scores by the prior; repeated rows score alike; an empty table gives
+Texts of fewer than MIN_WORDS words, which may be long where no spaces are written, give the rules too
+little, so all abstain. A second scorer, which sees characters only (CHARACTERS), judges them. It learns
+from the same sample, whole texts and beginnings of a few words, what the rules on characters say.
+
+Edge cases: null and empty texts and texts without a word are kept and score by the prior; repeated rows score alike; an empty table gives
 no rows; other columns are ignored by ``score`` and pass through ``accept``.
 """
 
@@ -99,6 +102,11 @@ LABELLERS = {
 }
 
 
+# Measures that need no words, and the rules a few words can inherit from their text.
+CHARACTERS = (1, 5, 7, 9)
+_CHARACTER_RULES = np.array([at in (0, *CHARACTERS) for at, *_ in LABELLERS.values()])
+
+
 def votes(m: np.ndarray, n_words: int) -> np.ndarray:
     if n_words < MIN_WORDS:
         return np.full(len(LABELLERS), ABSTAIN)
@@ -109,18 +117,31 @@ def votes(m: np.ndarray, n_words: int) -> np.ndarray:
     return np.array(out)
 
 
-def features(m: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Hashed features: square roots of class 4-gram shares, and a bin for each measure."""
+def _bin(i: int, v: float) -> int:
+    cell = i * 64 + int(np.clip(np.log2(max(v, 0) + 1 / 64) * 3 + 32, 0, 63))
+    return (cell * 0x9E3779B1 >> 7) % DIM
+
+
+def features(m: np.ndarray, grams: np.ndarray, only: tuple | None = None) -> np.ndarray:
+    """Hashed features: square roots of class 4-gram shares, and a bin for each measure (of ``only``)."""
     used = np.flatnonzero(grams)
     x = np.zeros(DIM, np.float32)
     slot = (used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)
     np.add.at(x, slot.astype(np.int64), np.sqrt(grams[used] / max(1, grams.sum())))
     for i, v in enumerate(m):
-        cell = i * 64 + int(np.clip(np.log2(max(v, 0) + 1 / 64) * 3 + 32, 0, 63))
-        x[(cell * 0x9E3779B1 >> 7) % DIM] += 1.0
+        if only is None or i in only:
+            x[_bin(i, v)] += 1.0
     return x
 
 
+def _beginning(text: str, words: np.ndarray) -> np.ndarray:
+    """Character features of the first one to seven words of a text."""
+    most = 1 + int(words[0]) % (MIN_WORDS - 1)
+    parts = text.split(None, most)
+    first = text[: len(text) - len(parts[most])].strip() if len(parts) > most else text
+    return features(*measures(first, words[:most]), CHARACTERS)
+
+
 def _walk(batch, column: int):
     """(row, measures, grams, number of words) of every text of a batch; null counts as empty."""
     texts = batch.column(column)
@@ -186,11 +207,16 @@ def _patterns_task(batches):
 
 def _features_task(batches):
     for batch in batches:
-        x, code = [], []
-        for _, m, grams, n in _walk(batch, 0):
-            x.append(features(m, grams).tobytes())
-            code.append(_pattern(votes(m, n)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(code, pa.int64())], ["x", "pattern"])
+        x, short, bins, code = [], [], [], []
+        for row, words in doc_words(batch.column(0)):
+            text = batch.column(0)[row].as_py() or ""
+            m, grams = measures(text, words)
+            x.append(features(m, grams, CHARACTERS).tobytes())
+            short.append(_beginning(text, words).tobytes() if len(words) else x[-1])
+            bins.append([_bin(i, v) for i, v in enumerate(m) if i not in CHARACTERS])
+            code.append(_pattern(votes(m, len(words))))
+        kinds = (pa.binary(), pa.binary(), pa.list_(pa.int16()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((x, short, bins, code), kinds)], ["x", "short", "bins", "pattern"])
 
 
 def fit(docs: DataFrame) -> dict:
@@ -203,18 +229,25 @@ def fit(docs: DataFrame) -> dict:
         return {"weights": np.zeros(DIM + 1)}
     prior, table = fit_em(patterns)
     drawn = docs.where(keyed.uniform(6, "quality", F.xxhash64("doc_id", "text")) * total < SAMPLE).select(F.col("text").cast("string").alias("text"))
-    rows = drawn.mapInArrow(_features_task, "x binary, pattern bigint").limit(2 * SAMPLE).collect()
+    rows = drawn.mapInArrow(_features_task, "x binary, short binary, bins array<smallint>, pattern bigint").limit(2 * SAMPLE).collect()
     spoken = [r for r in rows if r.pattern != _pattern(np.full(len(LABELLERS), ABSTAIN))]
-    x = np.array([np.frombuffer(r.x, np.float32) for r in spoken]).reshape(-1, DIM)
+    x, short = (np.array([np.frombuffer(r[c], np.float32) for r in spoken], np.float32).reshape(-1, DIM) for c in ("x", "short"))
     v = np.array([r.pattern for r in spoken], np.int64)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    return {"weights": fit_scorer(x, posterior(v, prior, table)), "prior": prior, "table": table}
+    by_characters = np.where(_CHARACTER_RULES, v, ABSTAIN)
+    told = (by_characters != ABSTAIN).any(axis=1)
+    few = fit_scorer(np.vstack([x[told], short[told]]), np.tile(posterior(by_characters[told], prior, table), 2))
+    # the classes weigh alike in the fit; few characters say little, so here their shares count again
+    few[-1] += np.log(prior / (1 - prior))
+    for row, one in zip(x, spoken):
+        np.add.at(row, one.bins, 1.0)
+    return {"weights": fit_scorer(x, posterior(v, prior, table)), "few": few, "prior": prior, "table": table}
 
 
 def _score(model: dict, m, grams, n) -> float:
-    w = model["weights"]
-    if n < MIN_WORDS:
+    if not n:
         return float(model.get("prior", 0.5))
-    z = float(features(m, grams) @ w[:-1] + w[-1])
+    w, only = (model["weights"], None) if n >= MIN_WORDS else (model["few"], CHARACTERS)
+    z = float(features(m, grams, only) @ w[:-1] + w[-1])
     return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -227,7 +260,7 @@ def score(docs: DataFrame) -> DataFrame:
             s, keep = [], []
             for _, m, grams, n in _walk(batch, 1):
                 s.append(_score(model.value, m, grams, n))
-                keep.append(n < MIN_WORDS or s[-1] >= CUT)
+                keep.append(not n or s[-1] >= CUT)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(keep, pa.bool_())], ["doc_id", "score", "keep"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -243,7 +276,7 @@ def accept(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for row, m, grams, n in _walk(batch, at):
-                keep[row] = n < MIN_WORDS or _score(model.value, m, grams, n) >= CUT
+                keep[row] = not n or _score(model.value, m, grams, n) >= CUT
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

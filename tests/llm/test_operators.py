@@ -233,6 +233,16 @@ def test_quality(spark, odd_docs, no_docs):
     assert op06_quality.score(no_docs).count() == op06_quality.accept(no_docs).count() == 0
 
 
+def test_quality_few_words(spark):
+    """Texts of fewer than eight words are scored: junk goes, prose and languages without spaces stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    junk = ["Reon*** haeand$$$ and&&& ther%%% on###", "That*** atly.###", "#$%&*" * 2000, "$$$###" * 5000 + " ***"]
+    good = ["This.", "Ly. Th heing.", "Edstou reinan ed for.", "今天天气很好我们去公园散步" * 200, "", None]
+    rows = [(10**6 + i, t) for i, t in enumerate(junk + good)]
+    got = dict(rows_of(op06_quality.score(docs.unionByName(spark.createDataFrame(rows, docs.schema))).where("doc_id >= 1000000"), "doc_id", "keep"))
+    assert [got[10**6 + i] for i in range(len(rows))] == [False] * len(junk) + [True] * len(good)
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(1)
     rules, n = len(op06_quality.LABELLERS), 20_000
