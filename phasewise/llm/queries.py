@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mixing, op05_language, op06_quality, op07_sharding, op08_token_ids, op09_substring
 from phasewise.llm import op10_html as op10_html_module
+from phasewise.llm import op11_simhash as op11_simhash_module
 from phasewise.llm.common import table
 
 
@@ -50,6 +51,10 @@ def op10_html(spark, sf_dir):
     return op10_html_module.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash(spark, sf_dir):
+    return op11_simhash_module.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -61,6 +66,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html": op10_html,
+    "op11_simhash": op11_simhash,
 }
 
 SQL = {
