@@ -5,6 +5,7 @@ from __future__ import annotations
 from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mixing, op05_language, op06_quality, op07_sharding, op08_token_ids, op09_substring
 from phasewise.llm import op10_html as op10_html_module
 from phasewise.llm import op11_simhash as op11_simhash_module
+from phasewise.llm import op12_alignment as op12_alignment_module
 from phasewise.llm.common import table
 
 
@@ -55,6 +56,13 @@ def op11_simhash(spark, sf_dir):
     return op11_simhash_module.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return op12_alignment_module.agreement(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -67,6 +75,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html": op10_html,
     "op11_simhash": op11_simhash,
+    "op12_alignment": op12_alignment,
 }
 
 SQL = {
