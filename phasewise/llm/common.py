@@ -181,6 +181,34 @@ def list_array(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
 
 
+def whole_groups(batches, keys: list[str], rows: int, most: int | None = None):
+    """Arrow tables of ``rows`` rows or more that end with whole groups; input comes sorted by ``keys``.
+
+    With ``most``, a table ends after that many rows even inside a group, so that long groups stream.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        more = pa.Table.from_batches([batch])
+        held = more if held is None else pa.concat_tables([held, more])
+        while most is not None and held.num_rows > most:
+            yield held.slice(0, most).combine_chunks()
+            held = held.slice(most)
+        if most is None and held.num_rows >= rows:
+            held = held.combine_chunks()
+            same = np.ones(held.num_rows, bool)
+            for k in keys:
+                v = held.column(k).to_numpy()
+                same &= v == v[-1]
+            done = 0 if same.all() else held.num_rows - int(np.argmin(same[::-1]))
+            if done:
+                yield held.slice(0, done).combine_chunks()
+                held = held.slice(done).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
 # --- connected components --------------------------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import components, discard, join_checked, signed, store
+from phasewise.llm.common import components, discard, join_checked, signed, store, whole_groups
 
 SEED = 42
 BITS = 64
@@ -141,7 +141,7 @@ def _forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_task(radius: int, keys: list[str]):
-    """Forests of buckets that arrive sorted by ``keys``; a bucket may go on in the next batch."""
+    """Forests of buckets that arrive sorted by ``keys``."""
 
     def links(table: pa.Table):
         x = table.column("fp").to_numpy().view(np.uint64)
@@ -163,21 +163,8 @@ def _bucket_task(radius: int, keys: list[str]):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            same = np.ones(held.num_rows, bool)
-            for k in keys:
-                v = held.column(k).to_numpy()
-                same &= v == v[-1]
-            done = int(np.argmax(same))
-            if done:
-                yield from links(held.slice(0, done))
-                held = held.slice(done).combine_chunks()
-        if held is not None:
-            yield from links(held)
+        for table in whole_groups(batches, keys, 1):
+            yield from links(table)
 
     return run
 

@@ -6,6 +6,7 @@ from phasewise.llm import op01_jaccard, op02_exact, op03_decontaminate, op04_mix
 from phasewise.llm import op10_html as op10_html_module
 from phasewise.llm import op11_simhash as op11_simhash_module
 from phasewise.llm import op12_alignment as op12_alignment_module
+from phasewise.llm import op13_trie as op13_trie_module
 from phasewise.llm.common import table
 
 
@@ -63,6 +64,10 @@ def op12_alignment(spark, sf_dir):
     return op12_alignment_module.agreement(table(spark, sf_dir, "documents"), *files)
 
 
+def op13_trie(spark, sf_dir):
+    return op13_trie_module.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -76,6 +81,7 @@ QUERIES = {
     "op10_html": op10_html,
     "op11_simhash": op11_simhash,
     "op12_alignment": op12_alignment,
+    "op13_trie": op13_trie,
 }
 
 SQL = {
@@ -129,5 +135,37 @@ y AS (
 SELECT doc_id, size, source_size, target,
        ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken
 FROM y
+""",
+    "op13_trie": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, h, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) AS pos
+  FROM (SELECT conv_id, turn, sha256(length(role)::VARCHAR || ':' || role || text) AS h, strlen(text) AS bytes FROM t)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+             lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS k
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, o.pos, o.h, o.bytes FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.k
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.h, o.bytes FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.k),
+s AS (
+  SELECT conv_id, h, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM r),
+q AS (
+  SELECT conv_id, d, n_turns, bytes, sha256(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS key FROM s),
+p AS (
+  SELECT conv_id, d, n_turns, bytes, key, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY d) AS above FROM q
+  UNION ALL SELECT c.conv_id, 0, coalesce(max(s.n_turns), 0), 0, '', NULL FROM c LEFT JOIN s ON s.conv_id = c.conv_id GROUP BY c.conv_id),
+node AS (SELECT d, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM p GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS n_children FROM node WHERE d > 0 GROUP BY d, above),
+every AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON kids.d = node.d AND kids.key = node.key),
+total AS (
+  SELECT p.d, p.key, sum((u.n_convs - 1) * u.bytes)::BIGINT AS saved_tokens, count(*) FILTER (u.n_children = 0) AS n_leaves
+  FROM every u JOIN p ON p.conv_id = u.conv_id AND p.d <= u.d GROUP BY p.d, p.key),
+stop AS (SELECT d, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p WHERE d = n_turns GROUP BY d, key)
+SELECT e.conv_id, e.d::BIGINT AS depth, a.conv_id AS parent_conv_id, e.n_convs, e.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(stop.ids, '')) AS ends_sha256
+FROM every e JOIN total t ON t.d = e.d AND t.key = e.key LEFT JOIN node a ON a.d = e.d - 1 AND a.key = e.above
+LEFT JOIN stop ON stop.d = e.d AND stop.key = e.key
 """,
 }
