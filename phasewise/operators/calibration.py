@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.models import cox, linear, multinomial
-from phasewise.models.linear import Fit, product_sums, score_sums, stack_column, unpack
+from phasewise.models.linear import Fit, product_sums, safe_inverse, score_sums, stack_column, unpack
 from phasewise.session import cut, join_small
 
 RAKE_STEPS = 50
@@ -114,7 +114,8 @@ def raking_estimate(
 
     Predict the validated columns for everyone, fit the working model on the predictions, use its
     influence columns as calibration variables, then fit the final model on validated rows.
-    For ``cox`` ``y`` (and ``y_impute``) is ``(time, event)``.
+    For ``cox`` ``y`` (and ``y_impute``) is ``(time, event)``. Standard errors are those of
+    ``two_phase_covariance``: calibration takes the explained part of the second phase away.
     """
     d = regression_predict_all(two_phase(df, strata, r), imputers, r)
     y_work = y_impute or y
@@ -131,9 +132,66 @@ def raking_estimate(
         names = [f"if_{n}" for n in fit.names]
     safe = {n: f"if{i}" for i, n in enumerate(names)}
     d = d.withColumnsRenamed(safe)
-    d = rake(d, list(safe.values()), "w", r).where(F.col(r) == 1)
+    aux = list(safe.values())
+    # the validated rows are read by the fit and by three sums after it
+    d = cut(rake(d, aux, "w", r).where(F.col(r) == 1))
     if kind == "cox":
-        return cox.fit_survey_cox(d, y[0], y[1], final, key, "w_cal", strata)
-    return linear.fit_survey(d, y, final, "w_cal", strata, {"gauss": "gaussian", "bin": "quasibinomial"}[kind])
+        fit = cox.fit_cox(d, y[0], y[1], final, "w_cal")
+        scores = cox.score_residuals(d, y[0], y[1], final, key, fit, "w_cal").drop("_w")
+        scores = scores.withColumnsRenamed({f"u{i}": f"z{i}" for i in range(len(fit.names))}).join(d, key, "inner")
+    else:
+        fit = linear.fit_glm(d, y, final, {"gauss": "gaussian", "bin": "quasibinomial"}[kind], "w_cal")
+        scores = linear.residuals(fit, d, "_e").withColumns({f"z{i}": F.col("_e") * c for i, c in enumerate(fit.terms.values())})
+    return two_phase_covariance(fit, scores, aux, strata)
+
+
+def two_phase_covariance(fit: Fit, scores: DataFrame, aux: Sequence[str], strata: str | None = None, w: str = "w", w_cal: str = "w_cal", prob: str = "prob") -> Fit:
+    """``fit`` with the covariance of an estimate from a phase-2 sample whose weights were calibrated on ``aux``.
 
+    ``scores`` holds the validated rows with their unweighted scores z0.. With N rows in phase 1, bread B, calibrated weights
+    c, design weights w and e the residual of z regressed on (1, aux) with weights w, the covariance is B (M1 + M2) B:
 
+    * M1 = N/(N-1) (sum c z z' - (sum c z)(sum c z)'/N), what a validated phase 1 would leave;
+    * M2 = sum over strata of (1 - n_h/N_h) n_h/(n_h-1) (sum c^2 e e' - (sum c e)(sum c e)'/n_h), what sampling adds.
+
+    Rows with a null score take no part; a lone row of a stratum adds nothing to M2. Two aggregates; the driver
+    sees the regression of p scores on the few calibration columns.
+    """
+    if fit.by:
+        raise ValueError("one fit at a time")
+    p, q = len(fit.terms), len(aux) + 1
+    zs = [f"z{i}" for i in range(p)]
+    used = scores.select(
+        F.col(w_cal).cast("double").alias("_c"), F.col(w).cast("double").alias("_d"), F.col(prob).cast("double").alias("_p"),
+        (F.col(strata) if strata else F.lit(0)).alias("_h"), F.lit(1.0).alias("x0"),
+        *[F.col(a).cast("double").alias(f"x{i + 1}") for i, a in enumerate(aux)], *zs,
+    ).dropna(subset=zs)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    flat = lambda parts: F.expr("array(" + ", ".join(parts) + ")")
+    sums = used.agg(
+        product_sums(q, "_d").alias("A"), flat([f"sum(_d * x{k} * z{i})" for i in range(p) for k in range(q)]).alias("B"),
+        flat([f"sum(_c * z{i} * z{j})" for i, j in pairs]).alias("Q"), flat([f"sum(_c * z{i})" for i in range(p)]).alias("S"),
+        F.sum(1 / F.col("_p")).alias("N"),
+    ).first()
+    inv, _ = safe_inverse(unpack(np.array([sums["A"]], float), q))
+    slope = np.array(sums["B"], float).reshape(p, q) @ inv[0]
+    n, first = sums["N"], np.array(sums["S"], float)
+    meat = (unpack(np.array([sums["Q"]], float), p)[0] - np.outer(first, first) / n) * n / (n - 1)
+    rest = used.withColumns({
+        f"e{i}": F.col("_c") * (F.col(f"z{i}") - sum((F.lit(float(slope[i, k])) * F.col(f"x{k}") for k in range(q)), F.lit(0.0))) for i in range(p)
+    })
+    of_stratum = rest.groupBy("_h").agg(
+        F.count("*").alias("n"), F.first("_p").alias("f"), *[F.sum(f"e{i}").alias(f"s{i}") for i in range(p)],
+        *[F.expr(f"sum(e{i} * e{j}) AS q{i}_{j}") for i, j in pairs],
+    ).where("n > 1")
+    second = of_stratum.agg(flat([f"sum((1 - f) * n / (n - 1) * (q{i}_{j} - s{i} * s{j} / n))" for i, j in pairs]).alias("M")).first()["M"]
+    meat = meat + unpack(np.array([[v or 0.0 for v in second]], float), p)[0]
+
+    def replace(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.copy()
+        bread = stack_column(pdf["bread"]).reshape(len(pdf), p, p)
+        out["cov"] = list((bread @ meat @ bread).reshape(len(pdf), -1))
+        return out
+
+    table, small, _ = linear.per_row_numpy(fit.table, replace, fit.table.schema)
+    return Fit("survey", fit.family, fit.terms, [], table, small, fit.y, fit.weight, fit.extra)

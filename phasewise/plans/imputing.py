@@ -11,7 +11,7 @@ from phasewise.operators import calibration, designs, tuning
 from phasewise.operators import evaluation as ev
 from phasewise.operators.columns import Roles
 from phasewise.plans import fixtures as fx
-from phasewise.plans.modelling import eliminate, long_terms, newton3, sandwich3, short
+from phasewise.plans.modelling import cox2, eliminate, long_terms, newton3
 from phasewise.plans.registry import query, rnd, srnd, table
 from phasewise.plans.sampling import cohort
 
@@ -115,10 +115,30 @@ def raking_sql(y: str, family: str, steps: int) -> str:
     {rake4_sql('q2', ['f0', 'f1', 'f2'])},
     fin AS MATERIALIZED (SELECT q2.*, w*exp(l0+l1*f0+l2*f1+l3*f2) AS wc FROM q2, k9 WHERE r = 1),
     {newton3(y, 'x_true', 'z_bal', family, 'fin', 'wc', steps=steps, tag='e')},
-    p AS (SELECT fin.*, {final_mu} AS mu FROM fin, e{steps}), {sandwich3(f'wc*({y}-mu)', 'p', f'e{steps}')}
+    pz AS MATERIALIZED (SELECT wc, w, z_seg, 1.0::DOUBLE AS c0, f0 AS c1, f1 AS c2, f2 AS c3, e AS z0, e*x_true AS z1, e*z_bal AS z2
+      FROM (SELECT fin.*, {y} - ({final_mu}) AS e FROM fin, e{steps})),
+    {two_phase_sql(3, 4)},
+    sv AS (SELECT *, i00*(i00*m00+i01*m01+i02*m02)+i01*(i00*m01+i01*m11+i02*m12)+i02*(i00*m02+i01*m12+i02*m22) AS v0,
+      i01*(i01*m00+i11*m01+i12*m02)+i11*(i01*m01+i11*m11+i12*m12)+i12*(i01*m02+i11*m12+i12*m22) AS v1,
+      i02*(i02*m00+i12*m01+i22*m02)+i12*(i02*m01+i12*m11+i22*m12)+i22*(i02*m02+i12*m12+i22*m22) AS v2 FROM e{steps}, zm)
     {long_terms([('(Intercept)', 'b0', 'sqrt(v0)'), ('x', 'b1', 'sqrt(v1)'), ('z', 'b2', 'sqrt(v2)')], 'sv', 5)}"""
 
 
+def two_phase_sql(nz: int, nc: int) -> str:
+    """Middle matrix ``zm`` of the two-phase covariance, from ``pz`` (wc, w, z_seg, c0.., z0..)."""
+    pairs = [(i, j) for i in range(nz) for j in range(i, nz)]
+    out = []
+    for i in range(nz):
+        sums = [f"sum(w*c{a}*c{b}) AS h{a}_{b}" for a in range(nc) for b in range(a, nc)] + [f"sum(w*c{a}*z{i}) AS g{a}" for a in range(nc)]
+        out.append(f"gm{i} AS MATERIALIZED (SELECT {', '.join(f'x{a} AS y{i}_{a}' for a in range(nc))} FROM ({eliminate(f'(SELECT {', '.join(sums)} FROM pz)', nc)}))")
+    rest = ", ".join(f"wc*(z{i} - ({' + '.join(f'y{i}_{a}*c{a}' for a in range(nc))})) AS e{i}" for i in range(nz))
+    out.append(f"pe AS MATERIALIZED (SELECT *, {rest} FROM pz, {', '.join(f'gm{i}' for i in range(nz))})")
+    out.append(f"""ph AS (SELECT z_seg, {', '.join(f'(1 - 1/any_value(w))*covar_samp(e{i}, e{j})*count(*) AS m{i}{j}' for i, j in pairs)} FROM pe GROUP BY 1)""")
+    out.append(f"p1 AS (SELECT {', '.join(f'nn/(nn-1)*(q{i}{j} - s{i}*s{j}/nn) AS l{i}{j}' for i, j in pairs)} FROM (SELECT sum(w) AS nn, {', '.join(f'sum(wc*z{i}) AS s{i}' for i in range(nz))}, {', '.join(f'sum(wc*z{i}*z{j}) AS q{i}{j}' for i, j in pairs)} FROM pz))")
+    out.append(f"zm AS (SELECT {', '.join(f'any_value(l{i}{j}) + sum(m{i}{j}) AS m{i}{j}' for i, j in pairs)} FROM ph, p1)")
+    return ",\n    ".join(out)
+
+
 def short5(df):
     return df.select("term", rnd("estimate", 5).alias("estimate"), rnd("se", 5).alias("se"))
 
@@ -133,9 +153,34 @@ def raking_estimate_bin(spark, d):
     return short5(raking(spark, d, "bin"))
 
 
-@query("raking_estimate_cox")
+def cox_scores(src: str, fit: str, x: str, z: str, keep: str, weight: str = "1.0::DOUBLE", tag: str = "u") -> str:
+    """Score residuals <tag>1, <tag>2 of the two-term Cox fit in table ``fit``, in table <tag>."""
+    return f"""{tag}r AS (SELECT {keep}, time AS t, event AS d, {weight} AS cw, {x} - (SELECT avg({x}) FROM {src}) AS a, {z} - (SELECT avg({z}) FROM {src}) AS b FROM {src}),
+    {tag}e AS (SELECT *, exp(b1*a+b2*b) AS rr FROM {tag}r, {fit}),
+    {tag}s AS (SELECT *, sum(cw*rr) OVER k AS s0, sum(cw*rr*a) OVER k AS s1, sum(cw*rr*b) OVER k AS s2 FROM {tag}e WINDOW k AS (ORDER BY t DESC)),
+    {tag}z AS (SELECT *, sum(cw*d/s0) OVER v AS hz, sum(cw*d*s1/s0/s0) OVER v AS g1, sum(cw*d*s2/s0/s0) OVER v AS g2 FROM {tag}s WINDOW v AS (ORDER BY t)),
+    {tag} AS MATERIALIZED (SELECT *, d*(a-s1/s0) - rr*(a*hz-g1) AS {tag}1, d*(b-s2/s0) - rr*(b*hz-g2) AS {tag}2 FROM {tag}z)"""
+
+
+RAKE_COX = f"""WITH {S_SQL}, q0 AS MATERIALIZED (SELECT *, 1/avg(r) OVER (PARTITION BY z_seg) AS w FROM s), pv AS (SELECT * FROM q0 WHERE r = 1),
+    {newton3('x_true', 'x_star', 'z_bal', 'gaussian', 'pv', 'w', steps=2, tag='a')},
+    q1 AS MATERIALIZED (SELECT q0.*, a2.b0+a2.b1*x_star+a2.b2*z_bal AS xi FROM q0, a2),
+    {cox2('time', 'event', 'xi', 'z_bal', 'q1', tag='m')},
+    {cox_scores('q1', 'm7', 'xi', 'z_bal', 'row_id, r, w, z_seg, x_true, z_bal, time, event', tag='u')},
+    q2 AS MATERIALIZED (SELECT row_id, r, w, z_seg, x_true, z_bal, time, event, (v11*u1+v12*u2)*1e4 AS f0, (v12*u1+v22*u2)*1e4 AS f1 FROM u),
+    {rake4_sql('q2', ['f0', 'f1'])},
+    fin AS MATERIALIZED (SELECT q2.*, w*exp(l0+l1*f0+l2*f1) AS wc FROM q2, k9 WHERE r = 1),
+    {cox2('time', 'event', 'x_true', 'z_bal', 'fin', tag='e', weight='wc')},
+    {cox_scores('fin', 'e7', 'x_true', 'z_bal', 'w, wc, z_seg, f0, f1', 'wc', tag='n')},
+    pz AS MATERIALIZED (SELECT wc, w, z_seg, 1.0::DOUBLE AS c0, f0 AS c1, f1 AS c2, n1 AS z0, n2 AS z1 FROM n),
+    {two_phase_sql(2, 3)},
+    sv AS (SELECT *, v11*(v11*m00+v12*m01)+v12*(v11*m01+v12*m11) AS v0, v12*(v12*m00+v22*m01)+v22*(v12*m01+v22*m11) AS v1 FROM e7, zm)
+    {long_terms([('x', 'b1', 'sqrt(v0)'), ('z', 'b2', 'sqrt(v1)')], 'sv', 5)}"""
+
+
+@query("raking_estimate_cox", RAKE_COX)
 def raking_estimate_cox(spark, d):
-    return short(raking(spark, d, "cox"))
+    return short5(raking(spark, d, "cox"))
 
 
 # ------------------------------------------------------------- imputation
