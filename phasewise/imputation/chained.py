@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.imputation import draws
+from phasewise.imputation import draws, weighted_likelihood
 from phasewise.models import linear
 from phasewise.operators.aggregates import safe_corr
 from phasewise.operators.columns import level_codes
-from phasewise.session import cut, join_small
+from phasewise.session import columns_used, cut, drop_cut, join_small
 
 # Sweeps, correlation threshold and its step when a fit is singular.
 SWEEPS = 25
@@ -54,29 +54,95 @@ def _boosted(d, name, t, key, seed, tag):
     return draws.draw_tree(d, name, list(t.terms), f"_miss_{name}", key, seed, tag, "boosted", **t.options)
 
 
+def _weighted_likelihood(d, name, t, key, seed, tag):
+    return weighted_likelihood.draw_in_chain(d, name, t.terms, f"_miss_{name}", key, seed, tag, **t.options)
+
+
 # Methods by name; add an entry to plug in another one.
 METHODS: dict[str, Callable] = {
     "norm": _norm, "pmm": _pmm, "binary": _binary, "multiclass": _multiclass, "forest": _forest, "boosted": _boosted,
+    "weighted_likelihood": _weighted_likelihood,
 }
 
 
-def chained_equations(
-    df: DataFrame, targets: Mapping[str, Target], key: str, m: int = 5, maxit: int = SWEEPS, seed=1, cut_every: int = 2,
-) -> DataFrame:
-    """m completed copies after ``maxit`` sweeps. Lineage is cut every ``cut_every`` steps."""
-    names = list(targets)
-    flags = {f"_miss_{t}": F.col(t).isNull() for t in names}
-    d = draws.stack_copies(df.withColumns(flags), m)
-    d = cut(draws.random_start(d, names, key, seed))
-    done = 0
+class Chains:
+    """m chains over one copy of the rows.
+
+    ``base`` holds each row once: key, observed targets and the columns that some term reads. ``drawn`` holds,
+    for rows with a missing target, one array of m values for each missing target. They meet by the key, row
+    by row and not copy by copy; only ``drawn`` is written again after a step, and its last version deleted. Columns
+    that no term reads wait in the caller's table.
+    """
+
+    def __init__(self, df: DataFrame, targets: Mapping[str, Target], key: str, m: int, seed):
+        self.targets, self.key, self.m = targets, key, m
+        self.reads = {t: _columns_read(df, spec) for t, spec in targets.items()}
+        every = [c for c in df.columns if c == key or c in targets or any(c in r for r in self.reads.values())]
+        self.base = cut(df.select(every))
+        self.kinds = {t: df.schema[t].dataType.simpleString() for t in targets}
+        self.drawn = self._start(seed)
+
+    def _flagged(self) -> DataFrame:
+        return self.base.withColumns({f"_miss_{t}": F.col(t).isNull() for t in self.targets})
+
+    def _start(self, seed) -> DataFrame:
+        """A random observed value for every missing one."""
+        some = None
+        for t in self.targets:
+            some = F.col(f"_miss_{t}") if some is None else some | F.col(f"_miss_{t}")
+        out = self._flagged().where(some).select(self.key)
+        for t in self.targets:
+            filled = draws.random_values(self.base, t, self.key, self.m, seed)
+            out = out.join(self._arrays(filled, t), self.key, "left")
+        return cut(out)
+
+    def _arrays(self, rows: DataFrame, t: str) -> DataFrame:
+        """(key, array of m values) from (key, imp_id, value) rows."""
+        each = F.array_sort(F.collect_list(F.struct("imp_id", F.col(t).cast(self.kinds[t]).alias("v"))))  # m entries
+        return rows.groupBy(self.key).agg(F.transform(each, lambda e: e["v"]).alias(f"_d_{t}"))
+
+    def stacked(self, names: Sequence[str] | None = None) -> DataFrame:
+        """The chains side by side, with ``names`` of the base's columns and every target they hold."""
+        keep = self.base.columns if names is None else [c for c in self.base.columns if c in (self.key, *names)]
+        held = [c for c in keep if c in self.targets]
+        rows = self._flagged().select(*keep, *[f"_miss_{t}" for t in held])
+        rows = rows.join(self.drawn.select(self.key, *[f"_d_{t}" for t in held]), self.key, "left")
+        rows = draws.stack_copies(rows, self.m)
+        return rows.withColumns({t: F.coalesce(t, F.get(f"_d_{t}", F.col("imp_id") - 1)) for t in held}).drop(*[f"_d_{t}" for t in held])
+
+    def step(self, t: str, seed, tag: str) -> None:
+        """Draw one target anew in all chains."""
+        spec = self.targets[t]
+        view = self.stacked([t, *self.reads[t]])
+        done = METHODS[spec.method](view, t, spec, self.key, seed, tag).where(f"_miss_{t}").select(self.key, "imp_id", t)
+        others = [c for c in self.drawn.columns if c != f"_d_{t}"]
+        last, self.drawn = self.drawn, cut(self.drawn.select(others).join(self._arrays(done, t), self.key, "left"))
+        drop_cut(last)
+
+    def completed(self, df: DataFrame) -> DataFrame:
+        """m copies of ``df``, missing targets filled by the chains."""
+        rows = draws.stack_copies(df.join(self.drawn, self.key, "left"), self.m)
+        filled = {t: F.coalesce(t, F.get(f"_d_{t}", F.col("imp_id") - 1)) for t in self.targets}
+        return rows.withColumns(filled).select(*df.columns, "imp_id")
+
+
+def _columns_read(df: DataFrame, spec: Target) -> list[str]:
+    if not isinstance(spec.terms, Mapping) or spec.method in ("forest", "boosted"):
+        return list(spec.terms)
+    return columns_used(df, *spec.terms.values())
+
+
+def chained_equations(df: DataFrame, targets: Mapping[str, Target], key: str, m: int = 5, maxit: int = SWEEPS, seed=1) -> DataFrame:
+    """m completed copies after ``maxit`` sweeps over the targets.
+
+    A step costs one pass over ``base`` and one version of the drawn arrays: what it writes grows with the missing
+    cells times m, not with the table's width. Rows with a null key cannot be told apart and are not allowed.
+    """
+    chains = Chains(df, targets, key, m, seed)
     for sweep in range(1, maxit + 1):
-        for name in names:
-            t = targets[name]
-            d = METHODS[t.method](d, name, t, key, seed, f"sweep{sweep}")
-            done += 1
-            if done % cut_every == 0:
-                d = cut(d)
-    return d.drop(*flags)
+        for name in targets:
+            chains.step(name, seed, f"sweep{sweep}")
+    return chains.completed(df)
 
 
 def impute_fixed(df: DataFrame, targets: Mapping[str, Target], key: str, m: int = 5, seed=1) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.functions.keyed import normal, uniform
+from phasewise.functions.keyed import chisq_value, normal, normal_value, uniform
 from phasewise.functions.scalar import expit
 from phasewise.models import linear, multinomial
 from phasewise.models.linear import Fit
@@ -28,18 +28,13 @@ RIDGE = 1e-5
 DONORS = 5
 
 
-def rng_for(*parts) -> np.random.Generator:
-    """Generator for parameter draws, keyed like row draws."""
-    digest = hashlib.md5("|".join(str(p) for p in parts).encode()).digest()
-    return np.random.default_rng(int.from_bytes(digest[:8], "big"))
-
-
 def stack_copies(df: DataFrame, m: int) -> DataFrame:
     """m copies side by side."""
     return df.withColumn("imp_id", F.explode(F.sequence(F.lit(1), F.lit(int(m)))))
 
 
-def _chol(v: np.ndarray) -> np.ndarray:
+def cholesky(v: np.ndarray) -> np.ndarray:
+    """Root of a covariance; of a singular one by its eigenvalues."""
     v = (v + v.T) / 2
     try:
         return np.linalg.cholesky(v)
@@ -49,7 +44,11 @@ def _chol(v: np.ndarray) -> np.ndarray:
 
 
 def posterior_draw(fit: Fit, seed, tag: str) -> Fit:
-    """Draw coefficients (and the residual SD for a linear fit) per group from their posterior."""
+    """Draw coefficients (and the residual SD for a linear fit) per group from their posterior.
+
+    Coefficients add the Cholesky root of their covariance times keyed normals ``tag|b0``, ``tag|b1``..; the
+    residual sum of squares is divided by a keyed chi-square ``tag|s``. A group's draw depends on its key alone.
+    """
     p = len(fit.terms)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -57,16 +56,16 @@ def posterior_draw(fit: Fit, seed, tag: str) -> Fit:
         betas, sds = [], []
         for r in pdf.itertuples(index=False):
             key = [getattr(r, b) for b in fit.by]
-            rng = rng_for(seed, tag, *key)
             v = np.asarray(r.bread, float).reshape(p, p)
             beta = np.asarray(r.beta, float)
             if fit.kind == "lm":
                 prec = np.linalg.pinv(v)
                 v = np.linalg.inv(prec + RIDGE * np.diag(np.diag(prec)))
-                sd = np.sqrt(r.rss / rng.chisquare(max(r.df, 1.0)))
+                sd = np.sqrt(r.rss / chisq_value(max(r.df, 1.0), seed, f"{tag}|s", *key))
             else:
                 sd = 1.0
-            betas.append(beta + sd * (_chol(v) @ rng.standard_normal(p)))
+            z = np.array([normal_value(seed, f"{tag}|b{j}", *key) for j in range(p)])
+            betas.append(beta + sd * (cholesky(v) @ z))
             sds.append(sd)
         out["beta"] = betas
         out["dispersion"] = sds
@@ -202,17 +201,17 @@ def draw_tree(df: DataFrame, target: str, features: Sequence[str], missing: str,
     return match_donors(out, target, "_pred", missing, key, seed, tag, k).drop("_pred")
 
 
-def random_start(df: DataFrame, targets: Sequence[str], key: str, seed) -> DataFrame:
-    """Fill every missing value with a random observed one (start of the chains)."""
-    d = df
-    for t in targets:
-        obs = df.where(F.col(t).isNotNull()).select(key, F.col(t).alias("_v")).withColumn("_u", uniform(seed, f"start|{t}", key))
-        ranked = uniform_rank(obs, "_u", key, name="_i").select("_i", F.col("_v").alias(f"_s_{t}"))
-        n = obs.count()
-        idx = F.floor(uniform(seed, f"fill|{t}", "imp_id", key) * F.lit(n)) + 1
-        d = d.withColumn("_i", F.when(F.col(f"_miss_{t}"), idx)).join(ranked, "_i", "left")
-        d = d.withColumn(t, F.coalesce(F.col(t), F.col(f"_s_{t}"))).drop("_i", f"_s_{t}")
-    return d
+def random_values(df: DataFrame, target: str, key: str, m: int, seed) -> DataFrame:
+    """(key, imp_id, target): a random observed value for each of the m copies of every row that lacks one.
+
+    Observed values are numbered by a keyed uniform; only rows without a value look a number up.
+    """
+    observed = df.where(F.col(target).isNotNull()).select(key, target).withColumn("_u", uniform(seed, f"start|{target}", key))
+    numbered = uniform_rank(observed, "_u", key, name="_i").select("_i", target)
+    n = observed.count()
+    asked = stack_copies(df.where(F.col(target).isNull()).select(key), m)
+    asked = asked.withColumn("_i", (F.floor(uniform(seed, f"fill|{target}", "imp_id", key) * F.lit(n)) + 1).cast("bigint"))
+    return asked.join(numbered, "_i", "inner").select(key, "imp_id", target)
 
 
 def fill_missing(df: DataFrame, draws: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

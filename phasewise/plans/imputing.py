@@ -10,8 +10,9 @@ from phasewise.models import cox, linear
 from phasewise.operators import calibration, designs, tuning
 from phasewise.operators import evaluation as ev
 from phasewise.operators.columns import Roles
+from phasewise.plans import draw_sql as ds
 from phasewise.plans import fixtures as fx
-from phasewise.plans.modelling import cox2, eliminate, long_terms, newton3
+from phasewise.plans.modelling import cox2, eliminate, long_terms, multinomial_sql, newton3
 from phasewise.plans.registry import query, rnd, srnd, table
 from phasewise.plans.sampling import cohort
 
@@ -210,13 +211,36 @@ def chain_targets():
     }
 
 
-@query("chained_equations")
+NORM_XS = ["1", "x_star", "z_bal", "y"]
+CHAIN_XS = ["1", "(c_star = '3-MEDIUM')::INTEGER", "x_true - 12"]
+CHAIN_M, CHAIN_SWEEPS = 5, 4
+
+
+def class_sql(rows: str, fit: str, xs, seed, draw: str, keep: str, levels=LEVELS) -> str:
+    """``rows`` with a multinomial draw ``cls`` from the five-level fit in table ``fit``."""
+    p = len(xs)
+    etas = ["0.0::DOUBLE"] + [" + ".join(f"b{c * p + i}*({x})" for i, x in enumerate(xs)) for c in range(len(levels) - 1)]
+    upto = lambda c: f"({' + '.join(f'e{i}' for i in range(c + 1))})/tot"
+    cases = " ".join(f"WHEN u < {upto(c)} THEN '{v}'" for c, v in enumerate(levels[:-1]))
+    return f"""SELECT {keep}, CASE {cases} ELSE '{levels[-1]}' END AS cls FROM (SELECT *, {' + '.join(f'e{c}' for c in range(len(levels)))} AS tot
+      FROM (SELECT t.*, {fx.skey(seed, f'{draw}|u', 'imp_id', 'row_id')} AS u, {', '.join(f'exp({e}) AS e{c}' for c, e in enumerate(etas))} FROM {rows} t, {fit}))"""
+
+
+# Both targets are known on the same rows, so every sweep fits the same rows; the last sweep's draws stay.
+CHAIN_SQL = f"""{ds.draw_norm_sql('pa', 's', 'x_true', NORM_XS, 5, f'sweep{CHAIN_SWEEPS}|x_true', CHAIN_M)},
+    {multinomial_sql('c_true', LEVELS, CHAIN_XS, '(SELECT * FROM s WHERE r = 1)', 9)},
+    filled AS MATERIALIZED (SELECT imp_id, row_id, r, c_star, c_true, CASE WHEN r = 1 THEN x_true ELSE {ds.drawn(NORM_XS, 5, f'sweep{CHAIN_SWEEPS}|x_true')} END AS x_true FROM s, pap)"""
+
+
+@query("chained_equations", f"""WITH {S_SQL}, {CHAIN_SQL} SELECT imp_id, row_id, {srnd('x_true')} AS x_true, CASE WHEN r = 1 THEN c_true ELSE cls END AS c_true
+    FROM ({class_sql('filled', 'q9', CHAIN_XS, 5, f'sweep{CHAIN_SWEEPS}|c_true', 'imp_id, row_id, r, x_true, c_true')})""")
 def chained_equations(spark, d):
-    out = chained.chained_equations(sampled(spark, d), chain_targets(), "row_id", m=2, maxit=2, seed=5)
+    out = chained.chained_equations(sampled(spark, d), chain_targets(), "row_id", m=CHAIN_M, maxit=CHAIN_SWEEPS, seed=5)
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"), "c_true")
 
 
-@query("draw_norm")
+@query("draw_norm", f"""WITH {S_SQL}, {ds.draw_norm_sql('pa', 's', 'x_true', NORM_XS, 6, 'once|x_true', 3)}
+    SELECT imp_id, row_id, {srnd(f"CASE WHEN r = 1 THEN x_true ELSE {ds.drawn(NORM_XS, 6, 'once|x_true')} END")} AS x_true FROM s, pap""")
 def draw_norm(spark, d):
     out = chained.impute_fixed(sampled(spark, d), {"x_true": chain_targets()["x_true"]}, "row_id", 3, 6)
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"))
@@ -244,13 +268,22 @@ def draw_pmm_chain(spark, d):
     return chained.impute_fixed(sampled(spark, d), t, "row_id", 2, 7).select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 
-@query("draw_binary")
+@query("draw_binary", f"""WITH {S_SQL}, {ds.logit_sql('pa', '(SELECT * FROM s WHERE r = 1)', 'yb', ['1', 'x_star'])}, {ds.posterior_sql('pa', 2, 8, 'once|yb', 2, linear=False)}
+    SELECT imp_id, row_id, CASE WHEN r = 1 THEN yb ELSE ({fx.skey(8, 'once|yb|u', 'imp_id', 'row_id')} < 1/(1+exp(-(t0 + t1*x_star))))::INTEGER END AS yb FROM s, pap""")
 def draw_binary(spark, d):
     s = sampled(spark, d, ["yb"])
     return chained.impute_fixed(s, {"yb": Target("binary", {"x_star": F.col("x_star")})}, "row_id", 2, 8).select("imp_id", "row_id", "yb")
 
 
-@query("draw_multiclass")
+CLASS_XS = ["1", "(c_star = '3-MEDIUM')::INTEGER", "x_star - 12"]
+_ETA = ["0.0::DOUBLE"] + [" + ".join(f"b{c * 3 + i}*({x})" for i, x in enumerate(CLASS_XS)) for c in range(4)]
+
+
+@query("draw_multiclass", f"""WITH {S_SQL}, {multinomial_sql('c_true', LEVELS, CLASS_XS, '(SELECT * FROM s WHERE r = 1)', 9)},
+    e AS (SELECT s.*, imp_id, {fx.skey(8, 'once|c_true|u', 'imp_id', 'row_id')} AS u, {', '.join(f'exp({x}) AS e{c}' for c, x in enumerate(_ETA))} FROM s, q9, {ds.imps_sql(2)}),
+    k AS (SELECT *, e0+e1+e2+e3+e4 AS tot FROM e)
+    SELECT imp_id, row_id, CASE WHEN r = 1 THEN c_true WHEN u < e0/tot THEN '{LEVELS[0]}' WHEN u < (e0+e1)/tot THEN '{LEVELS[1]}' WHEN u < (e0+e1+e2)/tot THEN '{LEVELS[2]}'
+      WHEN u < (e0+e1+e2+e3)/tot THEN '{LEVELS[3]}' ELSE '{LEVELS[4]}' END AS c_true FROM k""")
 def draw_multiclass(spark, d):
     t = {"c_true": Target("multiclass", {"med": (F.col("c_star") == "3-MEDIUM").cast("double"), "x": F.col("x_star") - 12}, LEVELS)}
     return chained.impute_fixed(sampled(spark, d), t, "row_id", 2, 8).select("imp_id", "row_id", "c_true")
@@ -280,25 +313,65 @@ def outcome_sample(spark, d):
     return f.withColumn("x_true", F.when(F.col("R") == 1, F.col("x_true")))
 
 
-@query("fit_weighted_likelihood")
+OUT_SQL = f"""{C}, w AS MATERIALIZED (SELECT *, ({fx.skey(17, 'pick', 'row_id')} < CASE WHEN x_true <= {SPLITS[0]} THEN {ALLOC[0]} WHEN x_true >= {SPLITS[1]} THEN {ALLOC[2]} ELSE {ALLOC[1]} END)::INTEGER AS r FROM cohort),
+    {ds.weighted_likelihood_sql('pw', '(SELECT * FROM w WHERE r = 1)', 'x_true', 'x_star', SPLITS, ALLOC)}"""
+
+
+@query("fit_weighted_likelihood", f"""WITH {OUT_SQL} SELECT unnest(['(Intercept)', 'x_star', 'log_sigma']) AS term, unnest([{srnd('b0')}, {srnd('b1')}, {srnd('ls')}]) AS estimate FROM pwf""")
 def fit_weighted_likelihood(spark, d):
     fit = weighted_likelihood.fit_weighted_likelihood(outcome_sample(spark, d).where("R = 1"), "x_true", ["x_star"], SPLITS, ALLOC)
     rows = list(zip(fit.terms, fit.beta)) + [("log_sigma", fit.log_sigma)]
     return spark.createDataFrame([(t, float(v)) for t, v in rows], "term string, estimate double").select("term", rnd("estimate").alias("estimate"))
 
 
-@query("draw_weighted_likelihood_sampling")
+_WL = "weighted_likelihood|x_true"
+_WL_ROWS = "(SELECT imp_id, row_id, r, x_true, sd, sigma, t0 + t1*x_star AS mu FROM w, pwp)"
+_WL_LAW = ds.unselected_sql(_WL_ROWS, SPLITS, ALLOC, fx.skey(18, f"{_WL}|bin", "imp_id", "row_id"), fx.skey(18, f"{_WL}|in", "imp_id", "row_id"))
+_WL_DRAW = ds.weighted_likelihood_draw_sql("pw", 18, _WL, 2)
+
+
+@query("draw_weighted_likelihood_sampling", f"""WITH {OUT_SQL}, {_WL_DRAW} SELECT imp_id, row_id, {srnd('CASE WHEN r = 1 THEN x_true ELSE ud END')} AS x_true FROM ({_WL_LAW})""")
 def draw_weighted_likelihood_sampling(spark, d):
     out = weighted_likelihood.impute_weighted_likelihood(outcome_sample(spark, d), "x_true", ["x_star"], SPLITS, ALLOC, "row_id", 2, 18)
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 
-@query("draw_weighted_likelihood_integration")
+@query("draw_weighted_likelihood_integration", f"""WITH {OUT_SQL}, {_WL_DRAW} SELECT imp_id, row_id,
+    {srnd(f"CASE WHEN r = 1 THEN x_true ELSE um + sd*{fx.snormal(18, f'{_WL}|e', 'imp_id', 'row_id')} END")} AS x_true FROM ({_WL_LAW})""")
 def draw_weighted_likelihood_integration(spark, d):
     out = weighted_likelihood.impute_weighted_likelihood(outcome_sample(spark, d), "x_true", ["x_star"], SPLITS, ALLOC, "row_id", 2, 18, "integration")
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 
+@query("draw_weighted_likelihood_published", f"""WITH {OUT_SQL}, {_WL_DRAW} SELECT imp_id, row_id,
+    {srnd(f"CASE WHEN r = 1 THEN x_true ELSE mu + sigma*{fx.snormal(18, f'{_WL}|e', 'imp_id', 'row_id')} END")} AS x_true FROM {_WL_ROWS}""")
+def draw_weighted_likelihood_published(spark, d):
+    """The acceptance rule as published, which takes every proposal."""
+    out = weighted_likelihood.impute_weighted_likelihood(outcome_sample(spark, d), "x_true", ["x_star"], SPLITS, ALLOC, "row_id", 2, 18, acceptance="as_published")
+    return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"))
+
+
+_WLC = "sweep3|x_true"
+_WLC_LAW = ds.unselected_sql("(SELECT imp_id, row_id, r, x_true, yb, sigma, t0 + t1*x_star AS mu FROM w, pwp)", SPLITS, ALLOC,
+                             fx.skey(21, f"{_WLC}|bin", "imp_id", "row_id"), fx.skey(21, f"{_WLC}|in", "imp_id", "row_id"))
+
+
+@query("chained_weighted_likelihood", f"""WITH {OUT_SQL}, {ds.weighted_likelihood_draw_sql('pw', 21, _WLC, 5)},
+    x AS MATERIALIZED (SELECT imp_id, row_id, r, yb, CASE WHEN r = 1 THEN x_true ELSE ud END AS xt FROM ({_WLC_LAW})),
+    {ds.logit_sql('pb', '(SELECT * FROM w WHERE r = 1)', 'yb', ['1', 'x_true - 12'])}, {ds.posterior_sql('pb', 2, 21, 'sweep3|yb', 5, linear=False)}
+    SELECT imp_id, row_id, {srnd('xt')} AS x_true, CASE WHEN r = 1 THEN yb ELSE ({fx.skey(21, 'sweep3|yb|u', 'imp_id', 'row_id')} < 1/(1+exp(-(t0 + t1*(xt - 12)))))::INTEGER END AS yb
+    FROM x JOIN pbp USING (imp_id)""")
+def chained_weighted_likelihood(spark, d):
+    """Chains whose exposure is drawn by the selection-corrected regression, the outcome by a logit on it."""
+    s = outcome_sample(spark, d).withColumn("yb", F.when(F.col("R") == 1, F.col("yb")))
+    targets = {
+        "x_true": Target("weighted_likelihood", {"x_star": F.col("x_star")}, None, {"splits": SPLITS, "alloc": ALLOC}),
+        "yb": Target("binary", {"x": F.col("x_true") - 12}),
+    }
+    out = chained.chained_equations(s, targets, "row_id", m=5, maxit=3, seed=21)
+    return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"), "yb")
+
+
 @query("error_model_impute")
 def error_model_impute(spark, d):
     out = error_model.error_model_impute(sampled(spark, d), fx.COHORT_ROLES, 2, 19, {"z_bal": F.col("z_bal"), "y": F.col("y")},
@@ -390,7 +463,18 @@ def choose_rounds(spark, d):
 
 # ------------------------------------------------------------- end to end
 
-@query("flagship_pooled_lm")
+FLAGSHIP = f"""{ds.draw_norm_sql('pa', 's', 'x_true', NORM_XS, 2, 'once|x_true', 5)},
+    done AS MATERIALIZED (SELECT imp_id, y, z_bal, CASE WHEN r = 1 THEN x_true ELSE {ds.drawn(NORM_XS, 2, 'once|x_true')} END AS x FROM s, pap),
+    {ds.lm_sql('po', 'done', 'y', ['1', 'x', 'z_bal'], 'imp_id')}, {ds.root_sql('po', 'pof', 3, 'imp_id')},
+    each AS (SELECT imp_id, unnest(['(Intercept)', 'x_true', 'z_bal']) AS term, unnest([b0, b1, b2]) AS estimate,
+      unnest([l0_0*l0_0, l1_0*l1_0 + l1_1*l1_1, l2_0*l2_0 + l2_1*l2_1 + l2_2*l2_2])*rss/(n-3) AS se2 FROM pof JOIN pol USING (imp_id)),
+    pooled AS (SELECT term, count(*)::DOUBLE AS m, avg(estimate) AS q, avg(se2) AS u, var_samp(estimate) AS b FROM each GROUP BY 1),
+    rubin AS MATERIALIZED (SELECT term, q AS estimate, sqrt(u + (1+1/m)*b) AS se, (m-1)*(1+u/((1+1/m)*b))^2 AS df, (1+1/m)*b/u AS r FROM pooled),
+    limits AS ({ds.t_quantile_sql('rubin', 'df')})"""
+
+
+@query("flagship_pooled_lm", f"""WITH {S_SQL}, {FLAGSHIP} SELECT term, {srnd('estimate')} AS estimate, {srnd('se')} AS se, {srnd('estimate - t975*se')} AS lower,
+    {srnd('estimate + t975*se')} AS upper, {srnd('(r + 2/(df+3))/(r+1)')} AS fmi FROM limits""")
 def flagship_pooled_lm(spark, d):
     """Sample 5%, impute the exposure five times, fit y per imputation, pool."""
     s = sampled(spark, d)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -56,6 +56,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` table that nothing reads any more."""
+    files = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if files.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def columns_used(df: DataFrame, *exprs: Column) -> list[str]:
+    """Names of the columns of ``df`` that ``exprs`` read."""
+    refs = df.select(*exprs)._jdf.queryExecution().analyzed().references().iterator()
+    names = set()
+    while refs.hasNext():
+        names.add(refs.next().name())
+    return [c for c in df.columns if c in names]
+
+
 def local_frame(spark: SparkSession, pdf: pd.DataFrame, schema) -> DataFrame:
     """DataFrame over a small pandas frame (statistics, never row data).
 
