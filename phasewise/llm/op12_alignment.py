@@ -35,6 +35,7 @@ from phasewise.llm.common import BROADCAST_BYTES, discard, store
 
 CACHE_WORDS = 150_000
 DOCS = 64
+LINE = 500  # words encoded together
 PAIR_BYTES = 40  # of a broadcast id pair
 MARK = "▁"
 # Between two visible characters; Python's white space holds all of the pattern's.
@@ -121,6 +122,7 @@ class Aligner:
         most = max(len(self.a.bytes), self.width)
         self.texts = [f"{i}{end}" for end in ",|;" for i in range(most)]
         self.most = most
+        self.len_text = np.array([len(x) for x in self.texts])
         self.len_a, self.len_b = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
         self.known: dict[str, tuple | None] = {}
 
@@ -128,22 +130,35 @@ class Aligner:
         return _CUT.split(text) if text and self.by_word else [text] if text else []
 
     def learn(self, new: list[str]) -> None:
-        whole, ids_a, ids_b = [], [], []
-        part_a, part_b = self.a.bytes, self.b.bytes
-        for w, x, y in zip(new, self.a.encode(new), self.b.encode(new)):
-            raw = b" " + w.encode()
-            if b"".join([part_a[i] for i in x]) == raw == b"".join([part_b[i] for i in y]):
-                whole.append(w)
-                ids_a.append(x)
-                ids_b.append(y)
-            else:
-                self.known[w] = None
-        if not whole:
-            return
-        n_a, n_b = (np.array([len(x) for x in side]) for side in (ids_a, ids_b))
-        flat_a, flat_b = (np.concatenate([np.array(x, np.int64) for x in side]) for side in (ids_a, ids_b))
-        # words follow each other on one line of bytes; both sides end with every word
+        """Encode and align new words, LINE of them on one line; words that would run together on a line go alone."""
+        lines, line = [], []
+        for w in new:
+            if not self.by_word or w[0].isspace() or w[-1].isspace() or MARK in w:
+                lines.append([w])
+                continue
+            line.append(w)
+            if len(line) == LINE:
+                lines.append(line)
+                line = []
+        for words in [*lines, line] if line else lines:
+            if not self._learn(words):
+                for w in words:
+                    if len(words) == 1 or not self._learn([w]):
+                        self.known[w] = None
+
+    def _learn(self, words: list[str]) -> bool:
+        """Learn the words of one line; False if its tokens do not join to it."""
+        text = " ".join(words)
+        ids_a, ids_b = (side.encode([text])[0] for side in (self.a, self.b))
+        raw = b" " + text.encode()
+        if not b"".join(map(self.a.bytes.__getitem__, ids_a)) == raw == b"".join(map(self.b.bytes.__getitem__, ids_b)):
+            return False
+        flat_a, flat_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
+        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        last_a, last_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        if (ends_a[last_a] != ends).any() or (ends_b[last_b] != ends).any():
+            return False
         group_a, group_b = groups(ends_a, ends_b)
         label = np.concatenate([group_a, group_b])
         side = np.repeat([0, 1], [len(flat_a), len(flat_b)])
@@ -151,17 +166,21 @@ class Aligner:
         label, side, ids = label[order], side[order], np.concatenate([flat_a, flat_b])[order]
         last_group = np.append(label[1:] != label[:-1], True)
         end = np.where(last_group, 2, np.append(side[1:] != side[:-1], True).astype(np.int64))
-        written = list(map(self.texts.__getitem__, (end * self.most + ids).tolist()))
+        places = end * self.most + ids
+        written = "".join(map(self.texts.__getitem__, places.tolist()))
         link_a, link_b = overlaps(ends_a, ends_b)
-        codes = flat_a[link_a] * self.width + flat_b[link_b]
-        cut_a, cut_b = np.cumsum(n_a), np.cumsum(n_b)
-        cut_t = (cut_a + cut_b).tolist()
-        cut_l = np.searchsorted(link_a, cut_a).tolist()
-        cut_g = np.cumsum(last_group)[np.array(cut_t) - 1].tolist()
-        t = l = g = 0
-        for w, x, y, tt, ll, gg in zip(whole, n_a.tolist(), n_b.tolist(), cut_t, cut_l, cut_g):
-            self.known[w] = ("".join(written[t:tt])[:-1], codes[l:ll].tobytes(), x, y, gg - g)
-            t, l, g = tt, ll, gg
+        codes = (flat_a[link_a] * self.width + flat_b[link_b]).tobytes()
+        cut_a, cut_b = last_a + 1, last_b + 1
+        cut_t = cut_a + cut_b
+        cut_g = np.cumsum(last_group)[cut_t - 1]
+        cut_c = np.cumsum(self.len_text[places])[cut_t - 1]
+        cut_l = 8 * np.searchsorted(link_a, cut_a)
+        count = lambda cuts: np.diff(cuts, prepend=0).tolist()
+        c = l = 0
+        for w, cc, ll, x, y, g in zip(words, cut_c.tolist(), cut_l.tolist(), count(cut_a), count(cut_b), count(cut_g)):
+            self.known[w] = (written[c : cc - 1], codes[l:ll], x, y, g)
+            c, l = cc, ll
+        return True
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
         """(groups as text, id pair of every link, A tokens, B tokens, groups) of each text; None without tokens."""
