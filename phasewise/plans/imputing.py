@@ -463,14 +463,16 @@ def choose_rounds(spark, d):
 
 # ------------------------------------------------------------- end to end
 
+RUBIN_SQL = f"""pooled AS (SELECT term, count(*)::DOUBLE AS m, avg(estimate) AS q, avg(se2) AS u, var_samp(estimate) AS b FROM each GROUP BY 1),
+    rubin AS MATERIALIZED (SELECT term, q AS estimate, sqrt(u + (1+1/m)*b) AS se, (m-1)*(1+u/((1+1/m)*b))^2 AS df, (1+1/m)*b/u AS r FROM pooled),
+    limits AS ({ds.t_quantile_sql('rubin', 'df')})"""
+
 FLAGSHIP = f"""{ds.draw_norm_sql('pa', 's', 'x_true', NORM_XS, 2, 'once|x_true', 5)},
     done AS MATERIALIZED (SELECT imp_id, y, z_bal, CASE WHEN r = 1 THEN x_true ELSE {ds.drawn(NORM_XS, 2, 'once|x_true')} END AS x FROM s, pap),
     {ds.lm_sql('po', 'done', 'y', ['1', 'x', 'z_bal'], 'imp_id')}, {ds.root_sql('po', 'pof', 3, 'imp_id')},
     each AS (SELECT imp_id, unnest(['(Intercept)', 'x_true', 'z_bal']) AS term, unnest([b0, b1, b2]) AS estimate,
       unnest([l0_0*l0_0, l1_0*l1_0 + l1_1*l1_1, l2_0*l2_0 + l2_1*l2_1 + l2_2*l2_2])*rss/(n-3) AS se2 FROM pof JOIN pol USING (imp_id)),
-    pooled AS (SELECT term, count(*)::DOUBLE AS m, avg(estimate) AS q, avg(se2) AS u, var_samp(estimate) AS b FROM each GROUP BY 1),
-    rubin AS MATERIALIZED (SELECT term, q AS estimate, sqrt(u + (1+1/m)*b) AS se, (m-1)*(1+u/((1+1/m)*b))^2 AS df, (1+1/m)*b/u AS r FROM pooled),
-    limits AS ({ds.t_quantile_sql('rubin', 'df')})"""
+    {RUBIN_SQL}"""
 
 
 @query("flagship_pooled_lm", f"""WITH {S_SQL}, {FLAGSHIP} SELECT term, {srnd('estimate')} AS estimate, {srnd('se')} AS se, {srnd('estimate - t975*se')} AS lower,
@@ -484,7 +486,16 @@ def flagship_pooled_lm(spark, d):
     return out.select("term", *[rnd(c).alias(c) for c in ("estimate", "se", "lower", "upper", "fmi")])
 
 
-@query("pooled_cox")
+_COX_XS = ["1", "x_star", "ln(1+time)", "event"]
+POOLED_COX = f"""{ds.draw_norm_sql('pa', 's', 'x_true', _COX_XS, 2, 'once|x_true', 3)},
+    done AS MATERIALIZED (SELECT imp_id, time, event, z_bal, CASE WHEN r = 1 THEN x_true ELSE {ds.drawn(_COX_XS, 2, 'once|x_true')} END AS x FROM s, pap),
+    {', '.join(f"i{i} AS MATERIALIZED (SELECT * FROM done WHERE imp_id = {i}), {cox2('time', 'event', 'x', 'z_bal', f'i{i}', tag=f'c{i}_')}" for i in (1, 2, 3))},
+    each AS ({' UNION ALL '.join(f"SELECT unnest(['x_true', 'z_bal']) AS term, unnest([b1, b2]) AS estimate, unnest([v11, v22]) AS se2 FROM c{i}_7" for i in (1, 2, 3))}),
+    {RUBIN_SQL}"""
+
+
+@query("pooled_cox", f"""WITH {S_SQL}, {POOLED_COX} SELECT term, {srnd('estimate')} AS estimate, {srnd('se')} AS se, {srnd('estimate - t975*se')} AS lower,
+    {srnd('estimate + t975*se')} AS upper, {srnd('(r + 2/(df+3))/(r+1)')} AS fmi FROM limits""")
 def pooled_cox(spark, d):
     """The same flow with a survival outcome."""
     s = sampled(spark, d)
