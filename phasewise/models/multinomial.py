@@ -1,4 +1,4 @@
-"""Multinomial logit by Newton steps; tasks return only partial sums."""
+"""Multinomial logit by Newton steps over a table of groups."""
 
 from __future__ import annotations
 
@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phasewise.models.linear import as_terms, safe_inverse, unsettled
-from phasewise.models.partial import sum_vectors
-from phasewise.session import join_small, local_frame
+from phasewise.models.linear import as_terms, safe_inverse, stack_column, unsettled
+from phasewise.session import join_small, per_row_numpy
 
 MAX_STEPS = 40
 TOLERANCE = 1e-9
@@ -21,7 +20,7 @@ TOLERANCE = 1e-9
 
 @dataclass
 class MultinomialFit:
-    """``table``: by, ``beta`` (levels-1 x p, flat), ``cov``. The first level is the reference."""
+    """``table``: by, ``beta`` (levels-1 x p, flat), ``cov``, ``n``, ``moved``, ``converged``. The first level is the reference."""
 
     levels: list
     terms: dict[str, Column]
@@ -49,64 +48,88 @@ class MultinomialFit:
 
 
 def fit_multinomial(df: DataFrame, y: str, levels: Sequence, terms, weight: str | None = None, by: Sequence[str] = ()) -> MultinomialFit:
-    """``levels`` in order; the first is the reference."""
+    """``levels`` in order; the first is the reference. ``table`` has a row a group: beta, cov, n, ``moved``, ``converged``.
+
+    The state is a table: every step joins it to the rows, sums the class-by-class blocks of the information as
+    columns with map-side combine, and solves one row a group, on the driver only while groups are few. The
+    number of sums grows with the square of levels and of terms. Rows of other levels or with nulls take no part; a group
+    without rows is absent, an ungrouped fit of no rows stays at zero and is not converged.
+    """
     terms = as_terms(terms)
     by = list(by)
     p, m = len(terms), len(levels) - 1
     dim = m * p
-    gcols = by or ["_all"]
     codes = F.lit(None).cast("int")
     for i, v in reversed(list(enumerate(levels))):
         codes = F.when(F.col(y) == F.lit(v), F.lit(i)).otherwise(codes)
-    src = df if by else df.withColumn("_all", F.lit(0))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     xs = [f"x{i}" for i in range(p)]
-    frame = src.select(*gcols, codes.alias("_k"), w.alias("_w"), *[c.alias(x) for x, c in zip(xs, terms.values())]).dropna().persist()
-    groups = [tuple(r) for r in frame.select(*gcols).distinct().collect()]
-    betas = {g: np.zeros(dim) for g in groups}
-    sc = df.sparkSession.sparkContext
-    inv, likelihood = {}, {}
-    for _ in range(MAX_STEPS):
-        shared = sc.broadcast(betas)
-
-        def partial(key, g):
-            x, wt, k = g[xs].to_numpy(float), g["_w"].to_numpy(float), g["_k"].to_numpy()
-            s = np.column_stack([np.zeros(len(g)), x @ shared.value[key].reshape(m, p).T])
-            s = np.exp(s - s.max(axis=1, keepdims=True))
-            s /= s.sum(axis=1, keepdims=True)
-            pr = s[:, 1:]
-            hit = (k[:, None] == np.arange(1, m + 1)).astype(float)
-            grad = (((hit - pr) * wt[:, None]).T @ x).ravel()
-            z = (pr[:, :, None] * x[:, None, :]).reshape(len(g), dim)
-            info = -(z * wt[:, None]).T @ z
-            for c in range(m):
-                at = slice(c * p, (c + 1) * p)
-                info[at, at] += (x * (wt * pr[:, c])[:, None]).T @ x
-            return np.concatenate([grad, info.ravel(), [wt @ np.log(np.maximum(s[np.arange(len(g)), k], 1e-300))]])
-
-        sums = sum_vectors(frame, gcols, partial)
-        worst = 0.0
-        for key, v in sums.items():
-            hinv, _ = safe_inverse(v[dim:-1].reshape(1, dim, dim))
-            step = hinv[0] @ v[:dim]
-            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
-            betas = {**betas, key: betas[key] + step}
-            inv[key] = hinv[0]
-            # Under separation coefficients run off while the likelihood has settled.
-            gain = abs(v[-1] - likelihood.get(key, -np.inf))
-            likelihood[key] = v[-1]
-            if gain > 1e-10 * abs(v[-1]):
-                worst = max(worst, float(np.abs(step).max()))
-        if worst < TOLERANCE:
+    frame = df.select(*by, codes.alias("_k"), w.alias("_w"), *[c.alias(x) for x, c in zip(xs, terms.values())]).dropna().persist()
+    arr = T.ArrayType(T.DoubleType())
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in by] + [
+        T.StructField("beta", arr), T.StructField("cov", arr), T.StructField("n", T.LongType()), T.StructField("likelihood", T.DoubleType()),
+        T.StructField("moved", T.DoubleType()), T.StructField("converged", T.BooleanType()),
+    ])
+    blocks = [(c, d) for c in range(m) for d in range(c, m)]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def rows(pdf: pd.DataFrame, beta, cov, likelihood, moved, converged) -> pd.DataFrame:
+        return pdf[by].assign(beta=list(beta), cov=list(cov.reshape(len(pdf), dim * dim)), n=pdf["_n"].astype("int64"), likelihood=likelihood, moved=moved, converged=converged)
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = len(pdf)
+        return rows(pdf, np.zeros((g, dim)), np.zeros((g, dim, dim)), np.full(g, -np.inf), np.full(g, np.inf), np.zeros(g, bool))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = len(pdf)
+        sums = stack_column(pdf["_H"]).reshape(g, len(blocks), len(pairs))
+        info = np.zeros((g, m, p, m, p))
+        for a, (c, d) in enumerate(blocks):
+            for b, (i, j) in enumerate(pairs):
+                for u, v in {(c, d), (d, c)}:
+                    info[:, u, i, v, j] = info[:, u, j, v, i] = sums[:, a, b]
+        inv = safe_inverse(info.reshape(g, dim, dim))[0] if g else np.zeros((0, dim, dim))
+        delta = np.einsum("gij,gj->gi", inv, stack_column(pdf["_G"]).reshape(g, dim))
+        size = np.abs(delta).max(axis=1, initial=0.0)
+        delta *= np.minimum(1.0, 5.0 / np.maximum(size, 1e-300))[:, None]
+        now = pdf["_L"].to_numpy(float)
+        # Under separation coefficients run off while the likelihood has settled.
+        settled = np.abs(now - pdf["_prior"].to_numpy(float)) <= 1e-10 * np.abs(now)
+        moved = np.abs(delta).max(axis=1, initial=0.0)
+        return rows(pdf, stack_column(pdf["_b"]).reshape(g, dim) + delta, inv, now, moved, settled | (moved < TOLERANCE))
+
+    sizes = frame.groupBy(*by).agg(F.count("*").alias("_n"))
+    table, small, local = per_row_numpy(sizes, start, schema)
+    scores = ["0D"] + [" + ".join(f"_beta[{c * p + i}] * x{i}" for i in range(p)) for c in range(m)]
+    worst, empty = np.inf, not by and table.first()["n"] == 0
+    for _ in range(0 if empty else MAX_STEPS):
+        if by:
+            state = table.select(*by, F.col("beta").alias("_beta"), F.col("likelihood").alias("_before"))
+            d = frame.join(F.broadcast(state) if small else state, by)
+        else:
+            now = table.first()
+            d = frame.withColumns({"_beta": F.array(*[F.lit(float(v)) for v in now["beta"]]), "_before": F.lit(float(now["likelihood"]))})
+        d = d.withColumn("_s", F.expr("array(" + ", ".join(scores) + ")"))
+        d = d.withColumn("_top", F.array_max("_s")).withColumn("_e", F.expr("transform(_s, v -> exp(v - _top))"))
+        d = d.withColumn("_tot", F.expr("aggregate(_e, 0D, (a, v) -> a + v)"))
+        d = d.select("*", *[F.expr(f"_e[{c + 1}] / _tot").alias(f"p{c}") for c in range(m)], F.expr("_e[_k] / _tot").alias("_hit"))
+        grad = [f"sum(_w * (int(_k = {c + 1}) - p{c}) * x{i})" for c in range(m) for i in range(p)]
+        curve = [f"sum(_w * {f'p{c} * (1 - p{c})' if c == e else f'-p{c} * p{e}'} * x{i} * x{j})" for c, e in blocks for i, j in pairs]
+        sums = d.groupBy(*by).agg(
+            F.expr("array(" + ", ".join(grad) + ")").alias("_G"), F.expr("array(" + ", ".join(curve) + ")").alias("_H"),
+            F.expr("sum(_w * ln(greatest(_hit, 1e-300D)))").alias("_L"), F.count("*").alias("_n"),
+            F.first("_beta").alias("_b"), F.first("_before").alias("_prior"),
+        )
+        table, small, local = per_row_numpy(sums, step, schema)
+        open_ = table.where("NOT converged").agg(F.max("moved")).first()[0] if local is None else local.loc[~local["converged"], "moved"].max()
+        worst = 0.0 if open_ is None or open_ != open_ else float(open_)
+        if worst == 0.0:
             break
     else:
-        unsettled(f"multinomial fit of {y}", worst)
+        if not empty:
+            unsettled(f"multinomial fit of {y}", worst)
     frame.unpersist()
-    arr = T.ArrayType(T.DoubleType())
-    out = pd.DataFrame([{**dict(zip(gcols, k)), "beta": b.tolist(), "cov": inv[k].ravel().tolist()} for k, b in betas.items()])
-    tschema = T.StructType([frame.schema[c] for c in gcols] + [T.StructField("beta", arr), T.StructField("cov", arr)])
-    table = local_frame(df.sparkSession, out, tschema)
-    return MultinomialFit(list(levels), terms, by, table.drop("_all"))
+    return MultinomialFit(list(levels), terms, by, table.drop("likelihood"))
 
 
 def predict_class(fit: MultinomialFit, df: DataFrame, name: str = "pred") -> DataFrame:
