@@ -6,7 +6,6 @@ and fills missing values by a row expression or a distributed donor join.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -16,11 +15,10 @@ from pyspark.sql import functions as F
 
 from phasewise.functions.keyed import chisq_value, normal, normal_value, uniform
 from phasewise.functions.scalar import expit
-from phasewise.models import linear, multinomial
+from phasewise.models import linear, multinomial, trees
 from phasewise.models.linear import Fit
 from phasewise.operators.joins import nearest_donors, number_runs
 from phasewise.operators.order import uniform_rank
-from phasewise.operators.resampling import bootstrap
 from phasewise.session import join_small, per_row_numpy
 
 # Ridge of the posterior draw and number of donors.
@@ -153,51 +151,33 @@ def draw_multiclass(df: DataFrame, target: str, levels: Sequence, terms, missing
 
 
 def draw_tree(df: DataFrame, target: str, features: Sequence[str], missing: str, key: str, seed, tag: str, kind: str = "forest",
-              categorical: Sequence[str] | None = None, k: int = DONORS, **params) -> DataFrame:
-    """Tree model per imputation on a bootstrap of observed rows; donors matched on its prediction.
+              k: int = DONORS, numTrees: int = 20, maxIter: int = 20, maxDepth: int = 5, stepSize: float = 0.1, minInstancesPerNode: float = 1.0,
+              maxBins: int = trees.MAX_BINS, m: int | None = None) -> DataFrame:
+    """Tree models of all imputations in one job a level, on keyed bootstraps of observed rows; donors matched on the prediction.
 
-    Every ``imp_id`` of the table gets its fit.
-
-    ``kind`` is ``forest`` or ``boosted``; text features are indexed. Numeric prediction is the
-    regression value; for a categorical target it is the predicted class index. An ``m`` among the
-    parameters is accepted from older calls and says nothing: the table's imputations count.
+    ``kind`` is ``forest`` or ``boosted``. A numeric target is predicted by its mean; a text target by the likeliest level of the forest,
+    or by boosting the level's place in the order. ``m`` is accepted from older calls and says nothing: the table's imputations count.
     """
-    params.pop("m", None)
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    d = df
-    cols = []
-    for c in features:
-        if d.schema[c].dataType.simpleString() == "string":
-            d = StringIndexer(inputCol=c, outputCol=f"_ix_{c}", handleInvalid="keep").fit(d).transform(d)
-            cols.append(f"_ix_{c}")
-        else:
-            cols.append(c)
-    is_text = d.schema[target].dataType.simpleString() == "string"
-    label = target
-    if is_text:
-        d = StringIndexer(inputCol=target, outputCol="_label", handleInvalid="keep").fit(d.where(~F.col(missing))).transform(d)
-        label = "_label"
-    d = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep").transform(d)
-    out = None
-    for i in sorted(r.imp_id for r in df.select("imp_id").distinct().collect()):  # one value per imputation
-        part = d.where(F.col("imp_id") == i)
-        observed = part.where(~F.col(missing))
-        times = bootstrap(observed.select(key), key, 1, f"{seed}|{tag}|{i}").select(key, F.col("multiplicity").cast("double").alias("_times"))
-        train = observed.join(times, key)
-        seed_i = int(hashlib.md5(f"{seed}|{tag}|{i}".encode()).hexdigest()[:7], 16)
-        common = {"featuresCol": "_features", "labelCol": label, "weightCol": "_times", "seed": seed_i, **params}
-        if kind == "boosted":
-            est = GBTRegressor(**common)
-        elif is_text:
-            est = RandomForestClassifier(**common)
-        else:
-            est = RandomForestRegressor(**common)
-        pred = est.fit(train).transform(part)
-        out = pred if out is None else out.unionByName(pred)
-    out = out.withColumnRenamed("prediction", "_pred").drop("_features", "_label", "rawPrediction", "probability", *[c for c in cols if c.startswith("_ix_")])
+    observed = df.where(~F.col(missing) & F.col(target).isNotNull())
+    groups = sorted((r.imp_id,) for r in df.select("imp_id").distinct().collect())  # one value per imputation
+    is_text = df.schema[target].dataType.simpleString() == "string"
+    levels = [r[0] for r in observed.select(target).distinct().orderBy(target).collect()] if is_text else []
+    place = F.call_function("array_position", F.array(*[F.lit(v) for v in levels]), F.col(target)).cast("double") if is_text else F.col(target).cast("double")
+    bins = trees.find_bins(observed, features, place, key, seed, f"{tag}|{target}", maxBins)
+    if is_text and kind == "forest":
+        y = F.array(*[(F.col(target) == F.lit(v)).cast("double") for v in levels])
+    else:
+        y = F.array(place)
+    rows = observed.select("imp_id", key, y.alias("_y"), bins.columns().alias("_b")).persist()
+    name = f"{tag}|{target}"
+    if kind == "boosted":
+        model = trees.fit_boosted(rows, ["imp_id"], groups, len(features), key, seed, name, maxIter, maxDepth, stepSize, minInstancesPerNode)
+    else:
+        model = trees.fit_forest(rows, ["imp_id"], groups, max(1, len(levels)), len(features), key, seed, name, numTrees, maxDepth, minInstancesPerNode)
+    rows.unpersist()
+    out = model.predict(df.withColumn("_b", bins.columns()), ["imp_id"], "_vec", total=kind == "boosted")
+    best = F.call_function("array_position", F.col("_vec"), F.array_max("_vec")).cast("double") if is_text and kind == "forest" else F.get("_vec", F.lit(0))
+    out = out.withColumn("_pred", best).drop("_vec", "_b").select(*df.columns, "_pred")
     return match_donors(out, target, "_pred", missing, key, seed, tag, k).drop("_pred")
 
 

@@ -291,14 +291,14 @@ def draw_multiclass(spark, d):
 
 @query("draw_forest")
 def draw_forest(spark, d):
-    t = {"x_true": Target("forest", {"x_star": 0, "z_bal": 0, "c_star": 0}, None, {"numTrees": 5, "maxDepth": 4})}
-    return chained.impute_fixed(sampled(spark, d), t, "row_id", 2, 8).select("imp_id", "row_id", rnd("x_true").alias("x_true"))
+    t = {"x_true": Target("forest", {"x_star": 0, "z_bal": 0, "c_star": 0}, None, {"numTrees": 10, "maxDepth": 5})}
+    return chained.impute_fixed(sampled(spark, d), t, "row_id", 5, 8).select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 
 @query("draw_boosted")
 def draw_boosted(spark, d):
-    t = {"x_true": Target("boosted", {"x_star": 0, "z_bal": 0}, None, {"maxIter": 5, "maxDepth": 3})}
-    return chained.impute_fixed(sampled(spark, d), t, "row_id", 2, 8).select("imp_id", "row_id", rnd("x_true").alias("x_true"))
+    t = {"x_true": Target("boosted", {"x_star": 0, "z_bal": 0}, None, {"maxIter": 6, "maxDepth": 3})}
+    return chained.impute_fixed(sampled(spark, d), t, "row_id", 5, 8).select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 
 SPLITS, ALLOC = (11.5, 12.3), (0.3, 0.05, 0.3)
