@@ -450,3 +450,40 @@ def test_html_entropy_decides(spark):
     rows = [(100 * k + i, f"https://{host}/{i}", page.format(i)) for k, (host, page) in enumerate(pages.items()) for i in range(20)]
     got = dict(rows_of(op10_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id", "text"))
     assert got == {100 * k + i: want[host].format(i) for k, host in enumerate(pages) for i in range(20)}
+
+
+HTML_PAGES = {
+    "<article><p>Main.</p><div class='ad'>Buy now</div><p>More.</p></article>": "Main.\nMore.",
+    "<article><p>Main.</p><section class='comments'><p>User: nice, and many more words than the main text has here.</p></section></article>": "Main.",
+    "<article><p>Main.</p><div class='cookie-notice'>We use them</div><p class='notice'>A notice of prose.</p></article>": "Main.\nA notice of prose.",
+    "<body><form id=aspnet><input name=state><div class=nav><a href=x>Home</a></div><p>The body of a page may lie in one form.</p><p>It stays.</p></form></body>": "The body of a page may lie in one form.\nIt stays.",
+    "<div class='related-work'><h2>Related work</h2><p>Others did it before, as we say in this text.</p></div>": "Related work\nOthers did it before, as we say in this text.",
+    "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold <svg><path/></svg>for all.</p>": "Let x=1 hold for all.",
+    "<div class='page-header'><h1>Title</h1></div><div class=text><p>Some words of the page.</p></div>": "Title\nSome words of the page.",
+    "<div class='wrap with-sidebar'><article><p>Kept.</p></article><div class=sidebar><p>Gone</p></div></div>": "Kept.",
+    "<body><div class='header'>Only a name</div></body>": "",
+    "<form><label>Name</label><input><button>Send</button></form><p>Prose beside a form.</p>": "Prose beside a form.",
+}
+
+
+def test_html_markup_weighs_by_what_it_holds(spark):
+    rows = [(i, f"https://h{i}.example/", page) for i, page in enumerate(HTML_PAGES)] * 2
+    got = rows_of(op10_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id", "text")
+    assert sorted(got) == sorted(list(enumerate(HTML_PAGES.values())) * 2)
+
+
+def test_html_names_inside_articles_of_a_host(spark):
+    page = "<article><h1>T{0}</h1><p>Story {0} goes on {0}.</p><div class=ad>Buy {0} now</div><div class=comments><p>User {0}: nice!</p></div></article>"
+    rows = [(i, f"https://one.example/{i}", page.format(i)) for i in range(20)]
+    got = dict(rows_of(op10_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id", "text"))
+    assert got == {i: f"T{i}\nStory {i} goes on {i}." for i in range(20)}
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<b>", "<p><i>", "<a href=x><span class=c>", "<li>", "</i><b>"])
+def test_html_time_grows_with_the_page(tag):
+    import time
+
+    start = time.process_time()
+    page = op10_html.parse(tag * 100_000 + "text")
+    assert op10_html.kept(page, {}) in ("text", "") and len(op10_html._said(page)) >= 0
+    assert time.process_time() - start < 6  # seconds; the quadratic form took minutes
