@@ -11,9 +11,10 @@ side of it still match.
 
 The benchmark is the query set. It is read in blocks of at most BLOCK_BYTES of text, and every block
 meets every document where it lies, so documents are never shuffled and what a task holds is bounded
-whatever the benchmark's size. Items longer than ITEM_WORDS are cut into overlapping pieces.
+whatever the benchmark's size. Items longer than ITEM_WORDS are cut into overlapping pieces; ``n_words`` counts the
+words of the whole item that some agreeing window covers, each once.
 
-Edge cases: null or empty texts on either side match nothing; null item ids are reported as null;
+Edge cases: texts of any length are searched whole; ties do not arise; null or empty texts on either side match nothing; null item ids are reported as null;
 repeated documents and repeated items each give their rows; other columns are ignored, and ``clean``
 passes them through.
 """
@@ -33,6 +34,8 @@ MASKS = ("111111", "1111101", "1101111")
 WINDOW, SUBSTITUTED = 13, 2
 BLOCK_BYTES = 4 << 20
 ITEM_WORDS = 512
+# Meetings of seeds looked at in one numpy pass.
+HITS = 1 << 20
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -51,14 +54,16 @@ class Block:
     """Seeds of one block of the benchmark, sorted by hash."""
 
     def __init__(self, ids: list, texts: list):
-        words, owner = [], []
+        words, owner, starts, self.lengths = [], [], [], {}
         for row, w in doc_words(pc.utf8_lower(pa.array(texts, pa.string())), gaps=PUNCTUATION):
             step = ITEM_WORDS - WINDOW + 1
+            self.lengths[row] = len(w)
             for at in range(0, max(1, len(w) - WINDOW + 1), step):
                 if len(piece := w[at : at + ITEM_WORDS]) >= len(MASKS[0]):
                     words.append(piece)
                     owner.append(row)
-        self.ids, self.owner, self.words = ids, owner, words
+                    starts.append(at)
+        self.ids, self.owner, self.starts, self.words = ids, owner, starts, words
         self.tables = []
         for mask in MASKS:
             seeds = [_seeds(w, mask) for w in words]
@@ -68,42 +73,63 @@ class Block:
             order = np.argsort(flat, kind="stable")
             self.tables.append((flat[order], item[order], at[order]))
 
-    def matches(self, doc: np.ndarray) -> dict[int, int]:
-        """Piece -> largest number of aligned words inside verified windows."""
-        hits = set()
+    def _alignments(self, doc: np.ndarray) -> np.ndarray:
+        """Distinct (piece, shift) pairs on which a seed of the document meets one of a piece, as piece << 40 | shift + 2^39."""
+        found = []
         for mask, (hashes, item, at) in zip(MASKS, self.tables):
             seeds = _seeds(doc, mask)
             if not len(seeds) or not len(hashes):
                 continue
             lo = np.searchsorted(hashes, seeds)
-            found = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == seeds)
-            if len(found):
-                hi = np.searchsorted(hashes, seeds[found], side="right")
-                for p, a, b in zip(found.tolist(), lo[found].tolist(), hi.tolist()):
-                    hits.update(zip(item[a:b].tolist(), (p - at[a:b]).tolist()))
-        best: dict[int, int] = {}
-        for piece, shift in hits:
-            n = self._verified(doc, self.words[piece], shift)
-            if n > best.get(piece, 0):
-                best[piece] = n
-        return best
-
-    @staticmethod
-    def _verified(doc: np.ndarray, item: np.ndarray, shift: int) -> int:
+            place = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == seeds)
+            lo = lo[place]
+            many = np.searchsorted(hashes, seeds[place], side="right") - lo
+            # a word that repeats on both sides meets itself very often: taken in runs of bounded length
+            ends = np.cumsum(many)
+            start = 0
+            while start < len(place):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HITS, side="right")))
+                n = many[start:stop]
+                first = np.cumsum(n) - n
+                entry = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(lo[start:stop], n)
+                shift = np.repeat(place[start:stop], n) - at[entry]
+                found.append(np.unique((item[entry] << 40) + shift + (1 << 39)))
+                start = stop
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def _verified(self, doc: np.ndarray, code: int) -> tuple[int, np.ndarray | None]:
+        """The piece of an alignment, and which of its words lie in windows that agree; None if none does."""
+        piece = code >> 40
+        shift = (code & ((1 << 40) - 1)) - (1 << 39)
+        item = self.words[piece]
         a, b = max(0, -shift), min(len(item), len(doc) - shift)
         same = doc[a + shift : b + shift] == item[a:b]
+        covered = np.zeros(len(item), bool)
         if len(item) < WINDOW:
-            return len(item) if len(same) == len(item) and same.all() else 0
-        if len(same) < WINDOW:
-            return 0
-        run = np.convolve(same, np.ones(WINDOW, np.int64), "valid") >= WINDOW - SUBSTITUTED
-        if not run.any():
-            return 0
-        covered = np.zeros(len(same) + 1, np.int64)
-        starts = np.flatnonzero(run)
-        np.add.at(covered, starts, 1)
-        np.add.at(covered, np.minimum(starts + WINDOW, len(same)), -1)
-        return int((np.cumsum(covered)[:-1] > 0).sum())
+            covered[:] = len(same) == len(item) and same.all()
+        elif len(same) >= WINDOW:
+            agree = np.concatenate([[0], np.cumsum(same)])
+            run = np.flatnonzero(agree[WINDOW:] - agree[:-WINDOW] >= WINDOW - SUBSTITUTED)
+            edges = np.zeros(len(same) + 1, np.int64)
+            edges[run] += 1
+            edges[run + WINDOW] -= 1
+            covered[a:b] = np.cumsum(edges)[:-1] > 0
+        return piece, covered if covered.any() else None
+
+    def hit(self, doc: np.ndarray) -> bool:
+        """Whether some alignment holds a window that agrees."""
+        return any(self._verified(doc, code)[1] is not None for code in self._alignments(doc).tolist())
+
+    def matches(self, doc: np.ndarray) -> dict[int, int]:
+        """Item row -> how many of its words some agreeing window covers, whatever pieces and alignments show them."""
+        seen: dict[int, np.ndarray] = {}
+        for code in self._alignments(doc).tolist():
+            piece, covered = self._verified(doc, code)
+            if covered is not None:
+                row, start = self.owner[piece], self.starts[piece]
+                whole = seen.setdefault(row, np.zeros(self.lengths[row], bool))
+                whole[start : start + len(covered)] |= covered
+        return {row: int(c.sum()) for row, c in seen.items()}
 
 
 def _blocks(benchmark: DataFrame):
@@ -135,11 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = batch.column(0).to_pylist()
                 out = ([], [], [])
                 for row, words in doc_words(pc.utf8_lower(batch.column(1)), gaps=PUNCTUATION):
-                    items: dict[int, int] = {}
-                    for piece, n in block.matches(words).items():
-                        owner = block.owner[piece]
-                        items[owner] = max(n, items.get(owner, 0))
-                    for owner, n in items.items():
+                    for owner, n in block.matches(words).items():
                         for column, v in zip(out, (ids[row], block.ids[owner], n)):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "n_words"])
@@ -164,7 +186,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for row, words in doc_words(pc.utf8_lower(batch.column(at).cast(pa.string())), gaps=PUNCTUATION):
-                    keep[row] = not block.matches(words)
+                    keep[row] = not block.hit(words)
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
