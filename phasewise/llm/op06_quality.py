@@ -228,9 +228,12 @@ def fit(docs: DataFrame) -> dict:
     if not total:
         return {"weights": np.zeros(DIM + 1)}
     prior, table = fit_em(patterns)
-    drawn = docs.where(keyed.uniform(6, "quality", F.xxhash64("doc_id", "text")) * total < SAMPLE).select(F.col("text").cast("string").alias("text"))
-    rows = drawn.mapInArrow(_features_task, "x binary, short binary, bins array<smallint>, pattern bigint").limit(2 * SAMPLE).collect()
-    spoken = [r for r in rows if r.pattern != _pattern(np.full(len(LABELLERS), ABSTAIN))]
+    # equal rows draw the same number: they count once, in the number of rows to draw from and in the sample
+    key = F.xxhash64("doc_id", "text")
+    kinds = docs.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    drawn = docs.where(keyed.uniform(6, "quality", key) * kinds < SAMPLE).select("doc_id", F.col("text").cast("string").alias("text")).distinct()
+    rows = drawn.select("text").mapInArrow(_features_task, "x binary, short binary, bins array<smallint>, pattern bigint").collect()
+    spoken = [r for r in sorted(rows, key=lambda r: (r.x, r.short)) if r.pattern != _pattern(np.full(len(LABELLERS), ABSTAIN))]
     x, short = (np.array([np.frombuffer(r[c], np.float32) for r in spoken], np.float32).reshape(-1, DIM) for c in ("x", "short"))
     v = np.array([r.pattern for r in spoken], np.int64)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     by_characters = np.where(_CHARACTER_RULES, v, ABSTAIN)

@@ -487,3 +487,36 @@ def test_html_time_grows_with_the_page(tag):
     page = op10_html.parse(tag * 100_000 + "text")
     assert op10_html.kept(page, {}) in ("text", "") and len(op10_html._said(page)) >= 0
     assert time.process_time() - start < 6  # seconds; the quadratic form took minutes
+
+
+def test_decontaminate_counts_words_of_the_whole_item(spark):
+    item = " ".join(f"w{i}" for i in range(2000))
+    words_ = item.split()
+    docs = {1: item, 2: " ".join(words_[100:700]), 3: " ".join(words_[:30] + ["gap"] * 20 + words_[1500:1540]), 4: " ".join(words_[:400] + ["more"] + words_[400:900])}
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = dict(rows_of(op03_decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), benchmark), "doc_id", "n_words"))
+    assert got[1] == 2000 and got[2] == 600 and got[4] == 900
+    assert 70 <= got[3] <= 74  # two words beyond either end may differ
+
+
+def test_decontaminate_repeated_words(spark):
+    """One word over and over on both sides: every alignment is met, in bounded steps."""
+    import time
+
+    benchmark = spark.createDataFrame([(1, "buffalo " * 500)], "item_id bigint, text string")
+    block = next(iter(op03_decontaminate._blocks(benchmark)))
+    doc = np.full(20_000, block.words[0][0])
+    start = time.process_time()
+    assert block.matches(doc) == {0: 500} and block.hit(doc)
+    assert time.process_time() - start < 20
+
+
+def test_quality_model_does_not_depend_on_layout(spark, monkeypatch):
+    """A row repeated very often counts once, wherever it lies."""
+    monkeypatch.setattr(op06_quality, "SAMPLE", 200)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    same = spark.range(3000).select(F.lit(10**6).cast("bigint").alias("doc_id"), F.lit("one text again and again, with some words to it.").alias("text"))
+    one, two, few = op06_quality.fit(docs.unionByName(same)), op06_quality.fit(same.unionByName(docs).repartition(7)), op06_quality.fit(docs.unionByName(same.limit(1)))
+    for name in ("weights", "few"):
+        assert np.allclose(one[name], two[name], atol=1e-9)
+    assert np.abs(one["weights"]).sum() > 0.5 * np.abs(few["weights"]).sum()
