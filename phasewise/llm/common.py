@@ -229,12 +229,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small-star: u and its smaller neighbours point to the least of them
         low = store(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         pulled = large.join(low, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi")
-        e = store(pulled.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct(), "edges")
+        before, e = e, store(pulled.unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct(), "edges")
+        discard(before, least, large, low)
         last, state = state, _digest(e)
         if state == last:
             break
     centres = e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
-    return store(e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(centres), "components")
+    out = store(e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(centres), "components")
+    discard(e)
+    return out
 
 
 def _digest(e: DataFrame) -> tuple:

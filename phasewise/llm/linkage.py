@@ -1,7 +1,8 @@
 """Exact links between sets that share candidate lists, without all pairs of a list leaving a task.
 
-Sets are known by a 64-bit handle. ``postings`` (key, h) are the candidate lists: two sets that link
-share a key. A list only ever meets its own members; what leaves a task is, for each component found
+Sets are known by a number of their own, ``id``; the candidate lists ``postings`` (key, h) name them by 40 bits,
+``h``, since that is most of what is shuffled: sets that share an h simply stand in each other's lists. Two sets that
+link share a key. A list only ever meets its own members; what leaves a task is, for each component found
 so far, its few closest untested partners. Verified links contract components, and the next round
 goes on with more partners until no list has held one back, so no link between components is lost.
 
@@ -13,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import components, discard, join_checked, small, store
+from phasewise.llm.common import components, discard, join_checked, store
 
 # Members of a list that are compared in one task; longer lists are split into pairs of tiles.
 TILE = 4096
@@ -130,33 +131,42 @@ def _list_task(num: int, den: int, most: int):
     return run
 
 
-def link_components(postings: DataFrame, nodes: DataFrame, verified, num: int, den: int) -> DataFrame:
-    """(id, component) over handles that have a link; handles without one are absent.
+def short_key(column) -> Column:
+    """48 bits of a posting key: fewer bytes to shuffle, and keys that fall together only lengthen a list."""
+    return F.shiftrightunsigned(column, 16)
 
-    ``postings`` (key, h), ``nodes`` (h, n, sketch) stored with one row for each handle;
-    ``verified(pairs)`` keeps the (a, b) rows that link by the exact sets, and is given, by its
-    ``prepare`` attribute, all handles that may be asked for.
+
+def short_handle(column) -> Column:
+    return F.shiftrightunsigned(column, 24)
+
+
+def link_components(postings: DataFrame, nodes: DataFrame, check, num: int, den: int) -> DataFrame:
+    """(id, component) over ids that have a link; ids without one are absent.
+
+    ``postings`` (key, h), ``nodes`` (id, h, n, sketch) stored with one row for each set; ``check(pairs)`` stores the (a, b) rows of
+    the stored table ``pairs`` that link by the exact sets.
     """
-    # lists of the same members say the same: one of them is enough (two 32-bit sums tell members apart)
-    # (sums of the halves of h, which repeat the bytes of a lone member and so compress away in the shuffle)
+    # lists of the same members say the same: one of them is enough (sum and exclusive or tell members apart)
+    # (both repeat the bytes of a lone member and so compress away in the shuffle)
     lists = postings.groupBy("key").agg(
-        F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c"),
-        F.sum(F.shiftright("h", 32)).alias("s1"), F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2"),
+        F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c"), F.sum("h").alias("s"), F.bit_xor("h").alias("x"),
     )
-    lists = store(lists.where("a < b").groupBy("a", "b", "c", "s1", "s2").agg(F.min("key").alias("key")), "lists")
-    two = lists.where("c = 2").select("a", "b").distinct()
-    two = store(_possible(two, nodes, num, den), "pairs")
+    lists = store(lists.where("a < b").groupBy("a", "b", "c", "s", "x").agg(F.min("key").alias("key")), "lists")
+    two = lists.where("c = 2").select(F.col("a").alias("ha"), F.col("b").alias("hb")).distinct()
+    twins = nodes.groupBy("h").count().where("count > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
+    two = store(_possible(two.unionByName(twins), nodes, num, den), "pairs")
     keys = store(lists.where("c > 2").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")), "keys")
-    member = join_checked(postings, keys, "key", "inner", 12).distinct().join(nodes, "h")
-    member = member.withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
+    member = join_checked(postings, keys, "key", "inner", 12).distinct().join(nodes.select("h", "id", "n", "sketch"), "h")
+    member = member.drop("h").withColumnRenamed("id", "h").withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
     member = member.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     member = store(member.select("key", "h", "n", "sketch", "t", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j")), "members")
+    discard(lists, keys)
 
-    asked = two.select(F.col("a").alias("h")).unionByName(two.select(F.col("b").alias("h"))).unionByName(member.select("h"))
-    check = verified(store(asked.distinct(), "asked"))
-    links = store(check(two), "links")
+    links = check(two)
+    discard(two)
     most = FIRST
     comp = components(links)
+    spent = []
     unfinished = member
     while True:
         labelled = unfinished.join(comp.select(F.col("id").alias("h"), "component"), "h", "left")
@@ -166,27 +176,30 @@ def link_components(postings: DataFrame, nodes: DataFrame, verified, num: int, d
             .mapInArrow(_list_task(num, den, most), "a bigint, b bigint, key bigint, i bigint, j bigint"),
             "found",
         )
+        discard(*spent)
+        spent = [found]
         if found.isEmpty():
             break
         pairs = store(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-        links = store(links.unionByName(check(pairs)).distinct(), "links")
+        more = check(pairs)
+        last, links = links, store(links.unionByName(more).distinct(), "links")
+        discard(pairs, more, last, comp)
         comp = components(links)
         # a list that held nothing back has had all its pairs of different components tested
         held_back = store(found.where("key IS NOT NULL").select("key", "i", "j"), "heldback")
+        spent.append(held_back)
         if held_back.isEmpty():
             break
         unfinished = join_checked(member, held_back, ["key", "i", "j"], "left_semi", 24)
         most *= GROWTH
-    discard(lists, member)
+    discard(member, links, *spent)
     return comp
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Drop pairs that the sizes or the sketches exclude."""
-    side = lambda x: nodes.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    )
+    """Pairs of ids of the handles (ha, hb), without those that the sizes or the sketches exclude."""
+    side = lambda x: nodes.select(F.col("h").alias(f"h{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "ha").join(side("b"), "hb").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).where("ha < hb OR a < b")
 
     def near(batches):
         for batch in batches:
@@ -195,19 +208,21 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
             for na, nb, sa, sb in zip(t["na"], t["nb"], t["sa"], t["sb"]):
                 bits = min(len(sa), len(sb)) * 8
                 keep.append(int(np.bitwise_count(_fold(sa, bits) ^ _fold(sb, bits)).sum()) <= most_different(na + nb, num, den))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            ends = np.sort(np.stack([chosen.column(0).to_numpy(), chosen.column(1).to_numpy()]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
     return both.mapInArrow(near, "a bigint, b bigint")
 
 
-def sides(pairs: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, ea) and (b, eb): the exact sets of the ends of ``pairs``, a stored table.
+def verified(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``pairs`` whose exact sets, ``elements`` (h, elements), reach the similarity; stored."""
+    one, two = (elements.select(F.col("h").alias(end), F.col("elements").alias(f"e{end}")) for end in ("a", "b"))
+    union = F.size("ea") + F.size("eb") - F.col("shared")
+    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")))
+    return store(both.where(den * F.col("shared") >= num * union).select("a", "b").distinct(), "verified")
 
-    Sets that no pair asks for are left out before the shuffle where the ends fit a broadcast.
-    """
-    out = []
-    for end in ("a", "b"):
-        ends = store(pairs.select(F.col(end).alias("h")).distinct(), "ends")
-        some = elements.join(F.broadcast(ends), "h", "left_semi") if small(ends, 8) else elements
-        out.append(some.select(F.col("h").alias(end), F.col("elements").alias(f"e{end}")))
-    return out[0], out[1]
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(h): the ids that occur in ``pairs``; stored."""
+    return store(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "ends")

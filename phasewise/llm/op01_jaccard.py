@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.llm.common import components, discard, doc_words, join_checked, list_array, mix, shingles, signed, store
-from phasewise.llm.linkage import link_components, most_different, sides, sketch
+from phasewise.llm.linkage import ends_of, link_components, most_different, short_handle, short_key, sketch, verified
 
 RATIO = 1.4  # sizes of one class of heavy sets, largest to smallest
 ENTRY = 16  # bytes of a posting
@@ -148,12 +148,12 @@ def _sets_batch(ids, n, hi, lo, keys, bits):
 def _elements_task(words: int):
     def run(batches):
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
+            wanted, ids = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())), batch.column(4).to_pylist()
             h, sets = [], []
             for row, w in doc_words(batch.column(1)):
                 s = shingles(w, words)
-                if _signature(s)[1] == wanted[row]:
-                    h.append(wanted[row])
+                if _signature(s) == wanted[row]:
+                    h.append(ids[row])
                     sets.append(s)
                 if len(h) == 256:
                     yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), list_array(sets)], ["h", "elements"])
@@ -169,32 +169,24 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = store(text.mapInArrow(_sets_task(words, num, den), SETS), "sets")
     used = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = store(
-        used.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
-    )
-    nodes = classes.groupBy(F.col("lo").alias("h")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    postings = used.select(F.explode("keys").alias("key"), F.col("lo").alias("h"))
-
-    def verified(asked: DataFrame):
-        need = store(asked.join(classes.select(F.col("lo").alias("h"), F.col("rep").alias("doc_id")), "h"), "need")
-        rows = join_checked(text, need, "doc_id", "inner", 16).select("doc_id", "text", "h")
+    classes = used.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    nodes = classes.select("id", short_handle("lo").alias("h"), "n", "sketch")
+    postings = used.select(F.explode("keys").alias("key"), "lo").select(short_key("key").alias("key"), short_handle("lo").alias("h"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = ends_of(pairs)
+        need = store(ends.join(classes.select(F.col("id").alias("h"), "hi", "lo", F.col("rep").alias("doc_id")), "h"), "need")
+        rows = join_checked(text, need, "doc_id", "inner", 40).select("doc_id", "text", "hi", "lo", "h")
         elements = store(rows.mapInArrow(_elements_task(words), "h bigint, elements array<bigint>"), "elements")
-
-        def check(pairs: DataFrame) -> DataFrame:
-            one, two = sides(pairs, elements)
-            shared = F.size(F.array_intersect("ea", "eb"))
-            union = F.size("ea") + F.size("eb") - F.col("shared")
-            return (
-                pairs.join(one, "a").join(two, "b").withColumn("shared", shared)
-                .where(den * F.col("shared") >= num * union).select("a", "b").distinct()
-            )
-
-        return check
-
-    linked = link_components(postings, store(nodes, "nodes"), verified, num, den)
-    # a component of handles becomes the smallest doc_id of its classes
-    labelled = classes.select("hi", "lo", "rep").join(linked.select(F.col("id").alias("lo"), "component"), "lo", "left")
-    labelled = store(labelled.withColumn("component", F.coalesce("component", "lo")), "labelled")
+        found = verified(pairs, elements, num, den)
+        discard(ends, need, elements)
+        return found
+
+    linked = link_components(postings, nodes, check, num, den)
+    # a component of ids becomes the smallest doc_id of its classes
+    labelled = classes.select("hi", "lo", "rep", "id").join(linked, "id", "left")
+    labelled = store(labelled.withColumn("component", F.coalesce("component", "id")), "labelled")
     least = store(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     named = store(labelled.join(least, "component").select("hi", "lo", "component_id"), "named")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
@@ -204,7 +196,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
     )
     # a doc_id with several texts joins their components
     out = store(out, "rows")
-    discard(sets, classes, labelled, named)
+    discard(sets, classes, linked, labelled, least, named)
     split = store(
         out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b"), "split"
     )

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasewise.llm.common import WORD, discard, doc_words, join_checked, list_array, mix, shingles, signed, store
-from phasewise.llm.linkage import link_components, sides, sketch
+from phasewise.llm.linkage import ends_of, link_components, short_handle, short_key, sketch, verified
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 8, 10, 50
 RECALL, MOST_HASHES = 0.999, 80
@@ -111,11 +111,11 @@ def _parts_batch(out):
 def _elements_task(batches):
     for batch in batches:
         h, sets = [], []
-        wanted = [set(w) for w in batch.column(1).to_pylist()]
+        wanted = [{(w["hi"], w["lo"]): w["h"] for w in row} for row in batch.column(1).to_pylist()]
         for row, _, words in _paragraphs(batch.column(0)):
-            lo = int(_sequence(words)[1])
-            if lo in wanted[row]:
-                h.append(lo)
+            hi, lo = _sequence(words).tolist()
+            if (hi, lo) in wanted[row]:
+                h.append(wanted[row][hi, lo])
                 sets.append(shingles(words, WORDS))
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), list_array(sets)], ["h", "elements"])
 
@@ -125,31 +125,28 @@ def clusters(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     parts = store(text.mapInArrow(_parts_task, PARTS), "parts")
     first = F.min(F.struct("doc_id", "part")).alias("first")
-    classes = store(parts.groupBy("hi", "lo").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    nodes = store(classes.groupBy(F.col("lo").alias("h")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    postings = parts.select(F.explode("keys").alias("key"), F.col("lo").alias("h"))
-
-    def verified(asked: DataFrame):
-        need = asked.join(classes.select(F.col("lo").alias("h"), F.col("first.doc_id").alias("doc_id")), "h")
-        need = store(need.groupBy("doc_id").agg(F.collect_set("h").alias("hs")), "need")
+    classes = parts.groupBy("hi", "lo").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    nodes = classes.select("id", short_handle("lo").alias("h"), "n", "sketch")
+    postings = parts.select(F.explode("keys").alias("key"), "lo").select(short_key("key").alias("key"), short_handle("lo").alias("h"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = ends_of(pairs)
+        need = ends.join(classes.select(F.col("id").alias("h"), "hi", "lo", F.col("first.doc_id").alias("doc_id")), "h")
+        need = store(need.groupBy("doc_id").agg(F.collect_set(F.struct("h", "hi", "lo")).alias("hs")), "need")
         rows = join_checked(text, need, "doc_id", "inner", 64).select("text", "hs")
         elements = store(rows.mapInArrow(_elements_task, "h bigint, elements array<bigint>").dropDuplicates(["h"]), "elements")
-
-        def check(pairs: DataFrame) -> DataFrame:
-            one, two = sides(pairs, elements)
-            union = F.size("ea") + F.size("eb") - F.col("shared")
-            return (
-                pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")))
-                .where(DEN * F.col("shared") >= NUM * union).select("a", "b").distinct()
-            )
-
-        return check
-
-    linked = link_components(postings, nodes, verified, NUM, DEN)
-    labelled = classes.join(linked.select(F.col("id").alias("lo"), "component"), "lo", "left")
-    labelled = store(labelled.select("hi", "lo", "first", "copies", F.coalesce("component", "lo").alias("component")), "labelled")
+        found = verified(pairs, elements, NUM, DEN)
+        discard(ends, need, elements)
+        return found
+
+    linked = link_components(postings, nodes, check, NUM, DEN)
+    labelled = classes.join(linked, "id", "left")
+    labelled = store(labelled.select("hi", "lo", "first", "copies", F.coalesce("component", "id").alias("component")), "labelled")
+    discard(classes, linked)
     kept = store(labelled.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("size")).where("size > 1"), "kept")
     named = store(labelled.join(kept, "component").select("hi", "lo", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.part").alias("keep_part")), "named")
+    discard(labelled, kept)
     return parts.select("doc_id", "part", "n_words", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "part", "n_words", "keep_doc_id", "keep_part")
 
 
