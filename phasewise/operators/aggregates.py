@@ -65,10 +65,28 @@ def pairwise_covariance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*parts)).alias("e")).select("e.*")
 
 
-def nearest_psd(matrix: np.ndarray, floor: float = 0.0) -> np.ndarray:
-    """Closest positive semi-definite matrix by clipping eigenvalues (p x p, driver side)."""
+def nearest_psd(matrix: np.ndarray, tol: float = 1e-8) -> np.ndarray:
+    """The matrix itself if no eigenvalue lies below -tol, else eigenvalues raised to ``tol`` and symmetrised (p x p, driver side)."""
     vals, vecs = np.linalg.eigh((matrix + matrix.T) / 2)
-    return (vecs * np.maximum(vals, floor)) @ vecs.T
+    if vals.min() >= -tol:
+        return matrix
+    raised = (vecs * np.maximum(vals, tol)) @ vecs.T
+    return (raised + raised.T) / 2
+
+
+def repaired_covariance(df: DataFrame, cols: Sequence[str], tol: float = 1e-8) -> DataFrame:
+    """``pairwise_covariance`` (row, col, value) made positive semi-definite: pairwise complete rows need not agree.
+
+    One pass over the rows; the p x p matrix is repaired on the driver. A pair without two common rows has
+    covariance zero there.
+    """
+    place = {c: i for i, c in enumerate(cols)}
+    matrix = np.zeros((len(cols), len(cols)))
+    for r in pairwise_covariance(df, cols).collect():
+        matrix[place[r["row"]], place[r["col"]]] = r["value"] if r["value"] is not None else 0.0
+    fixed = nearest_psd(matrix, tol)
+    rows = [(a, b, float(fixed[place[a], place[b]])) for a in cols for b in cols]
+    return df.sparkSession.createDataFrame(rows, "row string, col string, value double")
 
 
 def error_matrix(df: DataFrame, p1: str, p2: str, direction: str = "p1_given_p2", smooth: bool = False) -> DataFrame:

@@ -128,6 +128,17 @@ def normalize_category(column: str | Column) -> Column:
     return F.when(s.rlike(r"^\d+\.0$"), F.regexp_replace(s, r"\.0$", "")).otherwise(s)
 
 
+def robust_category(column: str | Column) -> Column:
+    """Text of a category read as a number where it is an integral one: ``-1.0`` to ``-1``, ``02`` to ``2``, ``1e3`` to ``1000``; else trimmed.
+
+    Null stays null; text that is no finite number, and numbers of 2^53 or more, which doubles do not tell apart, stay text.
+    """
+    s = F.trim((F.col(column) if isinstance(column, str) else column).cast("string"))
+    number = F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+    whole = (number == F.floor(number)) & (F.abs(number) < F.lit(float(2**53)))
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(s)
+
+
 def null_tokens(df: DataFrame, cols: Sequence[str], tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*tokens), F.col(c)) for c in cols})
 

@@ -15,7 +15,7 @@ from phasewise.functions.scalar import expit
 from phasewise.functions.tails import t_ppf_array
 from phasewise.operators.columns import Roles
 from phasewise.operators.order import exact_quantiles
-from phasewise.session import join_small, per_row_numpy
+from phasewise.session import join_small, per_row_numpy, settle
 
 LARGE_T_DF = 1e12
 
@@ -134,6 +134,61 @@ def energy_distance(x: DataFrame, y: DataFrame, numeric: Sequence[str], categori
     ).alias("energy"))
 
 
+def energy_distances(
+    x: DataFrame, y: DataFrame, by: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (), block_rows: int = BLOCK,
+) -> DataFrame:
+    """The same for every group of ``by`` in one job: (by, energy). Rows are scaled within their group.
+
+    Each group's rows are packed into as many blocks as it needs, and only blocks of one group meet. A group that
+    lacks one of the samples has a null energy. Group columns must not be null.
+    """
+    by = list(by)
+    both = x.select(*by, F.lit(0).alias("_s"), *numeric, *categorical).unionByName(y.select(*by, F.lit(1).alias("_s"), *numeric, *categorical))
+    stats = both.groupBy(*by).agg(
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(numeric)], *[F.stddev_samp(c).alias(f"_d{i}") for i, c in enumerate(numeric)],
+        F.sum(1 - F.col("_s")).cast("double").alias("_n0"), F.sum("_s").cast("double").alias("_n1"),
+    )
+    stats = stats.withColumn("_nb", F.greatest(F.lit(1), F.ceil((F.col("_n0") + F.col("_n1")) / block_rows)).cast("int"))
+    stats = settle(stats)[0]
+    levels = {c: sorted(r[0] for r in both.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().collect()) for c in categorical}
+    parts = [(F.col(c) - F.col(f"_m{i}")) / F.coalesce(F.nullif(F.col(f"_d{i}"), F.lit(0.0)), F.lit(1e-8)) for i, c in enumerate(numeric)]
+    parts += [F.when(F.col(c).cast("string") == F.lit(v), 1.0).otherwise(0.0) for c in categorical for v in levels[c]]
+    width = len(parts)
+    rows = join_small(both, stats, by, "inner").select(*by, "_nb", "_s", F.array(*parts).alias("v"))
+    rows = rows.groupBy(*by, "_nb", "_s", "v").agg(F.count("*").alias("c"))
+    packed = rows.withColumn("b", F.pmod(F.xxhash64("v"), F.col("_nb")).cast("int")).groupBy(*by, "_nb", "_s", "b").agg(
+        F.collect_list("v").alias("v"), F.collect_list("c").alias("c"))  # about block_rows rows
+    packed = packed.withColumn("id", F.col("_s") * F.col("_nb") + F.col("b"))
+    left = packed.select(*by, F.col("id").alias("i"), F.col("_s").alias("s1"), F.flatten("v").alias("v1"), F.col("c").alias("c1"),
+                         F.explode(F.sequence(F.col("id"), 2 * F.col("_nb") - 1)).alias("j"))
+    right = packed.select(*by, F.col("id").alias("j"), F.col("_s").alias("s2"), F.flatten("v").alias("v2"), F.col("c").alias("c2"))
+    kinds = "".join(f"{c} {both.schema[c].dataType.simpleString()}, " for c in by)
+
+    def reduce_pairs(batches):
+        for pdf in batches:
+            total = []
+            for r in pdf.itertuples(index=False):
+                a, b = np.asarray(r.v1, float).reshape(-1, width), np.asarray(r.v2, float).reshape(-1, width)
+                ca, cb = np.asarray(r.c1, float), np.asarray(r.c2, float)
+                part = 0.0
+                for lo in range(0, len(a), 256):
+                    d2 = np.zeros((min(256, len(a) - lo), len(b)))
+                    for k in range(width):
+                        d2 += (a[lo:lo + 256, k][:, None] - b[None, :, k]) ** 2
+                    part += ca[lo:lo + 256] @ np.sqrt(d2) @ cb
+                total.append(2.0 * part if r.s1 == r.s2 and r.i != r.j else part)
+            yield pdf[[*by, "s1", "s2"]].assign(total=total)
+
+    pairs = left.join(right, [*by, "j"], "inner")
+    pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, *by, "i", "j").select(*by, "i", "j", "s1", "s2", "v1", "v2", "c1", "c2")
+    sums = pairs.mapInPandas(reduce_pairs, f"{kinds}s1 int, s2 int, total double")
+    mean = lambda a, b: F.coalesce(F.sum(F.when((F.col("s1") == a) & (F.col("s2") == b), F.col("total"))), F.lit(0.0))
+    wide = sums.groupBy(*by).agg(mean(0, 1).alias("_xy"), mean(0, 0).alias("_xx"), mean(1, 1).alias("_yy"))
+    each = lambda s, a, b: F.col(s) / F.nullif(F.col(a) * F.col(b), F.lit(0.0))
+    value = 2 * each("_xy", "_n0", "_n1") - each("_xx", "_n0", "_n0") - each("_yy", "_n1", "_n1")
+    return join_small(wide, stats, by, "inner").select(*by, F.when(value.isNotNull(), F.greatest(value, F.lit(0.0))).alias("energy"))
+
+
 def imputation_loss(true: DataFrame, imp: DataFrame, roles: Roles) -> DataFrame:
     """mse and error weighted by the share of numeric / categorical targets, plus energy."""
     num, cat = [b for _, b in roles.numeric_pairs], [b for _, b in roles.categorical_pairs]

@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from phasewise.functions.keyed import uniform
 from phasewise.imputation import draws
 from phasewise.operators.columns import Roles
+from phasewise.operators.evaluation import energy_distances
 from phasewise.operators.joins import pareto_front
 from phasewise.operators.resampling import fold_assign
-from phasewise.session import join_small, settle
+from phasewise.session import cut, join_small, settle
 
 
 def rank_to_utopia(trials: DataFrame, m1: str, m2: str, key: str, k: int = 5) -> DataFrame:
@@ -103,6 +104,40 @@ def masked_cv_score(
     return scores.select(F.lit(trial).alias("trial"), F.col("fold").cast("bigint").alias("fold"), "mse", "error")
 
 
+def masked_cv_scores(
+    df: DataFrame, roles: Roles, imputers: Mapping[int, Callable[[DataFrame], DataFrame]], folds: int, m: int, seed,
+) -> DataFrame:
+    """All trials in one job: (trial, fold, mse, error, energy, loss), averaged over the m imputations.
+
+    ``imputers`` holds one imputer for each trial's configuration. Complete rows are dealt to folds; an imputer gets
+    its trial's stacked table, in which ``imp_id`` numbers (fold, imputation) and the fold's validated columns are masked and
+    flagged ``_miss_<column>``. ``mse`` and ``error`` are weighted by the share of numeric and categorical columns, ``energy`` is the
+    distance of held and imputed rows of one imputation. Trials whose imputer fails belong to ``masked_cv_score``.
+    """
+    complete = df.dropna(subset=[c for p in roles.pairs for c in p])
+    d = cut(fold_assign(complete, roles.key, folds, seed).withColumn("fold", F.col("fold").cast("bigint")))
+    stacked = draws.stack_copies(d, folds * m).withColumn("_held", F.col("fold") == F.floor((F.col("imp_id") - 1) / m))
+    stacked = stacked.withColumns({f"_miss_{c}": F.col("_held") for c in roles.phase2})
+    stacked = stacked.withColumns({c: F.when(~F.col("_held"), F.col(c)) for c in roles.phase2})
+    done = None
+    for trial, imputer in imputers.items():
+        part = imputer(stacked).where("_held").select(F.lit(int(trial)).cast("bigint").alias("trial"), "fold", "imp_id", roles.key, *roles.phase2)
+        done = part if done is None else done.unionByName(part)
+    done = cut(done)
+    num, cat = [b for _, b in roles.numeric_pairs], [b for _, b in roles.categorical_pairs]
+    truth = d.select(roles.key, *[F.col(c).alias(f"_t_{c}") for c in roles.phase2])
+    j = done.join(truth, roles.key, "inner")
+    by = ["trial", "fold", "imp_id"]
+    mse = [F.avg(F.pow(F.col(c) - F.col(f"_t_{c}"), 2)) / F.nullif(F.var_samp(f"_t_{c}"), F.lit(0.0)) for c in num]
+    err = [F.avg((F.col(c).cast("string") != F.col(f"_t_{c}").cast("string")).cast("double")) for c in cat]
+    total = len(num) + len(cat)
+    per = j.groupBy(*by).agg((sum(mse, F.lit(0.0)) / total).alias("mse"), (sum(err, F.lit(0.0)) / total).alias("error"))
+    held = j.select(*by, *[F.col(f"_t_{c}").alias(c) for c in roles.phase2])
+    energy = energy_distances(held, done, by, num, cat)
+    scores = per.join(energy, by).groupBy("trial", "fold").agg(*[F.avg(c).alias(c) for c in ("mse", "error", "energy")])
+    return scores.withColumn("loss", F.col("mse") + F.col("error") + F.col("energy"))
+
+
 def _above(seen: list[float], v: float) -> bool:
     """Whether ``v``, a member of the sorted list, exceeds its interpolated PRUNE_SHARE percentile.
 

@@ -418,6 +418,34 @@ def masked_cv_score(spark, d):
     return out.select("trial", "fold", rnd("mse").alias("mse"), rnd("error").alias("error"))
 
 
+_CV_LINES = {1: (2.0, 0.8), 2: (1.0, 0.9)}
+_CV_GROUPS = "trial, fold"
+
+
+@query("masked_cv_scores", f"""WITH {C}, o AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY {fx.skey(3, 'fold', 'row_id')}, row_id) - 1) % 12 AS fold FROM cohort),
+    t AS (SELECT unnest([1, 2]) AS trial, unnest([2.0, 1.0])::DOUBLE AS a, unnest([0.8, 0.9])::DOUBLE AS b),
+    r AS MATERIALIZED (SELECT trial, fold, x_true, a + b*x_star AS xi, c_true, c_star AS ci FROM o, t),
+    s AS (SELECT {_CV_GROUPS}, 0 AS s, x_true AS x, c_true AS c FROM r UNION ALL SELECT {_CV_GROUPS}, 1, xi, ci FROM r),
+    st AS (SELECT {_CV_GROUPS}, avg(x) AS m, stddev_samp(x) AS sd FROM s GROUP BY ALL),
+    z AS MATERIALIZED (SELECT {_CV_GROUPS}, s, (x-m)/sd AS z, c FROM s JOIN st USING ({_CV_GROUPS})),
+    p AS (SELECT {_CV_GROUPS}, a.s AS s1, b.s AS s2, avg(sqrt((a.z-b.z)^2 + CASE WHEN a.c=b.c THEN 0 ELSE 2 END)) AS d FROM z a JOIN z b USING ({_CV_GROUPS}) WHERE a.s <= b.s GROUP BY ALL),
+    g AS (SELECT {_CV_GROUPS}, greatest(2*max(d) FILTER (WHERE s1=0 AND s2=1) - max(d) FILTER (WHERE s1=0 AND s2=0) - max(d) FILTER (WHERE s1=1 AND s2=1), 0) AS energy FROM p GROUP BY ALL),
+    k AS (SELECT {_CV_GROUPS}, avg((xi-x_true)^2)/var_samp(x_true)/2 AS mse, avg((ci<>c_true)::INTEGER)/2 AS error FROM r GROUP BY ALL)
+    SELECT trial::BIGINT AS trial, fold, {srnd('mse')} AS mse, {srnd('error')} AS error, {srnd('energy')} AS energy, {srnd('mse+error+energy')} AS loss FROM k JOIN g USING ({_CV_GROUPS})""")
+def masked_cv_scores(spark, d):
+    """Two fixed lines as trials, scored on every fold at once."""
+    def line(a, b):
+        return lambda s: s.withColumns({
+            "x_true": F.when(F.col("_miss_x_true"), F.lit(a) + F.lit(b) * F.col("x_star")).otherwise(F.col("x_true")),
+            "c_true": F.when(F.col("_miss_c_true"), F.col("c_star")).otherwise(F.col("c_true")),
+        })
+
+    roles = Roles("row_id", (("x_star", "x_true"), ("c_star", "c_true")), ("x_true", "x_star"), ("c_true", "c_star"))
+    cols = fx.cohort(spark, d).select("row_id", "x_star", "x_true", "c_star", "c_true")
+    out = tuning.masked_cv_scores(cols, roles, {t: line(*ab) for t, ab in _CV_LINES.items()}, 12, 1, 3)
+    return out.select("trial", "fold", *[rnd(c).alias(c) for c in ("mse", "error", "energy", "loss")])
+
+
 def _fold_sql(f: int) -> str:
     """One fold of the pruning rule: trials no earlier fold pruned, the current one in its history."""
     left = " ".join(f"AND NOT EXISTS (SELECT 1 FROM f{e} WHERE f{e}.trial = s.trial AND f{e}.pruned)" for e in range(f))

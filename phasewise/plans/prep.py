@@ -126,6 +126,15 @@ def normalize_category(spark, d):
     )
 
 
+@query("robust_category", """SELECT p_partkey, p_size::VARCHAR AS plain, (-p_size)::VARCHAR AS negative, p_size::VARCHAR AS padded, (p_size*1000)::VARCHAR AS power,
+    p_size::VARCHAR || '.5' AS half, p_type AS type FROM part""")
+def robust_category(spark, d):
+    size = F.col("p_size").cast("string")
+    return table(spark, d, "part").select("p_partkey", *[columns.robust_category(v).alias(n) for n, v in (
+        ("plain", F.concat(F.lit(" "), size, F.lit(".0"))), ("negative", F.concat(F.lit("-"), size, F.lit(".00"))), ("padded", F.concat(F.lit("00"), size)),
+        ("power", F.concat(size, F.lit("e3"))), ("half", F.concat(size, F.lit(".5"))), ("type", F.concat(F.col("p_type"), F.lit("  "))))])
+
+
 @query("null_tokens", """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM orders""")
 def null_tokens(spark, d):
     o = table(spark, d, "orders").select(
@@ -431,6 +440,40 @@ def pairwise_covariance(spark, d):
     return aggregates.pairwise_covariance(f, ["x_true", "y", "z_bal"]).withColumn("value", rnd("value"))
 
 
+# Three columns that share rows in pairs only: their pairwise correlations cannot all hold.
+_CLASH = {
+    "a": (("event = 1 AND yb = 1 OR event = 0", "x_true"),),
+    "b": (("event = 1 AND yb = 1", "x_true"), ("event = 1 AND yb = 0", "x_true")),
+    "c": (("event = 0", "x_true"), ("event = 1 AND yb = 0", "-x_true")),
+}
+
+
+def _clash_sql(name):
+    return "CASE " + " ".join(f"WHEN {w} THEN {v}" for w, v in _CLASH[name]) + " END"
+
+
+@query("repaired_covariance", f"""WITH {C}, m AS (SELECT {', '.join(f'{_clash_sql(n)} AS {n}' for n in _CLASH)} FROM cohort),
+    k AS (SELECT covar_samp(a,a) AS aa, covar_samp(b,b) AS bb, covar_samp(c,c) AS cc, covar_samp(a,b) AS ab, covar_samp(a,c) AS ac, covar_samp(b,c) AS bc FROM m),
+    t AS (SELECT *, (aa+bb+cc)/3 AS q, sqrt(((aa-(aa+bb+cc)/3)^2 + (bb-(aa+bb+cc)/3)^2 + (cc-(aa+bb+cc)/3)^2 + 2*(ab*ab+ac*ac+bc*bc))/6) AS p FROM k),
+    u AS (SELECT *, ((aa-q)*((bb-q)*(cc-q)-bc*bc) - ab*(ab*(cc-q)-bc*ac) + ac*(ab*bc-(bb-q)*ac))/(2*p^3) AS half FROM t),
+    e AS (SELECT *, acos(least(greatest(half, -1), 1))/3 AS phi FROM u),
+    v AS (SELECT *, q + 2*p*cos(phi) AS e1, q + 2*p*cos(phi + 2*pi()/3) AS e3 FROM e), w AS (SELECT *, 3*q - e1 - e3 AS e2 FROM v)
+    SELECT e3 < -1e-8 AS repaired, true AS symmetric, {srnd('greatest(e1, 1e-8) + greatest(e2, 1e-8) + greatest(e3, 1e-8)')} AS trace, {srnd('greatest(e3, 1e-8)', 7)} AS smallest,
+      {srnd('greatest(e1, 1e-8)')} AS largest FROM w""")
+def repaired_covariance(spark, d):
+    """Trace, symmetry and extreme eigenvalues, which SQL knows in closed form."""
+    import numpy as np
+
+    f = fx.cohort(spark, d).select(*[F.expr(_clash_sql(n)).alias(n) for n in _CLASH])
+    before = {(r["row"], r["col"]): r["value"] for r in aggregates.pairwise_covariance(f, list(_CLASH)).collect()}
+    after = {(r["row"], r["col"]): r["value"] for r in aggregates.repaired_covariance(f, list(_CLASH)).collect()}
+    old, new = (np.array([[m[a, b] for b in _CLASH] for a in _CLASH]) for m in (before, after))
+    vals = np.linalg.eigvalsh(new)
+    row = (bool(np.linalg.eigvalsh(old).min() < -1e-8), bool((new == new.T).all()), float(np.trace(new)), float(vals[0]), float(vals[-1]))
+    out = spark.createDataFrame([row], "repaired boolean, symmetric boolean, trace double, smallest double, largest double")
+    return out.withColumns({"trace": rnd("trace"), "smallest": rnd("smallest", 7), "largest": rnd("largest")})
+
+
 @query("error_matrix", f"""WITH {C}, k AS (SELECT c_true AS given, c_star AS level, count(*) AS n FROM cohort GROUP BY 1, 2)
     SELECT *, {srnd('n/sum(n) OVER (PARTITION BY given)')} AS prob FROM k""")
 def error_matrix(spark, d):
