@@ -131,6 +131,24 @@ def test_directory_splits_only_overfull(spark):
     assert max(loads.values()) <= 5 and len(buckets) < 8
 
 
+def test_exact_answers_come_from_the_index(spark, odd_docs):
+    """Rows routed by another directory, or an index without a bucket, find nothing; equal keys chain and stay apart by their bytes."""
+    texts = op02_exact.keyed_texts(odd_docs)
+    buckets = op02_exact.directory(texts.select("key").distinct(), 2)
+    index = op02_exact.build_index(texts, buckets)
+    assert len(buckets) > 4 and op02_exact.look_up(texts, index, buckets).count() == odd_docs.count()
+    assert op02_exact.look_up(texts, index, [(0, 0)]).count() < odd_docs.count()
+    lost = index.where("bucket = 0 AND key >= 0")
+    assert op02_exact.look_up(texts, index.exceptAll(lost), buckets).count() == odd_docs.count() - lost.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    same = texts.withColumn("key", F.lit(7).cast("bigint"))
+    one = op02_exact.directory(same.select("key").distinct(), 2)
+    chained = op02_exact.build_index(same, one)
+    n = texts.select("norm").distinct().count()
+    assert sorted(r.chain for r in chained.collect()) == list(range(1, n + 1))
+    key = lambda r: str(r)
+    assert sorted(op02_exact.look_up(same, chained, one).collect(), key=key) == sorted(op02_exact.exact_groups(odd_docs).collect(), key=key)
+
+
 def test_masks_find_every_window():
     for a, b in itertools.combinations_with_replacement(range(op03_decontaminate.WINDOW), 2):
         spans = ({s + i for i, c in enumerate(m) if c == "1"} for m in op03_decontaminate.MASKS for s in range(op03_decontaminate.WINDOW - len(m) + 1))
