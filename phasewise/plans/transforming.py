@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from phasewise.operators import curves
 from phasewise.operators import transforms as tr
 from phasewise.operators.columns import Roles
+from phasewise.plans import draw_sql as ds
 from phasewise.plans import fixtures as fx
 from phasewise.plans.registry import query, rnd, srnd
 
@@ -145,3 +147,29 @@ def transform_stages_round_trip(spark, d):
     p = tr.Pipeline.fit(f, NUM, log=True, residual=True, numeric="zscore", categorical="bits")
     out = p.inverse(p.transform(f))
     return out.select("row_id", *[rnd(c, 5).alias(c) for c in ("x_true", "x_star", "z_bal")], "c_true", "c_star", "z_seg")
+
+
+_SCORE = ds.ppf_sql("least(greatest(sh, 1e-6), 1 - 1e-6)")
+
+
+@query("ecdf_curve", f"""WITH {C}, n AS (SELECT x_true AS x, count(*) AS n FROM cohort GROUP BY 1), t AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS through, sum(n) OVER () AS total FROM n),
+    g AS (SELECT x, (through - 0.5::DOUBLE*n)/total AS u FROM t), w AS (WINDOW_PART),
+    k AS MATERIALIZED (SELECT *, CASE WHEN xl IS NULL THEN greatest(((2*hr+hr2)*sr - hr*sr2)/(hr+hr2), 0) WHEN xr IS NULL THEN greatest(((2*hl+hl2)*sl - hl*sl2)/(hl+hl2), 0)
+      ELSE (3*hr+3*hl)/((2*hr+hl)/sl + (hr+2*hl)/sr) END AS d FROM w),
+    i AS MATERIALIZED (SELECT x, u, d, xr, ur, lead(d) OVER (ORDER BY x) AS dr FROM k), e AS (SELECT min(x) AS lo, arg_min(u, x) AS ulo FROM k),
+    q AS (SELECT row_id, 'known' AS part, x_true AS v FROM cohort UNION ALL SELECT row_id, 'new', x_star FROM cohort),
+    j AS (SELECT q.*, i.*, (v-x)/(xr-x) AS t, xr-x AS h FROM q ASOF LEFT JOIN i ON q.v >= i.x),
+    s AS (SELECT row_id, part, CASE WHEN x IS NULL THEN ulo WHEN xr IS NULL OR v = x THEN u
+      ELSE (1+2*t)*(1-t)*(1-t)*u + t*(1-t)*(1-t)*h*d + t*t*(3-2*t)*ur + t*t*(t-1)*h*dr END AS sh FROM j, e)
+    SELECT row_id, part, {srnd('sh')} AS share, {srnd(_SCORE, 5)} AS score FROM s""".replace("WINDOW_PART", """SELECT x, u, lag(x) OVER o AS xl, lead(x) OVER o AS xr, lead(u) OVER o AS ur,
+      x - lag(x) OVER o AS hl, lead(x) OVER o - x AS hr, (u - lag(u) OVER o)/(x - lag(x) OVER o) AS sl, (lead(u) OVER o - u)/(lead(x) OVER o - x) AS sr,
+      lead(x, 2) OVER o - lead(x) OVER o AS hr2, (lead(u, 2) OVER o - lead(u) OVER o)/(lead(x, 2) OVER o - lead(x) OVER o) AS sr2,
+      lag(x) OVER o - lag(x, 2) OVER o AS hl2, (lag(u) OVER o - lag(u, 2) OVER o)/(lag(x) OVER o - lag(x, 2) OVER o) AS sl2 FROM g WINDOW o AS (ORDER BY x)"""))
+def ecdf_curve(spark, d):
+    """Share and normal score of known and of new values, every distinct value a knot."""
+    f = fx.cohort(spark, d).select("row_id", "x_true", "x_star")
+    curve = curves.fit_ecdf_curve(f, "x_true")
+    asked = f.select("row_id", F.lit("known").alias("part"), F.col("x_true").alias("v")).unionByName(f.select("row_id", F.lit("new").alias("part"), F.col("x_star").alias("v")))
+    out = curves.ecdf_share(curve, asked, "v")
+    out = curves.ecdf_score(curve, out, "v")
+    return out.select("row_id", "part", rnd("share").alias("share"), rnd("score", 5).alias("score"))
