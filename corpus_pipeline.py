@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
 as the next stage's ``docs``. All but the last return the columns of documents.
+
+Edge cases: an empty table stays empty in every stage. Null, empty and wordless texts pass the classifier, link with nothing, hold no
+passage and have size zero, so the mix takes their floor of copies and they still get a shard; texts of any length
+are read whole. Rows without doc_id take no part in the Jaccard join and stay. Rows repeated under one doc_id: the join
+keeps one. Ties go to the smallest doc_id. Columns beside doc_id, text and source pass through, whatever their names.
 """
 
 from __future__ import annotations
