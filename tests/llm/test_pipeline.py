@@ -30,3 +30,22 @@ def test_stages(spark, tmp_path):
     assert docs.count() == mixed.count()
     run = corpus_pipeline.run(spark, SF)
     assert sorted(rows_of(run, "doc_id", "shard")) == sorted(rows_of(docs, "doc_id", "shard"))
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns pass every stage; an empty table stays empty."""
+    docs, kept = odd_docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept.append(collections.Counter(d for d, in rows_of(docs, "doc_id")))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == odd_docs.columns
+        assert stage(spark, no_docs, SF).count() == 0
+    good, single, clean, mixed, sharded = kept
+    # without words: nothing to reject, nothing to link with
+    assert {5, 6, 7} <= set(good) and {5, 6, 7} <= set(single) and {5, 6, 7} <= set(clean)
+    copies = {1, 2, 3, 4, 14} & set(good)
+    assert {1, 2, 3, 4, 14} & set(single) == ({min(copies)} if copies else set())
+    assert all(n == 1 for d, n in single.items() if d is not None)
+    assert single[None] == good[None] and clean <= single and sharded == mixed and set(mixed) <= set(clean)
