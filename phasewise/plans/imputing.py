@@ -262,7 +262,26 @@ def draw_pmm(spark, d):
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"))
 
 
-@query("draw_pmm_chain")
+def donors_sql(seed, tag: str, target: str, k: int = 5, reach: int = 10) -> str:
+    """<ch> (imp_id, row_id, dv): a draw among the k nearest of ``don`` (imp_id, donor, p, v) for every row of ``rec`` (imp_id, row_id, p)."""
+    return f"""dn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY imp_id ORDER BY p, donor) AS rk FROM don),
+    al AS (SELECT imp_id, row_id, p, pos FROM (SELECT imp_id, row_id, p, d, count(*) FILTER (WHERE d = 0) OVER (PARTITION BY imp_id ORDER BY p, d) AS pos
+      FROM (SELECT imp_id, donor AS row_id, p, 0 AS d FROM don UNION ALL SELECT imp_id, row_id, p, 1 FROM rec)) WHERE d = 1),
+    cand AS (SELECT a.imp_id, a.row_id, d.p AS dp, d.donor, abs(d.p-a.p) AS dist FROM (SELECT imp_id, row_id, p, unnest(range(pos-{reach - 1}, pos+{reach + 1})) AS rk FROM al) a JOIN dn d USING (imp_id, rk)),
+    rn AS (SELECT *, row_number() OVER (PARTITION BY imp_id, row_id ORDER BY dist, dp, donor) AS n FROM cand),
+    pk AS (SELECT imp_id, row_id, dp, {fx.skey(seed, f'{tag}|{target}|tie', 'imp_id', 'row_id')} AS tie FROM rn WHERE n = floor({fx.skey(seed, f'{tag}|{target}|pick', 'imp_id', 'row_id')}*{k})+1),
+    num AS (SELECT imp_id, p, v, count(*) OVER (PARTITION BY imp_id, p) AS size,
+      row_number() OVER (PARTITION BY imp_id, p ORDER BY floor({fx.skey(seed, f'{tag}|{target}|salt', 'imp_id', 'donor')}*64), donor) AS place FROM don),
+    ch AS MATERIALIZED (SELECT pk.imp_id, row_id, v AS dv FROM pk JOIN num ON num.imp_id = pk.imp_id AND p = dp AND place = floor(tie*size)+1)"""
+
+
+_PMM_XS = ["1", "x_star", "y"]
+
+
+@query("draw_pmm_chain", f"""WITH {S_SQL}, {ds.draw_norm_sql('pa', 's', 'x_true', _PMM_XS, 7, 'once|x_true', 2)},
+    don AS MATERIALIZED (SELECT imp_id, row_id AS donor, b0 + b1*x_star + b2*y AS p, x_true AS v FROM s, paf, {ds.imps_sql(2)} WHERE r = 1),
+    rec AS MATERIALIZED (SELECT imp_id, row_id, t0 + t1*x_star + t2*y AS p FROM s, pap WHERE r = 0), {donors_sql(7, 'once', 'x_true')}
+    SELECT imp_id, row_id, {srnd('dv')} AS x_true FROM ch UNION ALL SELECT imp_id, row_id, {srnd('x_true')} FROM s, {ds.imps_sql(2)} WHERE r = 1""")
 def draw_pmm_chain(spark, d):
     t = {"x_true": Target("pmm", {"x_star": F.col("x_star"), "y": F.col("y")})}
     return chained.impute_fixed(sampled(spark, d), t, "row_id", 2, 7).select("imp_id", "row_id", rnd("x_true").alias("x_true"))
@@ -372,14 +391,44 @@ def chained_weighted_likelihood(spark, d):
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"), "yb")
 
 
-@query("error_model_impute")
+_RES_XS = ["1", "x_star", "z_bal", "y"]
+_CAT_XS = ["1", "z_bal"]
+_CAT_U = fx.skey(19, "cat|c_true|u", "imp_id", "row_id")
+_UPTO = ["(" + " + ".join(f"w{i}" for i in range(c + 1)) + ")" for c in range(5)]
+ERROR_MODEL = f"""{ds.draw_norm_sql('pa', '(SELECT *, x_star - x_true AS res FROM s)', 'res', _RES_XS, 19, 'resid|x_true|_res', 2)},
+    l AS (SELECT DISTINCT c_true AS v FROM s WHERE r = 1 UNION SELECT DISTINCT c_star FROM s WHERE r = 1),
+    n AS (SELECT c_star AS given, c_true AS level, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL),
+    q AS MATERIALIZED (SELECT given, {', '.join(f"max(CASE WHEN level = '{v}' THEN prob END) AS q{c}" for c, v in enumerate(LEVELS))} FROM (
+      SELECT g.v AS given, e.v AS level, (coalesce(n, 0) + 1)/sum(coalesce(n, 0) + 1) OVER (PARTITION BY g.v) AS prob FROM l g CROSS JOIN l e LEFT JOIN n ON n.given = g.v AND n.level = e.v) GROUP BY 1),
+    sh AS (SELECT {', '.join(f"greatest(count(*) FILTER (c_true = '{v}'), 0.5)/count(*) AS s{c}" for c, v in enumerate(LEVELS))} FROM s WHERE r = 1),
+    {multinomial_sql('c_true', LEVELS, _CAT_XS, '(SELECT * FROM s WHERE r = 1)', 9, 'mq')},
+    ex AS (SELECT imp_id, row_id, r, c_true, x_true, x_star - ({ds.drawn(_RES_XS, 19, 'resid|x_true|_res')}) AS xd, {_CAT_U} AS u,
+      {', '.join(f'coalesce(q{c}, s{c})*exp({e})/s{c} AS w{c}' for c, e in enumerate(['0.0::DOUBLE'] + [f'b{2 * c} + b{2 * c + 1}*z_bal' for c in range(4)]))}
+      FROM s CROSS JOIN pap CROSS JOIN sh CROSS JOIN mq9 LEFT JOIN q ON q.given = s.c_star)"""
+
+
+@query("error_model_impute", f"""WITH {S_SQL}, {ERROR_MODEL} SELECT imp_id, row_id, {srnd('CASE WHEN r = 1 THEN x_true ELSE xd END')} AS x_true,
+    CASE WHEN r = 1 THEN c_true {' '.join(f"WHEN u < {_UPTO[c]}/{_UPTO[4]} THEN '{v}'" for c, v in enumerate(LEVELS[:-1]))} ELSE '{LEVELS[-1]}' END AS c_true FROM ex""")
 def error_model_impute(spark, d):
     out = error_model.error_model_impute(sampled(spark, d), fx.COHORT_ROLES, 2, 19, {"z_bal": F.col("z_bal"), "y": F.col("y")},
                                          {"z_bal": F.col("z_bal")}, {"c_true": LEVELS})
     return out.select("imp_id", "row_id", rnd("x_true").alias("x_true"), "c_true")
 
 
-@query("redraw_out_of_range")
+def _redraw_sql(mean: str, sd: float, lo: float, hi: float, seed, tag: str, target: str, m: int) -> str:
+    """<gen> (imp_id, row_id, r, x_true, g): the first accepted of six draws of every row, else the last."""
+    def value(a):
+        return f"({mean} + {sd}::DOUBLE*{fx.snormal(seed, f'{tag}|{target}|{a}', 'imp_id', 'row_id')})"
+
+    cases = " ".join(
+        f"WHEN {fx.skey(seed, f'{tag}|accept|{a}', 'imp_id', 'row_id')} < exp(0 - pow(greatest(g{a} - {hi}, {lo} - g{a}, 0)/{(hi - lo) / 2!r}, 2)) THEN g{a}" for a in range(6))
+    return f"gen AS MATERIALIZED (SELECT imp_id, row_id, r, x_true, CASE {cases} ELSE g5 END AS g FROM (SELECT s.*, imp_id, {', '.join(f'{value(a)} AS g{a}' for a in range(6))} FROM s, {ds.imps_sql(m)}))"
+
+
+@query("redraw_out_of_range", f"""WITH {S_SQL}, {_redraw_sql('x_star', 0.5, 10.5, 12.8, 20, 'range', 'x_true', 2)},
+    don AS MATERIALIZED (SELECT imp_id, row_id AS donor, g AS p, x_true AS v FROM gen WHERE r = 1),
+    rec AS MATERIALIZED (SELECT imp_id, row_id, g AS p FROM gen WHERE r = 0 AND (g < 10.5 OR g > 12.8)), {donors_sql(20, 'range', 'x_true')}
+    SELECT imp_id, row_id, {srnd('CASE WHEN r = 1 THEN x_true ELSE coalesce(dv, g) END')} AS x_true FROM gen LEFT JOIN ch USING (imp_id, row_id)""")
 def redraw_out_of_range(spark, d):
     s = draws.stack_copies(sampled(spark, d).withColumn("_miss", F.col("x_true").isNull()), 2)
     out = error_model.redraw_out_of_range(s, {"x_true": (F.col("x_star"), F.lit(0.5))}, {"x_true": (10.5, 12.8)}, "_miss", "row_id", 20)
