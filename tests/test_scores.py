@@ -57,3 +57,27 @@ def test_robust_category(spark):
              "9007199254740993": "9007199254740993", "1_000": "1_000", "-0.0": "0"}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "v string").select("v", columns.robust_category("v").alias("r"))
     assert {r.v: r.r for r in df.collect()} == {**cases, None: None}
+
+
+def _all_pairs(x, y, levels):
+    """Energy distance of two lists of (number, level, level) by every pair."""
+    z = np.array([r[0] for r in x + y])
+    z = (z - z.mean()) / z.std(ddof=1)
+    dummies = np.array([[float(r[1 + i] == v) for i, vs in enumerate(levels) for v in vs] for r in x + y])
+    v = np.column_stack([z, dummies])
+    d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+    n = len(x)
+    return max(2 * d[:n, n:].mean() - d[:n, :n].mean() - d[n:, n:].mean(), 0.0)
+
+
+def test_energy_of_one_number_needs_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ev, "_block_sums", None)  # blocks that meet each other are for several numbers
+    rng = np.random.default_rng(3)
+    draw = lambda n, shift: [(float(a), b, c) for a, b, c in zip(
+        np.round(rng.standard_t(2, n) + shift, 1), rng.choice(["p", "q", "r", None], n), rng.choice(["u", "v"], n))]
+    x, y = draw(300, 0.0) + [(40.0, "p", "u")], draw(250, 0.4) + [(-60.0, None, "v")]
+    frames = [spark.createDataFrame(rows, "x double, c string, k string") for rows in (x, y)]
+    got = ev.energy_distance(*frames, ["x"], ["c", "k"]).first()[0]
+    assert got == pytest.approx(_all_pairs(x, y, [["p", "q", "r"], ["u", "v"]]), rel=1e-11)
+    hole = spark.createDataFrame([(None, "p", "u")], "x double, c string, k string")
+    assert ev.energy_distance(frames[0].unionByName(hole), frames[1], ["x"], ["c", "k"]).first()[0] is None
