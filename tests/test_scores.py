@@ -81,3 +81,20 @@ def test_energy_of_one_number_needs_no_pairs(spark, monkeypatch):
     assert got == pytest.approx(_all_pairs(x, y, [["p", "q", "r"], ["u", "v"]]), rel=1e-11)
     hole = spark.createDataFrame([(None, "p", "u")], "x double, c string, k string")
     assert ev.energy_distance(frames[0].unionByName(hole), frames[1], ["x"], ["c", "k"]).first()[0] is None
+
+
+def test_energy_of_several_numbers_ships_blocks_once(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(120, 3))
+    b = np.vstack([a[:60] + 1e-9, rng.normal(size=(40, 3)) + 0.3])  # nearly equal rows: differences, not products
+    frames = [spark.createDataFrame([tuple(map(float, r)) for r in m], "x double, y double, z double") for m in (a, b)]
+    z = np.vstack([a, b])
+    z = (z - z.mean(axis=0)) / z.std(axis=0, ddof=1)
+    d = np.sqrt(((z[:, None, :] - z[None, :, :]) ** 2).sum(axis=2))
+    want = 2 * d[:120, 120:].mean() - d[:120, :120].mean() - d[120:, 120:].mean()
+    out = ev.energy_distance(*frames, ["x", "y", "z"], block_rows=40)
+    assert out.first()[0] == pytest.approx(want, rel=1e-10)
+    one = F.lit(1.0)
+    sums = ev._block_sums(spark.range(10).select(F.lit(0).alias("g"), F.lit(0).alias("_s"), one.alias("_n0"), one.alias("_n1"), "id"), ["g"], [F.col("id") * one], 40)
+    plan = sums._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[:plan.index("Join")]  # met where they were sent, not sent again
