@@ -17,7 +17,7 @@ from phasewise.imputation import draws
 from phasewise.models import multinomial
 from phasewise.operators.aggregates import error_matrix
 from phasewise.operators.columns import Roles
-from phasewise.session import join_small
+from phasewise.session import cut, join_small
 
 
 def impute_residual(df: DataFrame, p1: str, p2: str, terms, key: str, seed, tag: str = "resid") -> DataFrame:
@@ -96,7 +96,8 @@ def redraw_out_of_range(df: DataFrame, draws_at: Mapping[str, tuple[Column, Colu
     d = d.drop("_pick")
     for c in cols:
         # Donors are validated rows; recipients are the values still outside.
-        donors_only = d.where(~F.col(missing) | F.col(f"_out_{c}")).select("imp_id", key, c, f"_gen_{c}", f"_out_{c}")
+        # the draws of a row cost many hashes, and the match reads these few rows four times
+        donors_only = cut(d.where(~F.col(missing) | F.col(f"_out_{c}")).select("imp_id", key, c, f"_gen_{c}", f"_out_{c}"))
         fixed = draws.match_donors(donors_only, c, f"_gen_{c}", f"_out_{c}", key, seed, tag).where(f"_out_{c}").select("imp_id", key, F.col(c).alias("_fix"))
         d = d.join(fixed, ["imp_id", key], "left")
         value = F.when(F.col(f"_out_{c}"), F.col("_fix")).when(F.col(missing), F.col(f"_gen_{c}")).otherwise(F.col(c))
