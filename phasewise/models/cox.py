@@ -1,9 +1,9 @@
 """Proportional hazards with Efron ties over distributed risk sets.
 
-Rows are range-partitioned by (group, time) once and fixed by a checkpoint. Every Newton
-step is two narrow passes: per-partition totals become the risk-set sums entering each
-partition from later times, then each partition walks its own times with numpy. Times on a
-partition boundary may straddle partitions (a hot tie is spread by a hash), so their sums are
+Rows are range-partitioned by (group, time) and sorted once, and fixed by a checkpoint as blocks
+of packed numbers. Every Newton step is two narrow passes over the blocks: per-partition totals become
+the risk-set sums entering each partition from later times, then each partition walks its own times with
+numpy. Times on a partition boundary may straddle partitions (a hot tie is spread by a hash), so their sums are
 kept apart in the first pass and their terms are computed from the totals. What reaches the
 driver is three small vectors per (group, partition), never rows.
 """
@@ -14,13 +14,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from phasewise.models.linear import Fit, _pairs, as_terms, coef_schema, safe_inverse, sandwich, unpack, unsettled
+from phasewise.models.linear import Fit, as_terms, coef_schema, safe_inverse, sandwich, unpack, unsettled
 from phasewise.operators.order import range_parts
-from phasewise.session import join_small, local_frame
+from phasewise.session import cut, drop_cut, join_small, local_frame
 
 MAX_STEPS = 30
 TOLERANCE = 1e-9
@@ -134,44 +136,85 @@ class CoxData:
             *self.by, F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_d"), w.alias("_w"),
             *[c.alias(x) for x, c in zip(xs, self.terms.values())], *[F.col(c).alias(f"_c_{c}") for c in carry],
         ).dropna(subset=["_t", "_d", "_w", *xs])
-        means = rows.agg(*[F.avg(x).alias(x) for x in xs]).first()
-        self.centre = np.array([means[x] or 0.0 for x in xs])
-        rows = rows.withColumns({x: F.col(x) - F.lit(float(m)) for x, m in zip(xs, self.centre)})
         rows = rows.withColumn("_salt", F.xxhash64("_t", *xs, *[f"_c_{c}" for c in carry]))
-        ranged = range_parts(rows, ["_t", "_salt"], self.by).drop("_salt")
+        self.kept = range_parts(rows, ["_t", "_salt"], self.by)
+        means = self.kept.agg(*[F.avg(x).alias(x) for x in xs]).first()
+        self.centre = np.array([means[x] or 0.0 for x in xs])
+        ranged = self.kept.drop("_salt").withColumns({x: F.col(x) - F.lit(float(m)) for x, m in zip(xs, self.centre)})
         edges = ranged.groupBy(*self.by, "_part").agg(F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
         self.rows = join_small(ranged, edges, [*self.by, "_part"], "inner").withColumn(
             "_edge", F.when((F.col("_t") == F.col("_t0")) | (F.col("_t") == F.col("_t1")), F.col("_t"))
         )
         self.sorted = self.rows.sortWithinPartitions(*self.by, "_part", F.desc("_t"))
         self.carry = list(carry)
+        self.packed = self._pack()
+
+    def _pack(self) -> DataFrame:
+        """The sorted numbers t, d, w, x.. of about one Arrow batch of rows a block, no time of a run in two; steps read these."""
+        gp, numbers = [*self.by, "_part"], ["_t", "_d", "_w", *[f"x{i}" for i in range(self.p)]]
+        head = [*gp, "_t0", "_t1"]
+
+        def walk(batches):
+            for pdf in _whole_times(batches, gp):
+                starts = list(_runs(pdf, gp)) + [len(pdf)]
+                runs = [pdf.iloc[a:b] for a, b in zip(starts[:-1], starts[1:])]
+                yield pd.DataFrame({**{c: [g[c].iloc[0] for g in runs] for c in head},
+                                    "_block": [np.ascontiguousarray(g[numbers].to_numpy(dtype=float).T).tobytes() for g in runs]})
+
+        schema = T.StructType([self.rows.schema[c] for c in head] + [T.StructField("_block", T.BinaryType())])
+        return cut(self.sorted.select(*head, *numbers).mapInPandas(walk, schema))
+
+    def drop(self) -> None:
+        """Delete the files of rows and blocks."""
+        drop_cut(self.packed)
+        drop_cut(self.kept)
+
+    def _walk(self, each, finish, schema: T.StructType) -> pd.DataFrame:
+        """``each(state, key, t0, t1, columns)`` for the blocks of every task in order, then its rows ``finish(state)``."""
+        gp, width = [*self.by, "_part"], 3 + self.p
+        names = schema.fieldNames()
+
+        def walk(batches):
+            state = {}
+            for batch in batches:
+                heads = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*gp, "_t0", "_t1"]]
+                blocks = batch.column(batch.schema.get_field_index("_block"))
+                for at, head in enumerate(zip(*heads)):
+                    columns = np.frombuffer(blocks[at].as_buffer(), float).reshape(width, -1)
+                    each(state, head[:-2], *head[-2:], columns)
+            found = finish(state)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), kind.type) for v, kind in zip(zip(*found), to_arrow_schema(schema))], names)
+
+        return self.packed.mapInArrow(walk, schema).toPandas()
 
     def totals(self, betas: dict) -> pd.DataFrame:
         """First pass: sums per (group, partition, boundary time or interior)."""
-        p = self.p
-        d = self.with_beta(self.rows, betas)
-        r = "_w * exp(" + " + ".join(f"_b[{i}] * x{i}" for i in range(p)) + ")"
-        d = d.withColumn("_r", F.expr(r)).withColumn("_re", F.expr("CASE WHEN _d = 1 THEN _r ELSE 0D END"))
-
-        def sums(f):
-            parts = [f"sum({f})"] + [f"sum({f} * x{i})" for i in range(p)] + [f"sum({f} * x{i} * x{j})" for i, j in _pairs(p)]
-            return "array(" + ", ".join(parts) + ")"
-
-        out = d.groupBy(*self.by, "_part", "_edge").agg(
-            F.first("_t0").alias("_t0"), F.expr(sums("_r")).alias("s"), F.expr(sums("_re")).alias("e"),
-            F.sum("_d").alias("d"), F.expr("sum(_w * _d)").alias("dw"),
-            F.expr("array(" + ", ".join(f"sum(_w * _d * x{i})" for i in range(p)) + ")").alias("xs"),
-            F.count("*").alias("n"),
-        )
-        return out.toPandas()
-
-    def with_beta(self, d: DataFrame, betas: dict) -> DataFrame:
-        if not self.named_by:
-            b = next(iter(betas.values()))
-            return d.withColumn("_b", F.array(*[F.lit(float(v)) for v in b]))
-        schema = T.StructType([d.schema[c] for c in self.by] + [T.StructField("_b", T.ArrayType(T.DoubleType()))])
-        pdf = pd.DataFrame([list(k) + [list(v)] for k, v in betas.items()], columns=[*self.by, "_b"])
-        return join_small(d, local_frame(d.sparkSession, pdf, schema), self.by, "inner")
+        p, lay = self.p, self.lay
+        shared = self.packed.sparkSession.sparkContext.broadcast(betas)
+
+        def each(state, key, t0, t1, columns):
+            t, ev, w, x = columns[0], columns[1], columns[2], columns[3:].T
+            r = w * np.exp(x @ shared.value[key[:-1]])
+            sums = np.hstack([lay.of_rows(r, x), (ev * w)[:, None] * x])
+            ends = (t == t0) | (t == t1)
+            for edge, on in [(None, ~ends), *[(v, t == v) for v in {t0, t1}]]:
+                if on.any():
+                    s, e = sums[on], ev[on]
+                    now = np.concatenate([s[:, :lay.width].sum(axis=0), e @ s[:, :lay.width], [e.sum(), e @ w[on]], s[:, lay.width:].sum(axis=0), [on.sum()]])
+                    state[(*key, edge)] = state.get((*key, edge), 0.0) + now
+                    state.setdefault("first", {})[key] = t0
+
+        def finish(state):
+            first, k = state.pop("first", {}), lay.width
+            return [(*at, first[at[:-1]], v[:k].tolist(), v[k:2 * k].tolist(), int(v[2 * k]), v[2 * k + 1], v[2 * k + 2:2 * k + 2 + p].tolist(), int(v[-1]))
+                    for at, v in state.items()]
+
+        numbers = T.ArrayType(T.DoubleType())
+        schema = T.StructType([self.rows.schema[c] for c in [*self.by, "_part"]] + [
+            T.StructField(n, kind) for n, kind in [("_edge", T.DoubleType()), ("_t0", T.DoubleType()), ("s", numbers), ("e", numbers), ("d", T.LongType()),
+                                                   ("dw", T.DoubleType()), ("xs", numbers), ("n", T.LongType())]])
+        return self._walk(each, finish, schema)
 
     def blocks(self, totals: pd.DataFrame):
         """Order boundary times and interiors by time; return edge sums and offsets per interior."""
@@ -205,50 +248,38 @@ class CoxData:
 
     def interior_pass(self, betas: dict, offsets: dict, hazards: bool = False) -> pd.DataFrame:
         """Second pass over rows strictly between boundary times; one small row per run."""
-        by, lay = self.by, self.lay
-        spark = self.rows.sparkSession
-        shared = spark.sparkContext.broadcast((betas, offsets))
-        xs_cols = [f"x{i}" for i in range(self.p)]
-        p = self.p
+        lay, p = self.lay, self.p
+        shared = self.packed.sparkSession.sparkContext.broadcast((betas, offsets))
 
-        def walk(batches):
+        def each(state, key, t0, t1, columns):
             betas, offsets = shared.value
-            gp = [*by, "_part"]
-            now, run, acc = None, None, None
-            for pdf in _whole_times(batches, gp):
-                starts = list(_runs(pdf, gp)) + [len(pdf)]
-                for a, b in zip(starts[:-1], starts[1:]):
-                    g = pdf.iloc[a:b]
-                    key = tuple(g[c].iloc[0] for c in gp)
-                    if key != now:
-                        if acc is not None:
-                            yield _pack(now, acc)
-                        now, run = key, offsets[key].copy()
-                        acc = np.zeros(1 + p + p * p) if not hazards else np.zeros(1 + p)
-                    beta = betas[key[:-1]]
-                    s, e, d, dw, xs, _ = _at_times(lay, g, xs_cols, beta, run)
-                    run = s[-1]
-                    if hazards:
-                        h, bv, _, _, _ = _hazard_terms(lay, s, e, d, dw)
-                        acc += np.concatenate([[h.sum()], bv.sum(axis=0)])
-                    else:
-                        ll, u, info = _event_terms(lay, beta, s, e, d, dw, xs)
-                        acc += np.concatenate([[ll], u, info.ravel()])
-            if acc is not None:
-                yield _pack(now, acc)
-
-        def _pack(key, acc):
-            return pd.DataFrame({**{c: [v] for c, v in zip([*by, "_part"], key)}, "acc": [acc.tolist()]})
+            inside = (columns[0] != t0) & (columns[0] != t1)
+            if not inside.any():
+                return
+            t, ev, w, x = columns[0, inside], columns[1, inside], columns[2, inside], columns[3:, inside].T
+            run, acc = state.get(key) or (offsets[key], 0.0)
+            beta = betas[key[:-1]]
+            s, e, d, dw, xs, _ = _sums_at_times(lay, t, ev, w, x, beta, run)
+            if hazards:
+                h, bv, _, _, _ = _hazard_terms(lay, s, e, d, dw)
+                acc = acc + np.concatenate([[h.sum()], bv.sum(axis=0)])
+            else:
+                ll, u, info = _event_terms(lay, beta, s, e, d, dw, xs)
+                acc = acc + np.concatenate([[ll], u, info.ravel()])
+            state[key] = s[-1], acc
 
-        schema = T.StructType([self.rows.schema[c] for c in [*by, "_part"]] + [T.StructField("acc", T.ArrayType(T.DoubleType()))])
-        need = [*by, "_part", "_t", "_d", "_w", *xs_cols]
-        return self.sorted.where(F.col("_edge").isNull()).select(*need).mapInPandas(walk, schema).toPandas()
+        schema = T.StructType([self.rows.schema[c] for c in [*self.by, "_part"]] + [T.StructField("acc", T.ArrayType(T.DoubleType()))])
+        return self._walk(each, lambda state: [(*key, acc.tolist()) for key, (_, acc) in state.items()], schema)
 
 
 def _at_times(lay: _Sums, g: pd.DataFrame, xs_cols, beta, run):
     """Risk-set and event sums at each distinct time of rows in descending time order."""
-    x = g[xs_cols].to_numpy(dtype=float)
     w, ev, t = g["_w"].to_numpy(dtype=float), g["_d"].to_numpy(dtype=float), g["_t"].to_numpy()
+    return _sums_at_times(lay, t, ev, w, g[xs_cols].to_numpy(dtype=float), beta, run)
+
+
+def _sums_at_times(lay: _Sums, t, ev, w, x, beta, run):
+    """The same for columns."""
     r = w * np.exp(x @ beta)
     rows = lay.of_rows(r, x)
     starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -261,9 +292,9 @@ def _at_times(lay: _Sums, g: pd.DataFrame, xs_cols, beta, run):
 
 def fit_cox(df: DataFrame, time: str, event: str, terms, weight: str | None = None, by: Sequence[str] = (), data: CoxData | None = None) -> Fit:
     """Newton steps; all groups advance together."""
-    data = data or CoxData(df, time, event, terms, weight, by)
+    own, data = data is None, data or CoxData(df, time, event, terms, weight, by)
     p, lay = data.p, data.lay
-    groups = [tuple(r) for r in data.rows.select(*data.by).distinct().collect()]
+    groups = [tuple(r) for r in data.packed.select(*data.by).distinct().collect()]
     betas = {k: np.zeros(p) for k in groups}
     infos, lls, moved, best = {}, {}, {}, {}
     for _ in range(MAX_STEPS):
@@ -293,7 +324,7 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, weight: str | None = No
             break
     else:
         unsettled(f"cox fit of {time}", worst)
-    counts = data.rows.groupBy(*data.by).agg(F.count("*").alias("n"), F.sum("_d").alias("events")).collect()
+    counts = data.kept.groupBy(*data.by).agg(F.count("*").alias("n"), F.sum("_d").alias("events")).collect()
     sizes = {tuple(r[c] for c in data.by): (r["n"], r["events"]) for r in counts}
     out = pd.DataFrame([
         {**dict(zip(data.by, k)), "beta": b.tolist(), "bread": infos[k][0].ravel().tolist(), "cov": infos[k][0].ravel().tolist(),
@@ -302,6 +333,8 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, weight: str | None = No
     ])
     schema = coef_schema(data.rows, data.by)
     table = local_frame(df.sparkSession, out[[f.name for f in schema.fields]], schema)
+    if own:
+        data.drop()
     return Fit("cox", "cox", data.terms, list(data.named_by), table.drop("_all"), True, time, weight, {"event": event})
 
 
@@ -319,7 +352,7 @@ def score_residuals(df: DataFrame, time: str, event: str, terms, key: str, fit:
     inner_by = {}
     for rec in inner.to_dict("records"):
         inner_by.setdefault(tuple(rec[c] for c in data.by), []).append((rec["_part"], np.asarray(rec["acc"])))
-    firsts = {(tuple(r[c] for c in data.by), r["_part"]): r["_t0"] for r in data.rows.select(*data.by, "_part", "_t0").distinct().collect()}
+    firsts = {(tuple(r[c] for c in data.by), r["_part"]): r["_t0"] for r in data.packed.select(*data.by, "_part", "_t0").distinct().collect()}
     for k, v in edges.items():
         h, b, hc, bc, xbar = _hazard_terms(lay, v["s"], v["e"], v["d"], v["dw"])
         steps = [(t, 0, i, np.concatenate([[h[i]], b[i]])) for i, t in enumerate(v["t"])]
@@ -383,10 +416,11 @@ def score_residuals(df: DataFrame, time: str, event: str, terms, key: str, fit:
     return out.select(*by, F.col("_w"), *[F.col(f"_c_{c}").alias(c) for c in carry], *[f"u{i}" for i in range(p)])
 
 
-def dfbeta_cox(fit: Fit, df: DataFrame, time: str, event: str, terms, key: str, weight: str | None = None, prefix: str = "dfbeta_") -> DataFrame:
+def dfbeta_cox(fit: Fit, df: DataFrame, time: str, event: str, terms, key: str, weight: str | None = None, prefix: str = "dfbeta_",
+               data: CoxData | None = None) -> DataFrame:
     """Score residual (times weight) times inverse information, per row."""
     p = len(fit.terms)
-    d = fit.attach(score_residuals(df, time, event, terms, key, fit, weight), ("bread",))
+    d = fit.attach(score_residuals(df, time, event, terms, key, fit, weight, data=data), ("bread",))
     return d.select(*fit.by, key, *[
         F.expr("_w * (" + " + ".join(f"_bread[{i * p + j}] * u{j}" for j in range(p)) + ")").alias(f"{prefix}{n}")
         for i, n in enumerate(fit.names)

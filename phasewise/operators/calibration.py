@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phasewise.models import cox, linear, multinomial
 from phasewise.models.linear import Fit, product_sums, safe_inverse, score_sums, stack_column, unpack
-from phasewise.session import cut, join_small
+from phasewise.session import columns_used, cut, join_small
 
 RAKE_STEPS = 50
 RAKE_TOLERANCE = 1e-12
@@ -117,14 +117,18 @@ def raking_estimate(
     For ``cox`` ``y`` (and ``y_impute``) is ``(time, event)``. Standard errors are those of
     ``two_phase_covariance``: calibration takes the explained part of the second phase away.
     """
-    d = regression_predict_all(two_phase(df, strata, r), imputers, r)
     y_work = y_impute or y
+    # every step scans the rows: the columns that some step reads are kept once
+    d = cut(two_phase(df.select(_columns_read(df, [key, r, strata, y, y_work], imputers, working, final)), strata, r))
+    d = regression_predict_all(d, imputers, r)
     if kind == "cox":
-        fit = cox.fit_cox(d, y_work[0], y_work[1], working)
-        infl = cox.dfbeta_cox(fit, d, y_work[0], y_work[1], working, key, prefix="if_")
+        data = cox.CoxData(d, y_work[0], y_work[1], working, None, (), [key])  # partitioned once, used by both steps
+        fit = cox.fit_cox(d, y_work[0], y_work[1], working, data=data)
+        infl = cox.dfbeta_cox(fit, d, y_work[0], y_work[1], working, key, prefix="if_", data=data)
         names = [f"if_{n}" for n in fit.names]
         # The influence columns cost two passes and a join: keep them, later steps scan them often.
         d = cut(d.join(infl, key, "inner"))
+        data.drop()
     else:
         family = {"gauss": "gaussian", "bin": "binomial"}[kind]
         fit = linear.fit_glm(d, y_work, working, family)
@@ -136,8 +140,9 @@ def raking_estimate(
     # the validated rows are read by the fit and by three sums after it
     d = cut(rake(d, aux, "w", r).where(F.col(r) == 1))
     if kind == "cox":
-        fit = cox.fit_cox(d, y[0], y[1], final, "w_cal")
-        scores = cox.score_residuals(d, y[0], y[1], final, key, fit, "w_cal").drop("_w")
+        data = cox.CoxData(d, y[0], y[1], final, "w_cal", (), [key])
+        fit = cox.fit_cox(d, y[0], y[1], final, "w_cal", data=data)
+        scores = cox.score_residuals(d, y[0], y[1], final, key, fit, "w_cal", data=data).drop("_w")
         scores = scores.withColumnsRenamed({f"u{i}": f"z{i}" for i in range(len(fit.names))}).join(d, key, "inner")
     else:
         fit = linear.fit_glm(d, y, final, {"gauss": "gaussian", "bin": "quasibinomial"}[kind], "w_cal")
@@ -145,6 +150,14 @@ def raking_estimate(
     return two_phase_covariance(fit, scores, aux, strata)
 
 
+def _columns_read(df: DataFrame, names: Sequence, imputers: Mapping[str, tuple[str, object]], *terms) -> list[str]:
+    """Columns of ``df`` that a raking estimate reads."""
+    flat = {n for name in names if name for n in ([name] if isinstance(name, str) else name)} | set(imputers)
+    known = df.withColumns({f"{t}_impute": F.lit(0.0) for t in imputers})
+    inner = [spec[1][1] if spec[0] == "multinomial" else spec[1] for spec in imputers.values()]
+    return [c for c in df.columns if c in flat | set(columns_used(known, *[v for t in [*inner, *terms] for v in linear.as_terms(t).values()]))]
+
+
 def two_phase_covariance(fit: Fit, scores: DataFrame, aux: Sequence[str], strata: str | None = None, w: str = "w", w_cal: str = "w_cal", prob: str = "prob") -> Fit:
     """``fit`` with the covariance of an estimate from a phase-2 sample whose weights were calibrated on ``aux``.
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from phasewise.imputation import chained
 from phasewise.imputation.chained import Target
 from phasewise.models import linear
-from phasewise.operators import calibration, columns, evaluation, joins
+from phasewise.operators import calibration, columns, designs, evaluation, joins
 from phasewise.plans import fixtures as fx
-from phasewise.plans.imputing import sampled
 from phasewise.plans.registry import query, rnd, srnd
+from phasewise.plans.sampling import SHARE
+from phasewise.session import cut
 from phasewise.sources import tables as src
 
 WINDOW = (-2.0, 0.5)
@@ -46,8 +47,9 @@ def cohort_preparation(spark, d):
 @query("method_comparison")
 def method_comparison(spark, d):
     """One outcome model by five methods, in the long estimate format."""
-    full = fx.cohort(spark, d)
-    s = sampled(spark, d)
+    # five methods scan the rows some fifteen times: tables are joined once
+    full = cut(fx.cohort(spark, d).select("row_id", "x_true", "x_star", "z_bal", "y"))
+    s = designs.srs(full, "row_id", int(full.count() * SHARE), 1, ["x_true"])
     x = {"x": F.col("x_true"), "z": F.col("z_bal")}
     true = linear.coef_table(linear.fit_lm(full, "y", x))
     naive = linear.coef_table(linear.fit_lm(full, "y", {"x": F.col("x_star"), "z": F.col("z_bal")}))

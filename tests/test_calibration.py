@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from phasewise.functions.keyed import uniform
 from phasewise.models import linear
 from phasewise.operators import calibration
 from phasewise.session import local_frame
@@ -75,3 +77,22 @@ def test_lone_rows_and_null_scores(spark):
     scores = linear.residuals(fit, d, "_e").selectExpr("*", "IF(row_id % 17 = 0, NULL, _e) AS z0", "_e * x AS z1")
     cov = calibration.two_phase_covariance(fit, scores, ["xs"], "h").local()["cov"]
     assert np.isfinite(cov).all() and (np.diag(cov) > 0).all()
+
+
+def test_raking_estimate_reads_its_rows_once(spark):
+    """Every step scans the rows; the table behind them is worked out once, and only the columns that a step reads."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(v):
+        seen.add(1)
+        return float(v)
+
+    n = 400
+    df = spark.range(n).select(
+        "id", costly(uniform(3, "s", "id")).alias("s"), F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("R"),
+        uniform(3, "e", "id").alias("e"), costly(F.lit(1.0) * F.col("id")).alias("unread"))
+    df = df.withColumns({"y": F.col("s") + F.col("e"), "x": F.when(F.col("R") == 1, F.col("s") + 0.1 * F.col("e"))})
+    fit = calibration.raking_estimate(df, "gauss", "id", {"x": ("gaussian", ["s"])}, {"x": F.col("x_impute")}, {"x": F.col("x")}, "y")
+    assert fit.table.count() == 1
+    assert seen.value <= 3 * n
