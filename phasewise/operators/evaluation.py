@@ -15,7 +15,7 @@ from phasewise.functions.scalar import expit
 from phasewise.functions.tails import t_ppf_array
 from phasewise.operators.columns import Roles
 from phasewise.operators.order import exact_quantiles
-from phasewise.session import join_small, per_row_numpy, settle
+from phasewise.session import cut, join_small, per_row_numpy, settle
 
 LARGE_T_DF = 1e12
 
@@ -74,6 +74,7 @@ def category_error(true: DataFrame, imp: DataFrame, roles: Roles, by: Sequence[s
 BLOCK_VALUES = 2_000_000
 BLOCK = 2_000
 TILE = (128, 1_000)
+MOST_PARTS = 256
 # One numeric column: width of a box of the line, polynomials of a box, most combinations of levels.
 BOX = 0.5
 DEGREE = 18
@@ -139,7 +140,8 @@ def _block_sums(rows: DataFrame, by: Sequence[str], parts: Sequence[Column], blo
 
     Each group's rows are packed into blocks of about ``block_rows`` numbers of rows, in smaller groups into as many as there are
     cores. Only blocks of one group meet, each two once, and each task reduces two blocks to one number: no pair of rows is
-    ever a row of a table. What travels is the input times the number of blocks.
+    ever a row of a table. The blocks are kept once; where at least a quarter of all pairs of blocks are of one group, partitions
+    meet by reading them, so that what is shuffled and written grows with the rows. Many small groups are shuffled to their pairs.
     """
     width, cores = len(parts), rows.sparkSession.sparkContext.defaultParallelism
     n = F.col("_n0") + F.col("_n1")
@@ -148,10 +150,8 @@ def _block_sums(rows: DataFrame, by: Sequence[str], parts: Sequence[Column], blo
     packed = rows.withColumn("b", F.pmod(F.xxhash64("v"), F.col("_nb")).cast("int")).groupBy(*by, "_nb", "_s", "b").agg(
         F.collect_list("v").alias("v"), F.collect_list("c").alias("c"))  # about block_rows rows
     packed = packed.select(*by, (F.col("_s") * F.col("_nb") + F.col("b")).alias("id"), "_nb", "_s", F.flatten("v").alias("v"), "c")
-    left = packed.select(*by, F.col("id").alias("i"), F.col("_s").alias("s1"), F.col("v").alias("v1"), F.col("c").alias("c1"),
-                         F.explode(F.sequence(F.col("id"), 2 * F.col("_nb") - 1)).alias("j"))
-    right = packed.select(*by, F.col("id").alias("j"), F.col("_s").alias("s2"), F.col("v").alias("v2"), F.col("c").alias("c2"),
-                          F.explode(F.sequence(F.lit(0), F.col("id"))).alias("i"))
+    sizes = rows.select(*by, "_nb").distinct().agg(F.sum("_nb").alias("n"), F.sum(F.col("_nb") * F.col("_nb")).alias("n2"),
+                                                   F.sum(F.col("_nb") * (2 * F.col("_nb") + 1)).alias("pairs")).first()
 
     def reduce_pairs(batches):
         for pdf in batches:
@@ -166,11 +166,22 @@ def _block_sums(rows: DataFrame, by: Sequence[str], parts: Sequence[Column], blo
                 total.append(2.0 * part if r.s1 == r.s2 and r.i != r.j else part)
             yield pdf[[*by, "s1", "s2"]].assign(total=total)
 
-    # one shuffle a side, about one pair of blocks a partition
-    on, most = [*by, "i", "j"], packed.groupBy(*by).agg(F.max("_nb").alias("n")).agg(F.sum(F.col("n") * (2 * F.col("n") + 1))).first()[0]
-    count = int(max(cores, min(most or 1, 20_000)))
-    pairs = left.repartition(count, *on).join(right.repartition(count, *on), on, "inner")
-    pairs = pairs.select(*on, "s1", "s2", "v1", "v2", "c1", "c2")
+    on, all_blocks = [*by, "i", "j"], 2 * (sizes["n"] or 1)
+    sides = [[*by, F.col("id").alias(at), F.col("_s").alias(f"s{k}"), F.col("v").alias(f"v{k}"), F.col("c").alias(f"c{k}")] for at, k in (("i", 1), ("j", 2))]
+    if (sizes["n"] or 1) > 1 and 4 * sizes["n2"] >= sizes["n"] ** 2:
+        # about one block a partition; a task reads one partition of either side
+        packed = cut(packed.repartition(int(min(all_blocks, MOST_PARTS))))
+        left, right = packed.select(*sides[0]).alias("l"), packed.select(*sides[1]).alias("r")
+        same = F.col("i") <= F.col("j")
+        for c in by:
+            same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+        pairs = left.hint("shuffle_replicate_nl").join(right, same, "inner").select(*[F.col(f"l.{c}") for c in by], "i", "j", "s1", "s2", "v1", "v2", "c1", "c2")
+    else:
+        # one shuffle a side, about one pair of blocks a partition
+        count = int(max(cores, min(sizes["pairs"], 20_000)))
+        left = packed.select(*sides[0], F.explode(F.sequence(F.col("id"), 2 * F.col("_nb") - 1)).alias("j"))
+        right = packed.select(*sides[1], F.explode(F.sequence(F.lit(0), F.col("id"))).alias("i"))
+        pairs = left.repartition(count, *on).join(right.repartition(count, *on), on, "inner").select(*on, "s1", "s2", "v1", "v2", "c1", "c2")
     return pairs.mapInPandas(reduce_pairs, f"{_kinds(rows, by)}s1 int, s2 int, total double")
 
 

@@ -98,3 +98,15 @@ def test_energy_of_several_numbers_ships_blocks_once(spark):
     sums = ev._block_sums(spark.range(10).select(F.lit(0).alias("g"), F.lit(0).alias("_s"), one.alias("_n0"), one.alias("_n1"), "id"), ["g"], [F.col("id") * one], 40)
     plan = sums._jdf.queryExecution().sparkPlan().toString()
     assert "Exchange" in plan and "Exchange" not in plan[:plan.index("Join")]  # met where they were sent, not sent again
+
+
+def test_blocks_of_one_large_group_meet_without_shuffles(spark):
+    n = F.lit(500.0)
+    rows = spark.range(1000).select(F.lit(0).alias("g"), (F.col("id") % 2).cast("int").alias("_s"), n.alias("_n0"), n.alias("_n1"), F.col("id").cast("double").alias("v"))
+    sums = ev._block_sums(rows, ["g"], [F.col("v"), F.lit(0.0)], 100)
+    assert "Exchange" not in sums._jdf.queryExecution().sparkPlan().toString()  # kept blocks are read by every task
+    got = {(r.s1, r.s2): r.total for r in sums.groupBy("s1", "s2").agg(F.sum("total").alias("total")).collect()}
+    v = np.arange(1000.0)
+    d = np.abs(v[:, None] - v[None, :])
+    want = {(0, 0): d[::2, ::2].sum(), (1, 1): d[1::2, 1::2].sum(), (0, 1): d[::2, 1::2].sum()}
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
