@@ -26,9 +26,9 @@ FIRST, GROWTH = 4, 16
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parity bits of a set of 64-bit hashes; at least two bits for an element, a power of two."""
+    """Parity bits of a set of 64-bit hashes; at least one bit for an element, a power of two."""
     bits = 256
-    while bits < 2 * len(elements):
+    while bits < len(elements):
         bits *= 2
     odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -140,6 +140,105 @@ def short_handle(column) -> Column:
     return F.shiftrightunsigned(column, 24)
 
 
+# Bytes of a packed key and handle, postings packed at a time, and buckets for each shuffle partition.
+KEY_BYTES, H_BYTES, CHUNK, BUCKETS = 6, 5, 1 << 20, 8
+LISTS = "key bigint, a bigint, b bigint, c bigint, s bigint, x bigint"
+PACKED = "bucket int, key binary, h binary, lists binary"
+
+
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of each number, one byte plane after the other: planes of sorted numbers compress."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<i8")
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (key, a, b, c, s, x) with one row left for each key, sorted by it."""
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    at = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+    by = (np.minimum, np.maximum, np.add, np.add, np.bitwise_xor)
+    return np.stack([rows[0, at], *[f.reduceat(r, at) for f, r in zip(by, rows[1:])]])
+
+
+def _pack_task(buckets: int):
+    """Postings (key, h) to packed pieces, one for each bucket of keys; keys met twice become a row of a list."""
+
+    def pieces(batches):
+        table = pa.Table.from_batches(batches)
+        key, h = (table.column(c).to_numpy() for c in ("key", "h"))
+        order = np.argsort(key, kind="stable")
+        key, h = key[order], h[order]
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        lone = new[1:] & new[:-1]
+        many = np.stack([key, h, h, np.ones(len(h), np.int64), h, h])[:, ~lone]
+        many = _summed(many) if many.shape[1] else many
+        key, h = key[lone], h[lone]
+        bucket, of_many = (((k.view(np.uint64) >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32) for k in (key, np.ascontiguousarray(many[0])))
+        kinds = np.union1d(bucket, of_many)
+        lo, hi, lo2, hi2 = (np.searchsorted(b, kinds, side) for b in (bucket, of_many) for side in ("left", "right"))
+        out = [
+            pa.array(kinds.astype(np.int32)),
+            pa.array([_pack(key[a:b], KEY_BYTES) for a, b in zip(lo, hi)], pa.binary()),
+            pa.array([_pack(h[a:b], H_BYTES) for a, b in zip(lo, hi)], pa.binary()),
+            pa.array([many[:, a:b].tobytes() for a, b in zip(lo2, hi2)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(out, ["bucket", "key", "h", "lists"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                yield pieces(held)
+                held, rows = [], 0
+        if rows:
+            yield pieces(held)
+
+    return run
+
+
+def _lists_task(batches):
+    """The lists of whole buckets with two members or more."""
+
+    def work(parts):
+        rows = []
+        for key, h, lists in parts:
+            key, h = _unpack(key, KEY_BYTES), _unpack(h, H_BYTES)
+            rows += [np.stack([key, h, h, np.ones(len(h), np.int64), h, h]), np.frombuffer(lists, np.int64).reshape(6, -1)]
+        found = _summed(np.concatenate(rows, axis=1))
+        found = found[:, found[1] < found[2]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["key", "a", "b", "c", "s", "x"])
+
+    now, parts = None, []
+    for batch in batches:
+        for bucket, *part in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now and parts:
+                yield work(parts)
+                parts = []
+            now = bucket
+            parts.append(part)
+    if parts:
+        yield work(parts)
+
+
+def shared_lists(postings: DataFrame) -> DataFrame:
+    """(key, a, b, c, s, x) of the keys that different h post: least, largest, number, sum and exclusive or of their h.
+
+    Nearly all keys are posted once. Postings travel packed, so a posting takes its few bytes however many partitions there are,
+    and a key that many sets post is summed up before it travels.
+    """
+    buckets = BUCKETS * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = postings.select("key", "h").mapInArrow(_pack_task(buckets), PACKED)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lists_task, LISTS)
+
+
 def link_components(postings: DataFrame, nodes: DataFrame, check, num: int, den: int) -> DataFrame:
     """(id, component) over ids that have a link; ids without one are absent.
 
@@ -147,11 +246,7 @@ def link_components(postings: DataFrame, nodes: DataFrame, check, num: int, den:
     the stored table ``pairs`` that link by the exact sets.
     """
     # lists of the same members say the same: one of them is enough (sum and exclusive or tell members apart)
-    # (both repeat the bytes of a lone member and so compress away in the shuffle)
-    lists = postings.groupBy("key").agg(
-        F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c"), F.sum("h").alias("s"), F.bit_xor("h").alias("x"),
-    )
-    lists = store(lists.where("a < b").groupBy("a", "b", "c", "s", "x").agg(F.min("key").alias("key")), "lists")
+    lists = store(shared_lists(postings).groupBy("a", "b", "c", "s", "x").agg(F.min("key").alias("key")), "lists")
     two = lists.where("c = 2").select(F.col("a").alias("ha"), F.col("b").alias("hb")).distinct()
     twins = nodes.groupBy("h").count().where("count > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
     two = store(_possible(two.unionByName(twins), nodes, num, den), "pairs")
