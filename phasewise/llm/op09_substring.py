@@ -22,18 +22,21 @@ pass through ``strip``.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import WORD, discard, doc_words, join_checked, list_array, mix, shingles, signed, store
+from phasewise.llm.common import WORD, discard, doc_words, join_checked, list_array, mix, shingles, signed, store, whole_groups
 from phasewise.llm.linkage import ends_of, link_components, short_handle, short_key, sketch, verified
 
 WORDS, NUM, DEN, MIN_WORDS = 5, 8, 10, 50
 RECALL, MOST_HASHES = 0.999, 80
 RUN, GRAM = 50, 20
+# Places of one least hash that meet in one task; of more, runs are counted by aggregates.
+MEET = 4096
 # Rows of the bitmap of documents that may hold a repeat, 64 bits each.
 BITMAP = 1 << 18
 
@@ -48,27 +51,31 @@ def tuned(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) ->
 
 
 BANDS, ROWS = tuned(NUM / DEN)
-_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BAND = mix(_SALTS) | np.uint64(1)  # weights of the values of a band, other ones in each
 
 
 def bands(elements: np.ndarray) -> np.ndarray:
-    """Band keys of a set of 64-bit hashes."""
+    """Band keys of a set of 64-bit hashes; an odd factor orders such hashes anew, so the least of each order is a MinHash."""
     low = np.full(len(_SALTS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(elements), 512):
-        low = np.minimum(low, mix(elements[at : at + 512, None] ^ _SALTS[None, :]).min(axis=0))
-    low = low.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        out = mix(out + low[:, r])
-    return out
+        low = np.minimum(low, (elements[at : at + 512, None] * _SALTS[None, :]).min(axis=0))
+    return mix((low * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64))
+
+
+@lru_cache(maxsize=1)
+def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    both = mix(at) | np.uint64(1)
+    return both[:n], both[n:]
 
 
 def _sequence(words: np.ndarray) -> np.ndarray:
-    """128 bits of a word sequence."""
-    at = np.arange(1, len(words) + 1, dtype=np.uint64)
-    one = mix(words + at * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-    two = mix(words ^ mix(at)).sum(dtype=np.uint64)
-    return signed(mix(np.array([one + np.uint64(len(words)), two], np.uint64)))
+    """128 bits of a word sequence: two sums of its words, weighted by place."""
+    n = len(words)
+    first, second = _weights(1 << 12) if n <= 1 << 12 else _weights.__wrapped__(n)
+    one, two = (words * first[:n]).sum(dtype=np.uint64), (words * second[:n]).sum(dtype=np.uint64)
+    return signed(mix(np.array([one + np.uint64(n), two], np.uint64)))
 
 
 def _paragraphs(texts: pa.Array):
@@ -189,7 +196,7 @@ def _runs(texts: pa.Array, gone: list):
 
 
 def _anchors_task(batches):
-    """The least hashes of a text and how many places each has at least, one or two."""
+    """The least hashes of a text and at how many places each stands at least."""
     for batch in batches:
         out: list[list] = [[], [], []]
         ids = batch.column(0).to_pylist()
@@ -201,51 +208,98 @@ def _anchors_task(batches):
             kinds, which = np.unique(least[first], return_inverse=True)
             out[0].append(signed(kinds))
             out[1].append(np.full(len(kinds), ids[row], np.int64))
-            out[2].append(np.minimum(np.bincount(which, times), 2).astype(np.int32))
+            out[2].append(np.bincount(which, times).astype(np.int64))
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["least", "doc_id", "times"])
 
 
 def _windows_task(batches):
-    """Two hashes of every run whose least hash is repeated."""
+    """Stretches of runs with one repeated least hash: a hash of every run."""
     for batch in batches:
-        ids, wanted = batch.column(0).to_pylist(), batch.column(3)
+        ids, wanted, hot = batch.column(0).to_pylist(), batch.column(3), batch.column(4)
         for row, words, places in _runs(batch.column(1), batch.column(2).to_pylist()):
-            places = places[np.isin(signed(_least(words))[places], wanted[row].values.to_numpy())]
-            lo = signed(_wide(words, RUN))[places]
-            hi = (_wide(mix(words ^ np.uint64(0xA0761D6478BD642F)), RUN) >> np.uint64(32)).astype(np.uint32).view(np.int32)[places]
-            for a in range(0, len(places), 65536):
-                cut = slice(a, a + 65536)
-                n = len(places[cut])
+            least = signed(_least(words))[places]
+            some = np.isin(least, wanted[row].values.to_numpy())
+            places, least = places[some], least[some]
+            lo = _wide(words, RUN)[places]
+            if not len(lo):
+                continue
+            fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(places) != 1)])
+            fresh[::1024] = True
+            for a in range(0, len(lo), 65536):
+                at = np.flatnonzero(fresh[a : a + 65536]) + a
+                of = least[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lo[cut]), pa.array(hi[cut]), pa.array(np.full(n, ids[row], np.int64)), pa.array(places[cut].astype(np.int32))], ["lo", "hi", "doc_id", "at"]
+                    [
+                        pa.array(of), pa.array(np.isin(of, hot[row].values.to_numpy())), pa.array(np.full(len(at), ids[row], np.int64)),
+                        pa.array(places[at].astype(np.int32)), list_array(np.split(lo[a : a + 65536], at[1:] - a)),
+                    ],
+                    ["least", "hot", "doc_id", "at", "lo"],
                 )
 
 
+LATER = "doc_id bigint, at int, n int, keep_doc_id bigint, keep_word int"
+
+
+def _later_task(batches):
+    """Runs that stood before and their first places, consecutive ones as one row; stretches come sorted by hash and place."""
+    for table in whole_groups(batches, ["least"], 4096):
+        runs = table.column("lo").chunk(0)
+        lens, lo = runs.value_lengths().to_numpy(), runs.flatten().to_numpy()
+        inside = np.arange(len(lo)) - np.repeat(np.cumsum(lens) - lens, lens)
+        least, doc, at = (np.repeat(table.column(c).to_numpy(), lens) for c in ("least", "doc_id", "at"))
+        at = at + inside
+        order = np.lexsort((lo, least))  # stable: the first of equal runs is the first place
+        same = (least[order][1:] == least[order][:-1]) & (lo[order][1:] == lo[order][:-1])
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
+        first = np.empty_like(order)
+        first[order] = order[head]
+        later = np.flatnonzero((doc != doc[first]) | (at - at[first] >= RUN))
+        if not len(later):
+            continue
+        doc, at, keep_doc, keep = doc[later], at[later], doc[first[later]], at[first[later]]
+        on = (np.diff(doc) == 0) & (np.diff(at) == 1) & (np.diff(keep_doc) == 0) & (np.diff(keep) == 1)
+        fresh = np.flatnonzero(np.concatenate([[True], ~on]))
+        n = np.diff(np.append(fresh, len(doc)))
+        i32 = pa.int32()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[fresh]), pa.array(at[fresh], i32), pa.array(n, i32), pa.array(keep_doc[fresh]), pa.array(keep[fresh], i32)],
+            ["doc_id", "at", "n", "keep_doc_id", "keep_word"],
+        )
+
+
 def spans(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, first_word, n_words, keep_doc_id, keep_word): spans to remove beside the paragraphs ``lines``, with the first place of a span's first run."""
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     gone = store(lines.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("part").alias("gone")), "gone")
     masked = lambda t: join_checked(t, gone, F.expr("doc_id = _id"), "left", 64).select("doc_id", "text", "gone")
-    anchors = store(masked(text).mapInArrow(_anchors_task, "least bigint, doc_id bigint, times int"), "anchors")
-    twice = store(anchors.groupBy("least").agg(F.sum("times").alias("n")).where("n > 1").select("least"), "twice")
-    need = store(join_checked(anchors, twice, "least", "inner", 8).groupBy("doc_id").agg(F.collect_set("least").alias("wanted")), "need")
+    anchors = store(masked(text).mapInArrow(_anchors_task, "least bigint, doc_id bigint, times bigint"), "anchors")
+    twice = store(anchors.groupBy("least").agg(F.sum("times").alias("n")).where("n > 1"), "twice")
+    need = join_checked(anchors.select("least", "doc_id"), twice, "least", "inner", 16)
+    hot = F.collect_set(F.when(F.col("n") > MEET, F.col("least"))).alias("hot")
+    need = store(need.groupBy("doc_id").agg(F.collect_set("least").alias("wanted"), hot), "need")
     discard(anchors, twice)
     # texts without a repeated hash are left out before their shuffle, by a bitmap of bounded size
     bit = F.xxhash64("doc_id")
     cell, mask = F.pmod(F.shiftright(bit, 6), F.lit(BITMAP)), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 AS int))")
     bitmap = need.groupBy(cell.alias("_cell")).agg(F.bit_or(mask).alias("_bits"))
     some = text.join(F.broadcast(bitmap), cell == F.col("_cell")).where(F.col("_bits").bitwiseAND(mask) != 0).select("doc_id", "text")
-    windows = join_checked(masked(some), need, "doc_id", "inner", 256).select("doc_id", "text", "gone", "wanted")
-    windows = store(windows.mapInArrow(_windows_task, "lo bigint, hi int, doc_id bigint, at int"), "windows")
-    first = windows.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    first = store(first.select("lo", "hi", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.at").alias("keep_word")), "first")
-    later = join_checked(windows, first, ["lo", "hi"], "inner", 40).where(f"doc_id <> keep_doc_id OR at - keep_word >= {RUN}")
-    later = later.select("doc_id", "at", "keep_doc_id", "keep_word").distinct()
-    order = Window.partitionBy("doc_id").orderBy("at", "keep_doc_id", "keep_word")
-    fresh = F.coalesce((F.col("at") - F.lag("at").over(order) > RUN).cast("int"), F.lit(1))
-    numbered = later.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order))
-    found = numbered.groupBy("doc_id", "span").agg(F.min(F.struct("at", "keep_doc_id", "keep_word")).alias("f"), F.max("at").alias("last"))
+    windows = join_checked(masked(some), need, "doc_id", "inner", 256).select("doc_id", "text", "gone", "wanted", "hot")
+    windows = store(windows.mapInArrow(_windows_task, "least bigint, hot boolean, doc_id bigint, at int, lo array<bigint>"), "windows")
+    # equal runs have the same least hash, so they meet where its stretches do
+    few = windows.where("NOT hot").select("least", "doc_id", "at", "lo")
+    few = few.repartition("least").sortWithinPartitions("least", "doc_id", "at").mapInArrow(_later_task, LATER)
+    many = windows.where("hot").select("least", "doc_id", "at", F.posexplode("lo").alias("pos", "lo"))
+    many = many.select("least", "lo", "doc_id", (F.col("at") + F.col("pos")).alias("at"))
+    first = many.groupBy("least", "lo").agg(F.min(F.struct("doc_id", "at")).alias("keep"))
+    first = store(first.select("least", "lo", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.at").alias("keep_word")), "first")
+    many = join_checked(many, first, ["least", "lo"], "inner", 40).where(f"doc_id <> keep_doc_id OR at - keep_word >= {RUN}")
+    later = few.unionByName(many.select("doc_id", "at", F.lit(1).alias("n"), "keep_doc_id", "keep_word"))
+    order = Window.partitionBy("doc_id").orderBy("at", "keep_doc_id", "keep_word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.col("at") + F.col("n") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = later.withColumn("fresh", F.coalesce((F.col("at") - reach > RUN).cast("int"), F.lit(1)))
+    numbered = numbered.withColumn("span", F.sum("fresh").over(order))
+    found = numbered.groupBy("doc_id", "span").agg(F.min(F.struct("at", "keep_doc_id", "keep_word")).alias("f"), F.max(F.col("at") + F.col("n") - 1).alias("last"))
     return found.select(
         "doc_id", F.col("f.at").alias("first_word"), (F.col("last") - F.col("f.at") + RUN).alias("n_words"),
         F.col("f.keep_doc_id").alias("keep_doc_id"), F.col("f.keep_word").alias("keep_word"),
