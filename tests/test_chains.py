@@ -116,3 +116,17 @@ def test_chisq_has_its_moments(df):
 def test_columns_used(spark):
     df = spark.range(1).selectExpr("id", "1 AS a", "2 AS b", "3 AS c")
     assert columns_used(df, F.col("a") + 1, F.when(F.col("c") > 0, F.lit(1))) == ["a", "c"]
+
+
+def test_weighted_likelihood_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    df = spark.range(0, 400, 1, 2).select(F.lit(1).alias("imp_id"), (normal(4, "x", "id") * 2).alias("x"), normal(4, "e", "id").alias("e"))
+    df = df.select("imp_id", "x", (F.col("x") + F.col("e")).alias("y")).mapInPandas(count, "imp_id int, x double, y double")
+    weighted_likelihood.fit_weighted_likelihoods(df, "y", ["x"], (-1.0, 1.0), (0.9, 0.5, 0.9), ["imp_id"])
+    assert read.value == 400
