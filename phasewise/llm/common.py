@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -63,6 +64,20 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, width: int) ->
     return left.join(F.broadcast(right) if small(right, width) else right, on, how)
 
 
+def tidy(task):
+    """``task`` of a mapInArrow; the worker, which Spark keeps for later stages, then gives back what the task has freed."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not in every C library
+                trim(0)
+
+    return run
+
+
 # --- words of Arrow text columns -------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240607)

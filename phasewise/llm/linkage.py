@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import components, discard, join_checked, store
+from phasewise.llm.common import components, discard, join_checked, store, tidy
 
 # Members of a list that are compared in one task; longer lists are split into pairs of tiles.
 TILE = 4096
@@ -176,7 +176,8 @@ def _pack_task(buckets: int):
         key, h = key[order], h[order]
         new = np.concatenate([[True], key[1:] != key[:-1], [True]])
         lone = new[1:] & new[:-1]
-        many = np.stack([key, h, h, np.ones(len(h), np.int64), h, h])[:, ~lone]
+        twice = h[~lone]
+        many = np.stack([key[~lone], twice, twice, np.ones(len(twice), np.int64), twice, twice])
         many = _summed(many) if many.shape[1] else many
         key, h = key[lone], h[lone]
         bucket, of_many = (((k.view(np.uint64) >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32) for k in (key, np.ascontiguousarray(many[0])))
@@ -235,8 +236,8 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     and a key that many sets post is summed up before it travels.
     """
     buckets = BUCKETS * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = postings.select("key", "h").mapInArrow(_pack_task(buckets), PACKED)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lists_task, LISTS)
+    packed = postings.select("key", "h").mapInArrow(tidy(_pack_task(buckets)), PACKED)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_lists_task), LISTS)
 
 
 def link_components(postings: DataFrame, nodes: DataFrame, check, num: int, den: int) -> DataFrame:
@@ -268,7 +269,7 @@ def link_components(postings: DataFrame, nodes: DataFrame, check, num: int, den:
         labelled = labelled.withColumn("comp", F.coalesce("component", "h")).drop("component")
         found = store(
             labelled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_list_task(num, den, most), "a bigint, b bigint, key bigint, i bigint, j bigint"),
+            .mapInArrow(tidy(_list_task(num, den, most)), "a bigint, b bigint, key bigint, i bigint, j bigint"),
             "found",
         )
         discard(*spent)
@@ -307,7 +308,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
             ends = np.sort(np.stack([chosen.column(0).to_numpy(), chosen.column(1).to_numpy()]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
-    return both.mapInArrow(near, "a bigint, b bigint")
+    return both.mapInArrow(tidy(near), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import components, discard, doc_words, join_checked, list_array, mix, shingles, signed, store
+from phasewise.llm.common import components, discard, doc_words, join_checked, list_array, mix, shingles, signed, store, tidy
 from phasewise.llm.linkage import ends_of, link_components, most_different, short_handle, short_key, sketch, verified
 
 RATIO = 1.4  # sizes of one class of heavy sets, largest to smallest
@@ -167,7 +167,7 @@ def _elements_task(words: int):
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = store(text.mapInArrow(_sets_task(words, num, den), SETS), "sets")
+    sets = store(text.mapInArrow(tidy(_sets_task(words, num, den)), SETS), "sets")
     used = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = used.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -178,7 +178,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 9, den: int =
         ends = ends_of(pairs)
         need = store(ends.join(classes.select(F.col("id").alias("h"), "hi", "lo", F.col("rep").alias("doc_id")), "h"), "need")
         rows = join_checked(text, need, "doc_id", "inner", 40).select("doc_id", "text", "hi", "lo", "h")
-        elements = store(rows.mapInArrow(_elements_task(words), "h bigint, elements array<bigint>"), "elements")
+        elements = store(rows.mapInArrow(tidy(_elements_task(words)), "h bigint, elements array<bigint>"), "elements")
         found = verified(pairs, elements, num, den)
         discard(ends, need, elements)
         return found

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.common import PUNCTUATION, doc_words, mix
+from phasewise.llm.common import PUNCTUATION, doc_words, mix, tidy
 
 # 1 is compared, 0 ignored.
 MASKS = ("111111", "1111101", "1101111")
@@ -36,6 +36,8 @@ BLOCK_BYTES = 4 << 20
 ITEM_WORDS = 512
 # Meetings of seeds looked at in one numpy pass.
 HITS = 1 << 20
+# Documents lower-cased at a time.
+ROWS = 1024
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -147,6 +149,13 @@ def _blocks(benchmark: DataFrame):
         yield Block(ids, texts)
 
 
+def _slices(batches):
+    """Batches of few rows: a task holds the lower-cased texts of one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words): documents that hold a passage of an item, and how many of its words."""
     spark = docs.sparkSession
@@ -157,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared):
             block = shared.value
-            for batch in batches:
+            for batch in _slices(batches):
                 ids = batch.column(0).to_pylist()
                 out = ([], [], [])
                 for row, words in doc_words(pc.utf8_lower(batch.column(1)), gaps=PUNCTUATION):
@@ -166,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "n_words"])
 
-        parts.append(text.mapInArrow(run, "doc_id bigint, item_id bigint, n_words bigint"))
+        parts.append(text.mapInArrow(tidy(run), "doc_id bigint, item_id bigint, n_words bigint"))
     if not parts:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_words bigint")
     out = parts[0]
@@ -183,11 +192,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared):
             block = shared.value
-            for batch in batches:
+            for batch in _slices(batches):
                 keep = np.ones(batch.num_rows, bool)
                 for row, words in doc_words(pc.utf8_lower(batch.column(at).cast(pa.string())), gaps=PUNCTUATION):
                     keep[row] = not block.hit(words)
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.functions import keyed
-from phasewise.llm.common import doc_words
+from phasewise.llm.common import doc_words, tidy
 
 DIM, SAMPLE, MIN_WORDS, CUT = 512, 8192, 8, 0.5
 STEPS, RATE, RIDGE, ROUNDS = 400, 2.0, 1e-4, 60
@@ -222,7 +222,7 @@ def _features_task(batches):
 def fit(docs: DataFrame) -> dict:
     """The model: EM over the votes of all documents, scorer from a bounded sample of them."""
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counts = text.mapInArrow(_patterns_task, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counts = text.mapInArrow(tidy(_patterns_task), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
     patterns = {r.pattern: r.n for r in counts.collect()}
     total = sum(patterns.values())
     if not total:
@@ -232,7 +232,7 @@ def fit(docs: DataFrame) -> dict:
     key = F.xxhash64("doc_id", "text")
     kinds = docs.agg(F.approx_count_distinct(key, 0.02)).first()[0]
     drawn = docs.where(keyed.uniform(6, "quality", key) * kinds < SAMPLE).select("doc_id", F.col("text").cast("string").alias("text")).distinct()
-    rows = drawn.select("text").mapInArrow(_features_task, "x binary, short binary, bins array<smallint>, pattern bigint").collect()
+    rows = drawn.select("text").mapInArrow(tidy(_features_task), "x binary, short binary, bins array<smallint>, pattern bigint").collect()
     spoken = [r for r in sorted(rows, key=lambda r: (r.x, r.short)) if r.pattern != _pattern(np.full(len(LABELLERS), ABSTAIN))]
     x, short = (np.array([np.frombuffer(r[c], np.float32) for r in spoken], np.float32).reshape(-1, DIM) for c in ("x", "short"))
     v = np.array([r.pattern for r in spoken], np.int64)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
@@ -267,7 +267,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(keep, pa.bool_())], ["doc_id", "score", "keep"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double, keep boolean")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, score double, keep boolean")
 
 
 def accept(docs: DataFrame) -> DataFrame:
@@ -282,4 +282,4 @@ def accept(docs: DataFrame) -> DataFrame:
                 keep[row] = not n or _score(model.value, m, grams, n) >= CUT
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

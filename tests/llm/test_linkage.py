@@ -31,3 +31,39 @@ def test_postings_and_sketches_travel_in_few_bytes():
         sent = sum(c.nbytes for b in linkage._pack_task(buckets)([batch]) for c in b.columns)
         assert sent < len(key) * 14
     assert len(linkage.sketch(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))) * 8 == 1024
+
+
+def test_packing_holds_little_beside_the_postings():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = 1 << 18
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.integers(0, TOP, rows)), pa.array(rng.integers(0, 1 << 40, rows))], ["key", "h"])
+    tracemalloc.start()
+    for _ in linkage._pack_task(64)([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * batch.nbytes
+
+
+def test_tasks_give_back_what_they_freed():
+    import re
+
+    from phasewise.llm.common import tidy
+
+    def held():
+        with open("/proc/self/smaps_rollup", encoding="ascii") as f:
+            return sum(map(int, re.findall(r"\nAnonymous:\s+(\d+)", f.read()))) / 1024
+
+    pins = []
+
+    def task(batches):
+        pieces = [np.ones(8000) for _ in range(4000)]  # 256 MB in pieces that come from the heap
+        pins.append(np.ones(8000))  # above them: the heap can't just end lower
+        yield from batches
+        del pieces
+
+    before = held()
+    assert list(tidy(task)(iter([1, 2]))) == [1, 2]
+    assert held() - before < 64
