@@ -33,3 +33,15 @@ def test_places_once_a_prediction_give_the_same_draws(spark):
     assert rows.count() == tied.count() == 2400
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, tied.collect()), key=str)
     assert tied.where("y is null").count() == df.where("_miss_y and _p is null").count() > 0  # no prediction, no donor
+
+
+def test_candidates_are_sorted_without_a_comparison_expression(spark):
+    df = table(spark)
+    donors, asks = (df.where(c).select("imp_id", "id", F.col("x").alias("_p")) for c in ("not _miss_y", "_miss_y"))
+    near = joins.nearest_donors(donors.withColumnRenamed("id", "d"), asks, "d", "id", "_p", 5, ["imp_id"])
+    assert "array_sort(flatten" not in near._jdf.queryExecution().optimizedPlan().toString()
+    known = {i: sorted((r["_p"], r["d"]) for r in donors.withColumnRenamed("id", "d").where(f"imp_id = {i}").collect()) for i in (1, 2)}
+    at = {(r["imp_id"], r["id"]): r["_p"] for r in asks.collect()}
+    for r in near.limit(40).collect():
+        want = sorted((abs(p - at[r["imp_id"], r["id"]]), d) for p, d in known[r["imp_id"]])[:5]
+        assert [(e["distance"], e["donor"]) for e in r["near"]] == want
